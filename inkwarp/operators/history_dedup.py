@@ -1,0 +1,245 @@
+"""Duplicates of new batches against all that was accepted, by an inverted index of rare-token prefixes.
+
+A text unit is an abstract, or a title where a record has no abstract. Its tokens are sorted from rare
+to common; two units whose sets overlap with Jaccard ``t`` or more share a token within their first
+``n - ceil(t n) + 1`` tokens. Only these prefixes are indexed, one posting per token, partitioned by the token. A batch
+probes its own prefixes, filters by length, verifies the overlap and the titles, and appends its
+postings; history is not read again beyond the partitions probed.
+
+Rarity comes from a table of ``2**SKETCH_BITS`` counters over hashed tokens of all units. Its size is fixed, it
+is broadcast as one array of 4 MB, and any order that all units share keeps the prefix filter exact.
+
+Exact copies are one class from the start (a map-side combined minimum), so a group of copies that holds
+a third of all rows yields a star of links and a single unit in the index.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from inkwarp.operators.components import components
+from inkwarp.session import cut
+
+SKETCH_BITS = 20
+THRESHOLD = 0.6
+#: Of the smaller set of tokens, the share that both texts must hold.
+HELD = 0.85
+TITLE_EDITS = 4
+SHARDS = 64
+
+_WORD = re.compile(r"[^\W_]+")
+_TIGHT = re.compile(r"[\W_]+")
+#: Scripts written without spaces: kana, Han, Thai, Lao, Khmer, Myanmar.
+_DENSE = re.compile(r"[぀-ヿ㐀-鿿฀-໿က-႟ក-៿]+")
+
+_UNITS = "rec long, kind string, tight string, titles array<string>, tokens array<long>"
+
+
+def fold(text: str | None) -> str:
+    """NFKC and case-folded; empty for null."""
+    return unicodedata.normalize("NFKC", text).casefold() if text else ""
+
+
+def tight(text: str | None) -> str:
+    """Folded, without white space, marks and signs."""
+    return _TIGHT.sub("", fold(text))
+
+
+def unit_tokens(text: str, kind: str) -> set[int]:
+    """Hashed tokens: words; pairs of characters in dense scripts and in titles."""
+    words: set[str] = set()
+    if kind == "title":
+        t = tight(text)
+        words.update(t[i : i + 2] for i in range(max(1, len(t) - 1)))
+    else:
+        for w in _WORD.findall(fold(text)):
+            if _DENSE.search(w):
+                words.update(w[i : i + 2] for i in range(max(1, len(w) - 1)))
+            else:
+                words.add(w)
+    return {xxhash.xxh64_intdigest(f"{kind}\0{w}") - (1 << 63) for w in words if w}
+
+
+def article_units(records: DataFrame, rec: str = "rec_no", titles: str = "titles", abstracts: str = "abstracts") -> DataFrame:
+    """The text units of records; entries are structs with ``value``.
+
+    Null or blank entries give no unit; a record without any text gives none. Returns rec, kind ('abstract' or
+    'title'), tight (folded text), titles (folded, distinct, sorted), tokens.
+    """
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r, ts, xs in zip(b["rec"], b["t"], b["x"], strict=True):
+                names = sorted({n for n in map(tight, ts if ts is not None else ()) if n})
+                texts = [x for x in (xs if xs is not None else ()) if x and tight(x)]
+                if texts:
+                    out += [(r, "abstract", tight(x), names, sorted(unit_tokens(x, "abstract"))) for x in texts]
+                else:
+                    out += [(r, "title", n, names, sorted(unit_tokens(n, "title"))) for n in names]
+            yield pd.DataFrame(out, columns=["rec", "kind", "tight", "titles", "tokens"])
+
+    def values(c: str) -> F.Column:
+        return F.transform(F.filter(c, lambda e: e["value"].isNotNull()), lambda e: e["value"])
+
+    return records.where(F.col(rec).isNotNull()).select(F.col(rec).cast("long").alias("rec"), values(titles).alias("t"), values(abstracts).alias("x")).mapInPandas(make, _UNITS)
+
+
+def token_sketch(units: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
+    """How many units hold a token of each hash bucket, over all units; ``2**bits`` counters."""
+    counted = units.select(F.explode("tokens").alias("k")).groupBy(F.expr(f"cast(k & {(1 << bits) - 1} as int)").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    table = np.zeros(1 << bits, dtype=np.int32)
+    for part in counted.toPandas().itertuples(index=False):  # at most 2**bits rows
+        table[part.b] = min(part.n, 2**31 - 1)
+    return table
+
+
+def postings(units: DataFrame, sketch: np.ndarray, threshold: float = THRESHOLD, shards: int = SHARDS) -> DataFrame:
+    """The rare-token prefix of every unit: shard, token, unit, rec, kind, size."""
+    held = units.sparkSession.sparkContext.broadcast(sketch)
+    mask = len(sketch) - 1
+
+    def cut_prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            toks, who, size = [], [], []
+            for u, ts in zip(b["unit"], b["tokens"], strict=True):
+                a = np.asarray(ts, dtype=np.int64)
+                n = len(a)
+                keep = n - math.ceil(threshold * n) + 1 if n else 0
+                order = np.lexsort((a, held.value[a & mask]))
+                toks.append(a[order[:keep]])
+                who += [u] * keep
+                size += [n] * keep
+            yield pd.DataFrame({"token": np.concatenate(toks) if toks else np.empty(0, np.int64), "unit": who, "size": size})
+
+    return units.select("unit", "tokens").mapInPandas(cut_prefix, "token long, unit long, size int").withColumn("shard", F.pmod("token", F.lit(shards)).cast("int"))
+
+
+def _digits(c: F.Column) -> F.Column:
+    return F.regexp_replace(c, "[^0-9]", "")
+
+
+def _titles_agree(a: F.Column, b: F.Column, edits: int) -> F.Column:
+    """Some title of each side is the same but for a few edits (at most a tenth of its length), none of them in a number."""
+    near = lambda x, y: (F.levenshtein(x, y) <= F.least(F.lit(edits), F.greatest(F.lit(2), F.floor(F.length(x) / 10)))) & (_digits(x) == _digits(y))
+    return F.exists(a, lambda x: F.exists(b, lambda y: near(x, y)))
+
+
+def _same_work(a: F.Column, b: F.Column) -> F.Column:
+    """For titles alone: at most two edits, no part number or sequel mark at the end, equal digits."""
+    return (F.levenshtein(a, b) <= 2) & (_digits(a) == _digits(b)) & (F.right(a, F.lit(1)) == F.right(b, F.lit(1)))
+
+
+def near_links(new: DataFrame, old_postings: DataFrame, new_postings: DataFrame, old: DataFrame | None = None, threshold: float = THRESHOLD, title_edits: int = TITLE_EDITS) -> DataFrame:
+    """Verified links (a, b) from representatives of new units to those indexed, or among themselves if ``old`` is None.
+
+    Both tables have unit, rec, kind, tight, titles, tokens.
+    """
+    once = F.col("p.unit") > F.col("q.unit") if old is None else F.col("p.unit") != F.col("q.unit")
+    p, q = new_postings.alias("p"), old_postings.alias("q")
+    found = (
+        p.join(q, (F.col("p.shard") == F.col("q.shard")) & (F.col("p.token") == F.col("q.token")))
+        .where(once & (F.least("p.size", "q.size") >= F.greatest("p.size", "q.size") * F.lit(threshold)))
+        .select(F.col("p.unit").alias("x"), F.col("q.unit").alias("y"))
+        .distinct()
+    )
+    known = new if old is None else old
+    left = new.select(F.col("unit").alias("x"), F.col("rec").alias("ra"), F.col("kind").alias("ka"), F.col("tight").alias("ta"), F.col("titles").alias("na"), F.col("tokens").alias("ha"))
+    right = known.select(F.col("unit").alias("y"), F.col("rec").alias("rb"), F.col("kind").alias("kb"), F.col("tight").alias("tb"), F.col("titles").alias("nb"), F.col("tokens").alias("hb"))
+    both = F.size(F.array_intersect("ha", "hb"))
+    alike = (both >= F.lit(threshold) * (F.size("ha") + F.size("hb") - both)) & (both >= F.lit(HELD) * F.least(F.size("ha"), F.size("hb")))
+    agree = F.when(F.col("ka") == "title", _same_work(F.col("ta"), F.col("tb"))).otherwise(_titles_agree(F.col("na"), F.col("nb"), title_edits))
+    return found.join(left, "x").join(right, "y").where((F.col("ka") == F.col("kb")) & F.when(F.col("ka") == "title", both >= F.lit(threshold) * (F.size("ha") + F.size("hb") - both)).otherwise(alike) & agree).select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct()
+
+
+def represent(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One unit per class of exact copies (same kind, text and titles), and the star of links to it.
+
+    The unit's number is the smallest record of its class; a record's further units get other numbers.
+    """
+    keyed = units.withColumn("copy", F.xxhash64("kind", "tight", F.concat_ws("\u0001", "titles"))).withColumn("copy2", F.sha2(F.concat_ws("\u0002", "kind", "tight", F.concat_ws("\u0001", "titles")), 256))
+    heads = keyed.groupBy("copy", "copy2").agg(F.min("rec").alias("head"), F.first("kind").alias("kind"), F.first("tight").alias("tight"), F.first("titles").alias("titles"), F.first("tokens").alias("tokens"))
+    reps = heads.select(F.col("copy").alias("unit"), F.col("head").alias("rec"), "kind", "tight", "titles", "tokens")
+    star = keyed.select("copy", "copy2", "rec").join(heads.select("copy", "copy2", "head"), ["copy", "copy2"]).where("rec <> head").select(F.col("rec").alias("a"), F.col("head").alias("b"))
+    return reps, star
+
+
+def key_links(keys: DataFrame) -> DataFrame:
+    """A star of links (a, b) from the records of a key (rec LONG, key STRING) to its smallest record."""
+    keys = keys.where("rec is not null and key is not null")
+    heads = keys.groupBy("key").agg(F.min("rec").alias("b"), F.max("rec").alias("top")).where("b < top").select("key", "b")
+    return keys.join(heads, "key").where("rec <> b").select(F.col("rec").alias("a"), "b")
+
+
+def dedup_all(units: DataFrame, keys: DataFrame, threshold: float = THRESHOLD, title_edits: int = TITLE_EDITS) -> DataFrame:
+    """First load: every record whose article came before (rec, first), by keys or by text."""
+    reps, star = represent(units)
+    reps = cut(reps)
+    posts = postings(reps, token_sketch(reps), threshold)
+    near = near_links(reps, posts, posts, None, threshold, title_edits)
+    return components(near.unionByName(star).unionByName(key_links(keys))).select(F.col("node").alias("rec"), F.col("component").alias("first"))
+
+
+class HistoryIndex:
+    """The index kept between batches: units, postings (partitioned by token shard), keys and classes.
+
+    ``probe`` holds a batch against history and itself; ``append`` accepts it. The rarity table is made from
+    the first batch and kept, for its order must stay; tokens that come later count as rare.
+    """
+
+    def __init__(self, spark, folder: str, threshold: float = THRESHOLD, title_edits: int = TITLE_EDITS, shards: int = SHARDS) -> None:
+        self.spark, self.folder, self.shards = spark, folder.rstrip("/"), shards
+        self.threshold, self.title_edits = threshold, title_edits
+        self._sketch: np.ndarray | None = None
+        self._batches = 0
+
+    def _read(self, name: str) -> DataFrame | None:
+        return self.spark.read.parquet(f"{self.folder}/{name}") if self._batches else None
+
+    def probe(self, units: DataFrame, keys: DataFrame) -> DataFrame:
+        """(rec, first) of the batch's records whose article history or the batch already has."""
+        reps, star = represent(units)
+        self._reps = reps = cut(reps)
+        if self._sketch is None:
+            self._sketch = token_sketch(reps)
+        self._posts = posts = cut(postings(reps, self._sketch, self.threshold, self.shards))
+        self._keys = keys
+        near = near_links(reps, posts, posts, None, self.threshold, self.title_edits)
+        links = star.unionByName(near)
+        all_keys = keys
+        if self._batches:
+            old_units, old_posts, old_keys, classes = (self._read(n) for n in ("units", "postings", "keys", "classes"))
+            near_old = near_links(reps, old_posts, posts, old_units, self.threshold, self.title_edits)
+            same = reps.alias("n").join(old_units.alias("o"), "unit").where("n.rec <> o.rec").select(F.col("n.rec").alias("a"), F.col("o.rec").alias("b"))
+            links = links.unionByName(near_old).unionByName(same)
+            seen_keys = old_keys.join(keys.select("key").distinct(), "key", "left_semi")
+            all_keys = keys.unionByName(seen_keys.select(keys.columns))
+        links = links.unionByName(key_links(all_keys))
+        if self._batches:
+            touched = links.select(F.explode(F.array("a", "b")).alias("rec")).distinct()
+            links = links.unionByName(classes.join(touched, "rec", "left_semi").select(F.col("rec").alias("a"), F.col("first").alias("b")))
+        found = components(links).select(F.col("node").alias("rec"), F.col("component").alias("first"))
+        batch = units.select("rec").unionByName(keys.select("rec")).distinct()
+        self._found = cut(found.join(batch, "rec", "left_semi"))
+        return self._found
+
+    def append(self) -> None:
+        """Accept the batch that was probed last."""
+        reps = self._reps
+        if self._batches:
+            reps = reps.join(self._read("units").select("unit"), "unit", "left_anti")
+        reps.write.mode("append").parquet(f"{self.folder}/units")
+        fresh = self._posts.join(reps.select("unit"), "unit", "left_semi")
+        fresh.repartition("shard").write.mode("append").partitionBy("shard").parquet(f"{self.folder}/postings")
+        self._keys.write.mode("append").parquet(f"{self.folder}/keys")
+        self._found.write.mode("append").parquet(f"{self.folder}/classes")
+        self._batches += 1
