@@ -1,10 +1,13 @@
 """Duplicates of new batches against all that was accepted, by an inverted index of rare-token prefixes.
 
-A text unit is an abstract, or a title where a record has no abstract. Its tokens are sorted from rare
-to common; two units whose sets overlap with Jaccard ``t`` or more share a token within their first
-``n - ceil(t n) + 1`` tokens. Only these prefixes are indexed, one posting per token, partitioned by the token. A batch
-probes its own prefixes, filters by length, verifies the overlap and the titles, and appends its
-postings; history is not read again beyond the partitions probed.
+A text unit is an abstract, or a title where a record has no abstract. Its tokens (pairs of neighbouring words, or of
+characters) are sorted from rare to common; two units whose sets overlap with Jaccard ``t`` or more share a
+token within their first ``n - ceil(t n) + 1`` tokens. Only these prefixes are indexed, one posting per token,
+partitioned by the token. A batch probes its own prefixes, filters by length, verifies the overlap and the titles,
+and appends its postings; history is not read again beyond the partitions probed.
+
+Two records can only agree if some titles of theirs hold the same digits, so a posting's key is the token with the digits
+of a title. Stock phrases, which fill long postings otherwise, then meet only where a number is shared too.
 
 Rarity comes from a table of ``2**SKETCH_BITS`` counters over hashed tokens of all units. Its size is fixed, it
 is broadcast as one array of 4 MB, and any order that all units share keeps the prefix filter exact.
@@ -30,9 +33,9 @@ from inkwarp.operators.components import components
 from inkwarp.session import cut
 
 SKETCH_BITS = 20
-THRESHOLD = 0.6
+THRESHOLD = 0.5
 #: Of the smaller set of tokens, the share that both texts must hold.
-HELD = 0.85
+HELD = 0.75
 TITLE_EDITS = 4
 SHARDS = 64
 
@@ -41,7 +44,7 @@ _TIGHT = re.compile(r"[\W_]+")
 #: Scripts written without spaces: kana, Han, Thai, Lao, Khmer, Myanmar.
 _DENSE = re.compile(r"[぀-ヿ㐀-鿿฀-໿က-႟ក-៿]+")
 
-_UNITS = "rec long, kind string, tight string, titles array<string>, tokens array<long>"
+_UNITS = "rec long, kind string, tight string, titles array<string>, digits array<string>, tokens array<long>"
 
 
 def fold(text: str | None) -> str:
@@ -55,25 +58,22 @@ def tight(text: str | None) -> str:
 
 
 def unit_tokens(text: str, kind: str) -> set[int]:
-    """Hashed tokens: words; pairs of characters in dense scripts and in titles."""
-    words: set[str] = set()
+    """Hashed tokens: pairs of neighbouring words; of characters in dense scripts and in titles."""
+    words: list[str] = []
     if kind == "title":
-        t = tight(text)
-        words.update(t[i : i + 2] for i in range(max(1, len(t) - 1)))
+        words = list(tight(text))
     else:
         for w in _WORD.findall(fold(text)):
-            if _DENSE.search(w):
-                words.update(w[i : i + 2] for i in range(max(1, len(w) - 1)))
-            else:
-                words.add(w)
-    return {xxhash.xxh64_intdigest(f"{kind}\0{w}") - (1 << 63) for w in words if w}
+            words += list(w) if _DENSE.search(w) else [w]
+    pairs = {f"{kind}\0{a}\0{b}" for a, b in zip(words, words[1:], strict=False)} or {f"{kind}\0{w}" for w in words}
+    return {xxhash.xxh64_intdigest(p) - (1 << 63) for p in pairs}
 
 
 def article_units(records: DataFrame, rec: str = "rec_no", titles: str = "titles", abstracts: str = "abstracts") -> DataFrame:
     """The text units of records; entries are structs with ``value``.
 
     Null or blank entries give no unit; a record without any text gives none. Returns rec, kind ('abstract' or
-    'title'), tight (folded text), titles (folded, distinct, sorted), tokens.
+    'title'), tight (folded text), titles (folded, distinct, sorted), digits (of each title, distinct), tokens.
     """
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,11 +82,12 @@ def article_units(records: DataFrame, rec: str = "rec_no", titles: str = "titles
             for r, ts, xs in zip(b["rec"], b["t"], b["x"], strict=True):
                 names = sorted({n for n in map(tight, ts if ts is not None else ()) if n})
                 texts = [x for x in (xs if xs is not None else ()) if x and tight(x)]
+                digits = sorted({"".join(c for c in n if "0" <= c <= "9") for n in names})
                 if texts:
-                    out += [(r, "abstract", tight(x), names, sorted(unit_tokens(x, "abstract"))) for x in texts]
+                    out += [(r, "abstract", tight(x), names, digits, sorted(unit_tokens(x, "abstract"))) for x in texts]
                 else:
-                    out += [(r, "title", n, names, sorted(unit_tokens(n, "title"))) for n in names]
-            yield pd.DataFrame(out, columns=["rec", "kind", "tight", "titles", "tokens"])
+                    out += [(r, "title", n, names, digits, sorted(unit_tokens(n, "title"))) for n in names]
+            yield pd.DataFrame(out, columns=["rec", "kind", "tight", "titles", "digits", "tokens"])
 
     def values(c: str) -> F.Column:
         return F.transform(F.filter(c, lambda e: e["value"].isNotNull()), lambda e: e["value"])
@@ -104,7 +105,7 @@ def token_sketch(units: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
 
 
 def postings(units: DataFrame, sketch: np.ndarray, threshold: float = THRESHOLD, shards: int = SHARDS) -> DataFrame:
-    """The rare-token prefix of every unit: shard, token, unit, rec, kind, size."""
+    """The rare-token prefix of every unit, once for each digits of its titles: shard, token, unit, size."""
     held = units.sparkSession.sparkContext.broadcast(sketch)
     mask = len(sketch) - 1
 
@@ -117,11 +118,13 @@ def postings(units: DataFrame, sketch: np.ndarray, threshold: float = THRESHOLD,
                 keep = n - math.ceil(threshold * n) + 1 if n else 0
                 order = np.lexsort((a, held.value[a & mask]))
                 toks.append(a[order[:keep]])
-                who += [u] * keep
-                size += [n] * keep
-            yield pd.DataFrame({"token": np.concatenate(toks) if toks else np.empty(0, np.int64), "unit": who, "size": size})
+                who.append(u)
+                size.append(n)
+            yield pd.DataFrame({"unit": who, "size": size, "digits": list(b["digits"]), "rare": toks})
 
-    return units.select("unit", "tokens").mapInPandas(cut_prefix, "token long, unit long, size int").withColumn("shard", F.pmod("token", F.lit(shards)).cast("int"))
+    rare = units.select("unit", "digits", "tokens").mapInPandas(cut_prefix, "unit long, size int, digits array<string>, rare array<long>")
+    keyed = rare.select("unit", "size", F.explode("digits").alias("d"), "rare").select("unit", "size", "d", F.explode("rare").alias("t"))
+    return keyed.select(F.xxhash64("t", "d").alias("token"), "unit", "size").withColumn("shard", F.pmod("token", F.lit(shards)).cast("int"))
 
 
 def _digits(c: F.Column) -> F.Column:
@@ -167,8 +170,8 @@ def represent(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     The unit's number is the smallest record of its class; a record's further units get other numbers.
     """
     keyed = units.withColumn("copy", F.xxhash64("kind", "tight", F.concat_ws("\u0001", "titles"))).withColumn("copy2", F.sha2(F.concat_ws("\u0002", "kind", "tight", F.concat_ws("\u0001", "titles")), 256))
-    heads = keyed.groupBy("copy", "copy2").agg(F.min("rec").alias("head"), F.first("kind").alias("kind"), F.first("tight").alias("tight"), F.first("titles").alias("titles"), F.first("tokens").alias("tokens"))
-    reps = heads.select(F.col("copy").alias("unit"), F.col("head").alias("rec"), "kind", "tight", "titles", "tokens")
+    heads = keyed.groupBy("copy", "copy2").agg(F.min("rec").alias("head"), *(F.min(c).alias(c) for c in ("kind", "tight", "titles", "digits", "tokens")))
+    reps = heads.select(F.col("copy").alias("unit"), F.col("head").alias("rec"), "kind", "tight", "titles", "digits", "tokens")
     star = keyed.select("copy", "copy2", "rec").join(heads.select("copy", "copy2", "head"), ["copy", "copy2"]).where("rec <> head").select(F.col("rec").alias("a"), F.col("head").alias("b"))
     return reps, star
 
