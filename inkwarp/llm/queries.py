@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwarp.llm.byte_bpe import encode, token_count
+from inkwarp.llm.mojibake import garbled
 from inkwarp.llm.mixing import mix, plan_mix, row_hash, shares, source_key
 from inkwarp.session import cut
 from inkwarp.sources.tables import table
@@ -37,8 +38,18 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return shares(sized, plan_mix(sized, targets))
 
 
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Garbled rows of documents with the original text where it can be had."""
+    return garbled(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of documents whose text is garbled."""
+    return p8_restored(spark, folder).select("doc_id")
+
+
 def queries() -> dict:
-    return {"p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+    return {"p8_found": p8_found, "p8_restored": p8_restored, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 
 
 def oracle_sql() -> dict[str, str]:
