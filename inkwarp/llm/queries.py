@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkwarp.llm.byte_bpe import encode, token_count
 from inkwarp.llm.mojibake import garbled
 from inkwarp.llm.mixing import mix, plan_mix, row_hash, shares, source_key
+from inkwarp.llm.sentences import sentence_table
 from inkwarp.session import cut
 from inkwarp.sources.tables import table
 
@@ -48,8 +49,13 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_restored(spark, folder).select("doc_id")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentence units of every manuscript; a row given twice counts once."""
+    return sentence_table(table(spark, folder, "manuscripts"), "document_id", "text").select("document_id", "start_pos", "end_pos").distinct()
+
+
 def queries() -> dict:
-    return {"p8_found": p8_found, "p8_restored": p8_restored, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+    return {"p5_found": p5_found, "p8_found": p8_found, "p8_restored": p8_restored, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 
 
 def oracle_sql() -> dict[str, str]:
