@@ -9,6 +9,7 @@ from inkwarp.llm.byte_bpe import encode, token_count
 from inkwarp.llm.mojibake import garbled
 from inkwarp.llm.mixing import mix, plan_mix, row_hash, shares, source_key
 from inkwarp.llm.sentences import sentence_table
+from inkwarp.llm.subjects import assign_subjects
 from inkwarp.session import cut
 from inkwarp.sources.tables import table
 
@@ -54,8 +55,23 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentence_table(table(spark, folder, "manuscripts"), "document_id", "text").select("document_id", "start_pos", "end_pos").distinct()
 
 
+def p3_mixtures(spark: SparkSession, folder: str) -> DataFrame:
+    """Subject areas of every record with their shares."""
+    entries = F.concat(F.coalesce("titles", F.array()), F.coalesce("abstracts", F.array()))
+    texts = F.filter(F.transform(entries, lambda e: e["value"]), lambda v: v.isNotNull())
+    labels = table(spark, folder, "subject_labels").select("rec_no", F.col("subject_code").alias("subject"))
+    subjects = [(r.subject_code, [r.name_ko, r.name_en]) for r in table(spark, folder, "subjects").where("subject_code is not null").orderBy("subject_code").collect()]
+    records = table(spark, folder, "records").where("rec_no is not null").select("rec_no", texts.alias("texts"))
+    return assign_subjects(records, "rec_no", "texts", labels, subjects)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Subject areas of every record."""
+    return p3_mixtures(spark, folder).select("rec_no", "subject_code")
+
+
 def queries() -> dict:
-    return {"p5_found": p5_found, "p8_found": p8_found, "p8_restored": p8_restored, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+    return {"p3_found": p3_found, "p3_mixtures": p3_mixtures, "p5_found": p5_found, "p8_found": p8_found, "p8_restored": p8_restored, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 
 
 def oracle_sql() -> dict[str, str]:
