@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwarp.llm.byte_bpe import encode, token_count
+from inkwarp.llm.languages import language_code, language_table, sample_labelled, train_on
 from inkwarp.llm.mojibake import garbled
 from inkwarp.llm.mixing import mix, plan_mix, row_hash, shares, source_key
 from inkwarp.llm.sentences import sentence_table
@@ -70,8 +71,34 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_mixtures(spark, folder).select("rec_no", "subject_code")
 
 
+def _entries(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries of titles and abstracts: rec_no, field, pos, label, text."""
+    records = table(spark, folder, "records")
+    each = [records.select("rec_no", F.lit(f).alias("field"), F.posexplode(f).alias("pos", "e")) for f in ("titles", "abstracts")]
+    return each[0].unionByName(each[1]).select("rec_no", "field", "pos", F.try_element_at("e.attributes", F.lit("code")).alias("label"), F.col("e.value").alias("text"))
+
+
+def _segments(spark: SparkSession, folder: str) -> DataFrame:
+    entries = _entries(spark, folder)
+    model = train_on(sample_labelled(entries, "text", "label", ["rec_no", "field", "pos"]))
+    named = entries.withColumn("named", language_code(F.col("label")))
+    return language_table(named, ["rec_no", "field", "pos", "named"], "text", model)
+
+
+def p2_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Language and confidence of every stretch of every title and abstract."""
+    return _segments(spark, folder).drop("named")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of the entries whose label is missing or wrong or which mix languages."""
+    found = _segments(spark, folder).groupBy("rec_no", "field", "pos", "named").agg(F.collect_set("lang").alias("langs"))
+    wrong = F.col("named").isNull() | (F.size("langs") > 1) | (F.col("langs")[0] != F.col("named"))
+    return found.where(wrong).select("rec_no", "field", "pos", F.explode("langs").alias("lang"))
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_mixtures": p3_mixtures, "p5_found": p5_found, "p8_found": p8_found, "p8_restored": p8_restored, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+    return {"p2_found": p2_found, "p2_segments": p2_segments, "p3_found": p3_found, "p3_mixtures": p3_mixtures, "p5_found": p5_found, "p8_found": p8_found, "p8_restored": p8_restored, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 
 
 def oracle_sql() -> dict[str, str]:
