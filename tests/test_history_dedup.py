@@ -1,0 +1,115 @@
+import random
+
+import pytest
+
+from inkwarp.operators.components import components
+from inkwarp.operators.history_dedup import HistoryIndex, article_units, dedup_all
+from inkwarp.plans.history_queries import article_key, doi_key
+from pyspark.sql import functions as F
+
+ENTRY = "array<struct<value:string,attributes:map<string,string>>>"
+SCHEMA = f"rec_no long, batch_no int, key string, titles {ENTRY}, abstracts {ENTRY}, unit string"
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def _entry(*texts):
+    return [(t, {"lang": "x"}) for t in texts]
+
+
+def _records(seed=3, n=60):
+    """Articles, some delivered again with small changes, under the same key, or with another abstract."""
+    rng = random.Random(seed)
+    rows, first, texts = [], {}, []
+    for i in range(1, n + 1):
+        if i > 10 and rng.random() < 0.45:
+            j, title, body, key = rng.choice(texts)
+            how = rng.choice(["same", "case", "typo", "drop", "key", "other"])
+            if how == "other":
+                title2, body2, key2 = title, " ".join(rng.choices(WORDS, k=50)), f"k{i}"
+            elif how == "key":
+                title2, body2, key2 = f"Other name {i}", " ".join(rng.choices(WORDS, k=50)), key
+            else:
+                title2 = title.upper() if how == "case" else title.replace("study", "stduy") if how == "typo" else title
+                body2 = " ".join(body.split()[:42]) if how == "drop" else body
+                key2 = None
+            rows.append((i, i // 12, key2, _entry(title2), _entry(body2), "u"))
+            if how == "other":
+                texts.append((i, title2, body2, key2))
+            else:
+                first[i] = j
+        else:
+            title, body = f"A study of {rng.choice(WORDS)} and {rng.choice(WORDS)} in volume {1000 + i}", " ".join(rng.choices(WORDS, k=50))
+            rows.append((i, i // 12, f"k{i}", _entry(title), _entry(body, None), "u"))
+            texts.append((i, title, body, f"k{i}"))
+    return rows, first
+
+
+def _keys(df):
+    return df.select(F.col("rec_no").alias("rec"), "key")
+
+
+def test_finds_repeats(spark):
+    rows, first = _records()
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.rec: r["first"] for r in dedup_all(article_units(df), _keys(df)).collect()}
+    assert got == first and len(first) > 8
+
+
+def test_batches_equal_one_load(spark, tmp_path):
+    rows, first = _records(8)
+    index = HistoryIndex(spark, str(tmp_path / "index"))
+    got = {}
+    for b in range(6):
+        df = spark.createDataFrame([r for r in rows if r[1] == b], SCHEMA)
+        got |= {r.rec: r["first"] for r in index.probe(article_units(df), _keys(df)).collect()}
+        index.append()
+    assert got == first
+
+
+def test_hot_group_of_copies_is_a_star(spark):
+    rows = [(i, 0, None, _entry("One title 12"), _entry("a b c d e f g h"), "u") for i in range(1, 400)] + [(500, 0, None, _entry("Another 13"), _entry("z y x"), "u")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = dedup_all(article_units(df), _keys(df)).collect()
+    assert len(got) == 398 and {r["first"] for r in got} == {1}
+
+
+def test_nulls_blanks_and_titles_alone(spark):
+    rows = [
+        (1, 0, None, None, None, "u"), (2, 0, None, [], [], "u"), (3, 0, None, _entry(None, " "), None, "u"),
+        (4, 0, None, _entry("수술에서 진단까지: 기록 제3847권을 읽다"), None, "u"), (5, 0, None, _entry("수술에서 진단지: 기록 제3847권을 읽다"), [], "u"),
+        (6, 0, None, _entry("수술에서 진단까지: 기록 제3847권을 읽다 II"), None, "u"), (7, 0, None, _entry("수술에서 진단까지: 기록 제3848권을 읽다"), None, "u"),
+        (8, 0, None, _entry("x " * 20000), _entry("long text 5 " * 30000), "u"), (None, 0, "k", _entry("t"), None, "u"),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert [(r.rec, r["first"]) for r in dedup_all(article_units(df), _keys(df)).collect()] == [(5, 4)]
+    none = spark.createDataFrame([], SCHEMA)
+    assert dedup_all(article_units(none), _keys(none)).count() == 0
+
+
+def test_ids(spark):
+    ids = ["KX:KXA000000344", "kxa 000000344", "KXA-000000344 ", "N/A", "-", "KXA000000000", "", None]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "i int, x string").orderBy("i").select(article_key(F.col("x"))).collect()]
+    assert got == ["KXA000000344"] * 3 + [None] * 5
+    dois = ["https://doi.org/10.9/Kx.1", "doi:10.9/kx.1 ", "10.9/KX.1", "n/a", None]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(dois)], "i int, x string").orderBy("i").select(doi_key(F.col("x"))).collect()]
+    assert got == ["10.9/kx.1"] * 3 + [None] * 2
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)] + [(200, 300 + i) for i in range(50)] + [(5, 5), (None, 1)]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a is not None:
+            x, y = find(a), find(b)
+            up[max(x, y)] = min(x, y)
+    want = {x: find(x) for x in up if find(x) != x}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == want
