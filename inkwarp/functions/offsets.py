@@ -8,12 +8,21 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
+def settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are worked out once a row.
+
+    A projection would be merged with the next one, and an expression used inside a lambda would then run once for each element; a
+    generator of one row keeps them apart, in the same stage.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def empty_spans() -> Column:
     return F.array().cast(SPANS)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwarp.functions.offsets import find_all, find_literal
+from inkwarp.functions.offsets import find_all, find_literal, settle
 
 PROTECTED = "array<struct<kind:string,start:int,end:int,value:string>>"
 MARKER = "inkwarp"
@@ -44,22 +44,24 @@ def overlaps(start: Column, end: Column, spans: Column) -> Column:
     return F.exists(spans, lambda s: (start < s["end"]) & (end > s["start"]))
 
 
-def protected_spans(text: Column, extra: list[str] | None = None, marker: str = MARKER) -> Column:
-    """Protected spans of a text, sorted by start and end: blocks, quotations, dates, statutes, numbers, and ``extra`` literals.
+def with_protected(df: DataFrame, text: str, name: str = "protected", extra: list[str] | None = None, marker: str = MARKER) -> DataFrame:
+    """``df`` with the protected spans of a text, sorted by start and end: blocks, quotations, dates, statutes, numbers, and ``extra`` literals.
 
-    A number that overlaps a span of another kind is left out; the extra literals never are.
+    A number that overlaps a span of another kind is left out; the extra literals never are. A null text has none.
     """
+    t = F.coalesce(F.col(text), F.lit(""))
     first = F.concat(
-        _kind("protected_block", find_all(text, block_pattern(marker))),
-        _kind("blockquote", _merged_lines(find_all(text, QUOTED_LINE))),
-        _kind("quotation", find_all(text, QUOTATION)),
-        _kind("date", find_all(text, DATE)),
-        _kind("statute", find_all(text, STATUTE)),
+        _kind("protected_block", find_all(t, block_pattern(marker))),
+        _kind("blockquote", _merged_lines(find_all(t, QUOTED_LINE))),
+        _kind("quotation", find_all(t, QUOTATION)),
+        _kind("date", find_all(t, DATE)),
+        _kind("statute", find_all(t, STATUTE)),
     )
-    numbers = F.filter(_kind("number", find_all(text, NUMBER)), lambda n: ~overlaps(n["start"], n["end"], first))
-    parts = [first, numbers] + [_kind("user", find_literal(text, v)) for v in dict.fromkeys(extra or []) if v]
+    out = settle(df, __first=first, __numbers=_kind("number", find_all(t, NUMBER)))
+    numbers = F.filter("__numbers", lambda n: ~overlaps(n["start"], n["end"], F.col("__first")))
+    parts = [F.col("__first"), numbers] + [_kind("user", find_literal(t, v)) for v in dict.fromkeys(extra or []) if v]
     order = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))
-    return _back(F.array_sort(F.transform(F.concat(*parts), order)))
+    return settle(out, **{name: _back(F.array_sort(F.transform(F.concat(*parts), order)))}).drop("__first", "__numbers")
 
 
 def _back(spans: Column) -> Column:
@@ -76,6 +78,6 @@ def lost_values(pairs: DataFrame, keys: list[str], before: str = "before", after
     """Values protected more often before than after: keys, value, expected, actual. Kind and place do not count."""
     sides = []
     for column, n in ((before, "expected"), (after, "actual")):
-        sides.append(pairs.select(*keys, F.explode(protected_spans(F.col(column), extra, marker)).alias("s")).select(*keys, F.col("s.value").alias("value"), F.lit(int(n == "expected")).alias("e")))
+        sides.append(with_protected(pairs.select(*keys, column), column, "__p", extra, marker).select(*keys, F.explode("__p").alias("s")).select(*keys, F.col("s.value").alias("value"), F.lit(int(n == "expected")).alias("e")))
     counted = sides[0].unionByName(sides[1]).groupBy(*keys, "value").agg(F.sum("e").alias("expected"), F.sum(1 - F.col("e")).alias("actual"))
     return counted.where("actual < expected")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwarp.functions.offsets import find_all, split_spans
+from inkwarp.functions.offsets import find_all, settle, split_spans
 
 PARAGRAPHS = "array<struct<start:int,end:int,kind:string,heading:string,heading_level:int,sentences:array<struct<start:int,end:int,value:string>>,paragraph:int,section_heading:string,bodies:int>>"
 
@@ -21,38 +21,47 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, "(?U)^\\s+|\\s+\\z", "")
 
 
-def paragraphs(text: Column) -> Column:
-    """Blocks between blank lines with their offsets, kind (heading or body), sentences, and section path.
+def with_structure(df: DataFrame, text: str, name: str = "structure") -> DataFrame:
+    """``df`` with the paragraphs of a text: offsets, kind (heading or body), sentences, and section path.
 
-    A block is a heading only if it is one heading line. ``bodies`` counts the body blocks up to and with this one.
+    Blocks lie between blank lines; one is a heading only if it is one heading line. ``bodies`` counts the body blocks up to and
+    with this one. A null text has none.
     """
-    whole = F.length(text)
-
-    def trimmed(p: Column) -> Column:
-        # without blank lines before and after, with the line feed that ends its last line
-        lead = F.length(F.regexp_extract(p["value"], "(?U)^(\\s*\\n)", 1))
-        core = F.regexp_extract(F.substring(p["value"], lead + 1, whole), "(?sU)^(.*\\S[^\\n]*)", 1)
-        start = p["start"] + lead
-        end = F.least(start + F.length(core) + 1, whole)
-        return F.struct(start.alias("start"), end.alias("end"), F.substring(text, start + 1, end - start).alias("value"))
-
-    blocks = F.transform(F.filter(split_spans(text, BLANK_LINES), lambda p: strip(p["value"]) != ""), trimmed)
+    t = F.coalesce(F.col(text), F.lit(""))
+    whole = F.length(t)
+    out = settle(df, __gaps=F.filter(split_spans(t, BLANK_LINES), lambda p: strip(p["value"]) != ""))
+    # without blank lines before and after
+    out = settle(out, __cores=F.transform("__gaps", lambda p: F.struct(p["start"].alias("at"), F.length(F.regexp_extract(p["value"], "(?U)^(\\s*\\n)", 1)).alias("lead"), F.regexp_extract(p["value"], "(?sU)^(?:\\s*\\n)?(.*\\S[^\\n]*)", 1).alias("core"))))
+    # with the line feed that ends the last line
+    out = settle(out, __blocks=F.transform("__cores", lambda c: F.struct((c["at"] + c["lead"]).alias("start"), F.least(c["at"] + c["lead"] + F.length(c["core"]) + 1, whole).alias("end"), c["core"].alias("core"))))
+    out = settle(
+        out,
+        __told=F.transform(
+            "__blocks",
+            lambda p: F.struct(
+                p["start"].alias("start"),
+                p["end"].alias("end"),
+                F.when(F.instr(p["core"], "\n") == 0, F.regexp_extract(strip(p["core"]), HEADING, 1)).otherwise("").alias("mark"),
+                strip(p["core"]).alias("line"),
+                F.filter(find_all(F.substring(t, p["start"] + 1, p["end"] - p["start"]), SENTENCE), lambda s: strip(s["value"]) != "").alias("found"),
+            ),
+        ),
+    )
 
     def described(p: Column) -> Column:
-        line = strip(p["value"])
-        level = F.when(F.instr(F.regexp_replace(p["value"], "\\n+\\z", ""), "\n") == 0, F.length(F.regexp_extract(line, HEADING, 1))).otherwise(F.lit(0))
-        found = F.filter(find_all(p["value"], SENTENCE), lambda s: strip(s["value"]) != "")
-        moved = F.transform(found, lambda s: F.struct((s["start"] + p["start"]).alias("start"), (s["end"] + p["start"]).alias("end"), s["value"].alias("value")))
-        alone = F.array(F.struct(p["start"].alias("start"), p["end"].alias("end"), p["value"].alias("value")))
+        moved = F.transform(p["found"], lambda s: F.struct((s["start"] + p["start"]).alias("start"), (s["end"] + p["start"]).alias("end"), s["value"].alias("value")))
+        alone = F.array(F.struct(p["start"].alias("start"), p["end"].alias("end"), p["line"].alias("value")))
+        head = p["mark"] != ""
         return F.struct(
             p["start"].alias("start"),
             p["end"].alias("end"),
-            F.when(level > 0, "heading").otherwise("body").alias("kind"),
-            F.when(level > 0, F.regexp_extract(line, HEADING, 2)).otherwise("").alias("heading"),
-            level.alias("heading_level"),
-            F.when(F.size(found) > 0, moved).otherwise(alone).alias("sentences"),
+            F.when(head, "heading").otherwise("body").alias("kind"),
+            F.when(head, F.regexp_extract(p["line"], HEADING, 2)).otherwise("").alias("heading"),
+            F.length(p["mark"]).alias("heading_level"),
+            F.when(F.size(p["found"]) > 0, moved).otherwise(alone).alias("sentences"),
         )
 
+    out = settle(out, __described=F.transform("__told", described))
     zero = F.struct(F.array().cast("array<string>").alias("path"), F.lit(0).alias("bodies"), F.array().cast(PARAGRAPHS).alias("out"))
 
     def placed(acc: Column, p: Column) -> Column:
@@ -61,7 +70,7 @@ def paragraphs(text: Column) -> Column:
         row = F.struct(p["start"].alias("start"), p["end"].alias("end"), p["kind"].alias("kind"), p["heading"].alias("heading"), p["heading_level"].alias("heading_level"), p["sentences"].alias("sentences"), (F.size(acc["out"]) + 1).alias("paragraph"), F.array_join(path, " > ").alias("section_heading"), bodies.alias("bodies"))
         return F.struct(path.cast("array<string>").alias("path"), bodies.alias("bodies"), F.concat(acc["out"], F.array(row)).cast(PARAGRAPHS).alias("out"))
 
-    return F.aggregate(F.transform(blocks, described), zero, placed, lambda acc: acc["out"])
+    return settle(out, **{name: F.aggregate("__described", zero, placed, lambda acc: acc["out"])}).drop("__gaps", "__cores", "__blocks", "__told", "__described")
 
 
 def location(structure: Column, at: Column) -> Column:

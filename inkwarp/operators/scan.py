@@ -13,9 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwarp.functions.offsets import column_of, context, find_all, line_of, mask
-from inkwarp.functions.spans import MARKER, overlaps, protected_spans
-from inkwarp.functions.structure import COMMENT, FENCE, location, paragraphs, rhythm_kind, strip
+from inkwarp.functions.offsets import column_of, context, find_all, line_of, mask, settle
+from inkwarp.functions.spans import MARKER, overlaps, with_protected
+from inkwarp.functions.structure import COMMENT, FENCE, location, rhythm_kind, strip, with_structure
 from inkwarp.operators.rules import KOREAN, Allowance, Rule, gate_rules
 
 HITS = "array<struct<rule_id:string,start:int,end:int,evidence:string,shape:string>>"
@@ -130,9 +130,10 @@ def _structural(rule: Rule, text: Column, structure: Column, protected: Column)
 
 def prepare(documents: DataFrame, text: str = "text", extra: list[str] | None = None, marker: str = MARKER) -> DataFrame:
     """``documents`` with protected spans of the raw text, the text without comments and code, and its structure."""
-    out = documents.withColumn("protected", protected_spans(F.col(text), extra, marker))
-    out = out.withColumn("scan_text", mask(mask(F.col(text), COMMENT), FENCE))
-    return out.withColumn("structure", paragraphs(F.col("scan_text")))
+    out = with_protected(documents, text, "protected", extra, marker)
+    out = settle(out, __open=mask(F.col(text), COMMENT))
+    out = settle(out, scan_text=mask(F.col("__open"), FENCE)).drop("__open")
+    return with_structure(out, "scan_text")
 
 
 def _allowance(allow: Sequence[Allowance]) -> Column:
@@ -169,9 +170,9 @@ def scan(
     build = {"regex": lambda r: _regex(r, st, sp), "triadic_chain": lambda r: _triads(r, st, sp), "sentence_run": lambda r: _sentence_run(r, st, sp), "structural": lambda r: _structural(r, st, ss, sp)}
     hits = [build[r.anchor_type](r).cast(HITS) for r in scanned]
     found = F.concat(*hits) if hits else F.array().cast(HITS)
-    at = rows.withColumn("hits", found).select("document_id", "text", "structure", F.explode("hits").alias("h"))
-    placed = at.select("document_id", "h.*", line_of(F.col("text"), F.col("h.start")).alias("line"), column_of(F.col("text"), F.col("h.start")).alias("column"), context(F.col("text"), F.col("h.start"), F.col("h.end")).alias("context"), location(F.col("structure"), F.col("h.start")).alias("place"))
-    placed = placed.select(*[c for c in placed.columns if c != "place"], "place.*").withColumn("allowance", _allowance(allow))
+    at = rows.select("document_id", "text", "structure", F.explode(found).alias("h"))
+    placed = at.select("document_id", "h.*", line_of(F.col("text"), F.col("h.start")).alias("line"), column_of(F.col("text"), F.col("h.start")).alias("column"), context(F.col("text"), F.col("h.start"), F.col("h.end")).alias("context"), F.inline(F.array(location(F.col("structure"), F.col("h.start")))))
+    placed = placed.withColumn("allowance", _allowance(allow))
     done = placed.withColumn("allowed", F.col("allowance").isNotNull()).withColumn("allow_scope", F.col("allowance.scope")).withColumn("allow_reason", F.col("allowance.reason"))
     return done.select(*FINDING)
 
@@ -214,7 +215,8 @@ def paragraph_rhythm(documents: DataFrame, key: str = "document_id", text: str =
 
     The mean and the ratio are null where there is no prose paragraph.
     """
-    rows = documents.select(F.col(key).alias("document_id"), mask(mask(F.col(text), COMMENT), FENCE).alias("t")).withColumn("s", paragraphs(F.col("t")))
+    rows = settle(documents.select(F.col(key).alias("document_id"), F.col(text).alias("x")), o=mask(F.coalesce("x", F.lit("")), COMMENT))
+    rows = with_structure(settle(rows, t=mask(F.col("o"), FENCE)).select("document_id", "t"), "t", "s")
     each = rows.select("document_id", F.explode_outer(F.transform("s", lambda p: F.struct(rhythm_kind(F.col("t"), p).alias("kind"), F.size(p["sentences"]).alias("n")))).alias("p")).select("document_id", "p.*")
     prose = F.col("kind") == "prose"
     left = [F.count_if(F.col("kind") == k).alias(f"excluded_{k}") for k in ("heading", "blockquote", "list", "table", "horizontal_rule")]
