@@ -51,8 +51,8 @@ def _walk(text: Column, pattern: str, gaps: bool) -> Column:
 
 
 def find_all(text: Column, pattern: str) -> Column:
-    """Every non-overlapping match: ARRAY<STRUCT<start, end, value>>."""
-    return _walk(text, pattern, gaps=False)
+    """Every non-overlapping match: ARRAY<STRUCT<start, end, value>>. A text without a match costs one search."""
+    return F.when(text.rlike(pattern), _walk(text, pattern, gaps=False)).when(text.isNotNull(), empty_spans())
 
 
 def find_literal(text: Column, value: str) -> Column:

@@ -36,8 +36,13 @@ FORMS = [{"id": "match", "forms": ["경기", "선수"]}, {"id": "sky", "forms":
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Manuscripts once each, with a text."""
-    return table(spark, folder, "manuscripts").where("text is not null").groupBy("document_id").agg(F.min("text").alias("text"))
+    """Manuscripts once each, with a text.
+
+    The partitioning by document is stated with a number, so that the few bytes of a small table still keep all cores busy with what
+    follows; the aggregate needs it anyway.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, folder, "manuscripts").where("text is not null").select("document_id", "text").repartition(parts, "document_id").groupBy("document_id").agg(F.min("text").alias("text"))
 
 
 def _edited(text: F.Column) -> F.Column:
