@@ -196,14 +196,20 @@ class HistoryIndex:
     """The index kept between batches: units, postings (partitioned by token shard), keys and classes.
 
     ``probe`` holds a batch against history and itself; ``append`` accepts it. The rarity table is made from
-    the first batch and kept, for its order must stay; tokens that come later count as rare.
+    the first batch and kept, for its order must stay; tokens that come later count as rare. An index is opened again by
+    its folder. A batch whose ``append`` broke off can be probed and appended again: rows written twice change no result.
     """
 
     def __init__(self, spark, folder: str, threshold: float = THRESHOLD, title_edits: int = TITLE_EDITS, shards: int = SHARDS) -> None:
         self.spark, self.folder, self.shards = spark, folder.rstrip("/"), shards
         self.threshold, self.title_edits = threshold, title_edits
         self._sketch: np.ndarray | None = None
-        self._batches = 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/classes")  # written last by a first batch
+        self._batches = int(path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path))
+        if self._batches:
+            self._sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
+            kept = self._read("rarity").toPandas()  # at most 2**SKETCH_BITS rows
+            self._sketch[kept["b"].to_numpy()] = kept["n"].to_numpy()
 
     def _read(self, name: str) -> DataFrame | None:
         return self.spark.read.parquet(f"{self.folder}/{name}") if self._batches else None
@@ -238,7 +244,10 @@ class HistoryIndex:
     def append(self) -> None:
         """Accept the batch that was probed last."""
         reps = self._reps
-        if self._batches:
+        if not self._batches:
+            hit = np.flatnonzero(self._sketch)
+            self.spark.createDataFrame(pd.DataFrame({"b": hit.astype(np.int32), "n": self._sketch[hit]}), "b int, n int").write.mode("overwrite").parquet(f"{self.folder}/rarity")
+        else:
             reps = reps.join(self._read("units").select("unit"), "unit", "left_anti")
         reps.write.mode("append").parquet(f"{self.folder}/units")
         fresh = self._posts.join(reps.select("unit"), "unit", "left_semi")

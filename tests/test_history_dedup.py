@@ -57,9 +57,10 @@ def test_finds_repeats(spark):
 
 def test_batches_equal_one_load(spark, tmp_path):
     rows, first = _records(8)
-    index = HistoryIndex(spark, str(tmp_path / "index"))
     got = {}
     for b in range(6):
+        if b in (0, 3):  # opened again by its folder
+            index = HistoryIndex(spark, str(tmp_path / "index"))
         df = spark.createDataFrame([r for r in rows if r[1] == b], SCHEMA)
         got |= {r.rec: r["first"] for r in index.probe(article_units(df), _keys(df)).collect()}
         index.append()
