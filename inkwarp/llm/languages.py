@@ -40,7 +40,7 @@ RARE_LABEL = 0.02
 SURE = 0.7
 
 _BLOCKS = ((0xAC00, 0xD7AF), (0x1100, 0x11FF), (0x3040, 0x309F), (0x30A0, 0x30FF), (0x4E00, 0x9FFF), (0x0400, 0x04FF), (0x0061, 0x007A), (0x00DF, 0x017F), (0x0E00, 0x0E7F), (0x0900, 0x097F), (0x0600, 0x06FF), (0x0370, 0x03FF))
-_SCRIPTS = {"hangul": "[\\x{1100}-\\x{11FF}\\x{AC00}-\\x{D7AF}]", "kana": "[\\x{3040}-\\x{30FF}]", "han": "[\\x{3400}-\\x{9FFF}]", "cyrillic": "[\\x{0400}-\\x{04FF}]", "latin": "[A-Za-z\\x{00C0}-\\x{024F}]"}
+_SCRIPTS = {"hangul": re.compile("[ᄀ-ᇿ가-힯]"), "kana": re.compile("[぀-ヿ]"), "han": re.compile("[㐀-鿿]"), "cyrillic": re.compile("[Ѐ-ӿ]"), "latin": re.compile("[A-Za-zÀ-ɏ]")}
 _NOISE = re.compile(r"[\W\d_]+")
 _BRACKET = re.compile(r"[(（\[［][^()（）\[\]［］]{0,80}[)）\]］]")
 _SIDES = re.compile(r"\s+[/=|:;–—·]+\s+|\s*[／＝｜]\s*")
@@ -214,32 +214,32 @@ def language_code(label: Column) -> Column:
     return F.try_element_at(known, base)
 
 
-def main_script(text: Column) -> Column:
+def main_script(text: str) -> str:
     """The script most of a text's letters are in; '' without any. Kana make a text Japanese, however many Han characters."""
-    kana = F.struct((F.regexp_count(text, F.lit(_SCRIPTS["kana"])) * 10).alias("n"), F.lit("kana").alias("s"))
-    others = [F.struct(F.regexp_count(text, F.lit(p)).alias("n"), F.lit(name).alias("s")) for name, p in _SCRIPTS.items() if name != "kana"]
-    most = F.array_max(F.array(kana, *others))
-    return F.when(most["n"] > 0, most["s"]).otherwise(F.lit(""))
+    counts = {name: len(p.findall(text)) * (10 if name == "kana" else 1) for name, p in _SCRIPTS.items()}
+    most = max(counts, key=counts.__getitem__)
+    return most if counts[most] else ""
 
 
 def sample_labelled(entries: DataFrame, text: str, label: str, key: list[str], most: int = SAMPLE, rare: float = RARE_LABEL) -> list[tuple[str, str]]:
     """At most ``most`` labelled texts of each language, those with the least hash of ``key``.
 
     Labels that fewer than ``rare`` of all labelled texts in a script have are taken as slips and left out; without that, a rare
-    language's sample would be filled with them.
+    language's sample would be filled with them. The shares come from the counts of all labels and the scripts of four samples' worth
+    of texts of each, so no text is read for it that is not sampled.
     """
     known = entries.select(F.col(text).alias("text"), language_code(F.col(label)).alias("label"), F.xxhash64(*key).alias("h")).where(F.col("label").isNotNull() & F.col("text").isNotNull())
-    known = known.withColumn("script", main_script(F.col("text"))).where("script <> ''")
-    tally = {(r.script, r.label): r["count"] for r in known.groupBy("script", "label").count().collect()}  # a row for each pair of script and language
-    whole: dict[str, int] = {}
-    for (script, _), n in tally.items():
-        whole[script] = whole.get(script, 0) + n
-    usual = F.lit(False)
-    for (script, lang), n in sorted(tally.items()):
-        if n >= rare * whole[script]:
-            usual = usual | ((F.col("script") == script) & (F.col("label") == lang))
-    picked = known.where(usual).withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("n") <= most)
-    return sorted((r.label, r.text) for r in picked.select("label", "text").collect())
+    whole = {r.label: r["count"] for r in known.groupBy("label").count().collect()}  # a row for each language
+    picked = known.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("n") <= 4 * most)
+    drawn: dict[str, list[tuple[str, str]]] = {}
+    for r in sorted(picked.select("label", "n", "text").collect()):
+        drawn.setdefault(r.label, []).append((main_script(r.text), r.text))
+    weight = {(script, lang): sum(s == script for s, _ in rows) * whole[lang] / len(rows) for lang, rows in drawn.items() for script in _SCRIPTS}
+    out = []
+    for lang, rows in sorted(drawn.items()):
+        usual = {s for s in _SCRIPTS if weight[s, lang] > 0 and weight[s, lang] >= rare * sum(weight[s, x] for x in drawn)}
+        out += [(lang, t) for s, t in rows if s in usual][:most]
+    return out
 
 
 def train_on(sample: list[tuple[str, str]], **more) -> Model:
