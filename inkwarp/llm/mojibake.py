@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 MAX_LAYERS = 4
 #: A text is changed if its cost drops by at least this much.
 LEAST_DROP = 0.9
+#: A text of which no word costs this much is sound.
+LEAST_WORD = 0.7
 #: A restored text is given if its cost for each character beyond ASCII is at most this.
 MOST_LEFT = 0.6
 
@@ -33,6 +35,8 @@ _WIDE = {"cp949", "cp932", "gbk", "gb18030", "big5", "euc_jp"}
 
 _HIGH = re.compile("[^\x00-\x7f]+")
 _UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+")
+_WHOLE_UTF8 = re.compile(rb"(?<![\x80-\xff])" + _UTF8.pattern + rb"(?![\x80-\xff])")
+_C1 = {chr(c) for c in range(0x80, 0xA0)}
 _SURE = re.compile("[�\x80-\x84\x86-\x9f]")
 #: Signs of Latin-1 and of the usual 8-bit code pages that stand alone in sound text.
 _SIGNS = set("¡¢£¤¥¦§¨©ª¬®¯°±²³´µ¶¸¹º¼½¾¿×÷‚ƒ„†‡ˆ‰‹•˜™›€¤∞∂∑∏∫√≈≠≤≥◊Ω⌐¬")
@@ -84,6 +88,8 @@ def _kind(c: str) -> str:
     return "o"
 
 
+#: Characters beyond ASCII, and ASCII letters after one.
+_NEAR = re.compile("[^\x00-\x7f]|(?<=[^\x00-\x7f])[A-Za-z]")
 _DENSE = set("hHkcCjK")
 _LETTERS = set("alLgyY")
 #: Letters of further scripts in wide use: Greek, Armenian, Hebrew, Arabic, Devanagari to Malayalam, Thai, Georgian.
@@ -93,11 +99,15 @@ _COMMON_CYRILLIC = set("оеаинтсрвлкмдпуОЕАИНТСРВЛКМД
 
 
 def cost(s: str, left: str = " ", right: str = " ") -> float:
-    """How garbled ``s`` looks between its neighbours; about 0.1 a character for sound text."""
-    kinds = [_kind(c) for c in left + s + right]
-    total = 0.0
-    for i in range(1, len(kinds) - 1):
-        k, p, n = kinds[i], kinds[i - 1], kinds[i + 1]
+    """How garbled ``s`` looks between its neighbours; about 0.1 a character for sound text.
+
+    Only characters beyond ASCII, and letters next to them, cost anything; all others are passed over.
+    """
+    whole = left + s + right
+    last, total = len(whole) - 1, 0.0
+    for m in _NEAR.finditer(whole, 1, last):
+        i = m.start()
+        k, p, n = _kind(whole[i]), _kind(whole[i - 1]), _kind(whole[i + 1])
         if k in "a0 .":
             total += 0.3 if k == "a" and (p in _DENSE or p in "yY") else 0.0
         elif k == "!":
@@ -114,7 +124,7 @@ def cost(s: str, left: str = " ", right: str = " ") -> float:
                 total += 1
             if p in "yY" or n in "yY":
                 total += 0.8
-            if k == "l" and n == "a" and (left + s + right)[i + 1].isupper():
+            if k == "l" and n == "a" and whole[i + 1].isupper():
                 total += 0.8
             if k == "L" and p in "la":
                 total += 1
@@ -123,7 +133,7 @@ def cost(s: str, left: str = " ", right: str = " ") -> float:
         elif k == "b":
             total += 1.2 if p in "lLsga_yY" or n in "lLsga_yY" else 0.3
         elif k == "y":
-            total += 0.1 if (left + s + right)[i] in _COMMON_CYRILLIC else 0.35
+            total += 0.1 if whole[i] in _COMMON_CYRILLIC else 0.35
             if p in "alLg" or n in "alLg":
                 total += 0.7
         elif k in "hk":
@@ -147,15 +157,16 @@ def cost(s: str, left: str = " ", right: str = " ") -> float:
         elif k == "n":
             total += 0.9 if p in "hHcC" or n in "hHcC" else 0.3
         elif k == "p":
-            total += 0.8 if p in "lLs!" and n in "lLsa!" else 0.1
+            inside = p in "alL" and n in "alL" and whole[i] not in "’‘·‐‑"
+            total += 0.9 if inside or p in "lLs!" and n in "lLsa!" else 0.1
         elif k == "g":
-            total += (0.2 if (left + s + right)[i] in _KNOWN else 1.5) + (1.2 if p in "lLasbyY" or n in "lLasbyY" else 0)
+            total += (0.2 if whole[i] in _KNOWN else 1.5) + (1.2 if p in "lLasbyY" or n in "lLasbyY" else 0)
         elif k == "o":
             total += 0.4 + (1.5 if p in "lLayYhcg" or n in "lLayYhcg" else 0)
         else:
             total += 0.3
         if k == "y" and p == "y":
-            a, b = (left + s + right)[i - 1 : i + 1]
+            a, b = whole[i - 1], whole[i]
             if a.islower() and b.isupper():
                 total += 1
     return total
@@ -266,6 +277,18 @@ def _try_legacy(text: str, written: str, read: str) -> tuple[str, float] | None:
     return ("".join(out) + text[at:], total) if total >= LEAST_DROP else None
 
 
+def suspicious(text: str) -> bool:
+    """Whether some word costs as much as garbled ones do; only such texts are taken apart."""
+    return any(cost(w) >= LEAST_WORD for w in text.split() if not w.isascii())
+
+
+def _may_be_utf8(text: str, encoding: str) -> bool:
+    """Whether the bytes of the text hold anything like UTF-8 at all; for sound scripts, a whole run of them."""
+    if encoding in _WIDE or encoding in _CYRILLIC:
+        return _WHOLE_UTF8.search(text.encode(encoding, "replace")) is not None
+    return _UTF8.search(text.encode(encoding, "ignore")) is not None or not _C1.isdisjoint(text)
+
+
 def _fits(read: str, kinds: set[str]) -> bool:
     """Whether text of these kinds may have been read in this encoding."""
     if read in _CYRILLIC:
@@ -281,12 +304,12 @@ def repair(text: str | None) -> tuple[str, int]:
     Of all candidates that lower the cost enough, the one with the least cost left is taken. Further layers
     must have been read in the encoding of the first, as one reader makes them.
     """
-    if not text or text.isascii():
+    if not text or text.isascii() or not suspicious(text):
         return text or "", 0
     kinds = {_kind(c) for c in set(text)}
     best = (cost(text) - LEAST_DROP, 0, text, 0)
     for i, read in enumerate(UTF8_READ_AS):
-        if _fits(read, kinds) and (got := _try_utf8(text, read)):
+        if _fits(read, kinds) and _may_be_utf8(text, read) and (got := _try_utf8(text, read)):
             new, layers, reads = got[0], 1, ("cp1252", "latin-1") if read in ("cp1252", "latin-1") else (read,)
             while layers < MAX_LAYERS and read not in _WIDE and (more := [g for g in (_try_utf8(new, r) for r in reads) if g]):
                 new, layers = min(more, key=lambda g: cost(g[0]))[0], layers + 1
