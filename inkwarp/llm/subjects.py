@@ -103,40 +103,68 @@ def _factor(sums: np.ndarray, doubt: float = DOUBT) -> np.ndarray:
     return h
 
 
-def mixture(cols: np.ndarray, vals: np.ndarray, h: np.ndarray, steps: int = 2) -> np.ndarray:
-    """Weights of the components in a document: multiplicative updates for the Kullback-Leibler divergence."""
+def mixtures(cols: np.ndarray, vals: np.ndarray, owner: np.ndarray, n: int, h: np.ndarray, steps: int = 2) -> np.ndarray:
+    """Weights of the components in ``n`` documents at once: multiplicative updates for the Kullback-Leibler divergence.
+
+    ``cols``, ``vals`` and ``owner`` are the entries of the matrix: term, weight and document.
+    """
     part = h[cols]
-    used = part.sum(axis=1) > 0
-    part, x = part[used], np.minimum(vals[used], MOST_COUNT)
-    w = np.full(h.shape[1], x.sum() / h.shape[1] + 1e-9)
+    used = part.any(axis=1)
+    part, owner, x = part[used], owner[used], np.minimum(vals[used], MOST_COUNT)
+    k = h.shape[1]
+    w = np.repeat(np.bincount(owner, weights=x, minlength=n)[:, None] / k + 1e-9, k, axis=1)
     for _ in range(steps):
-        fit = part @ w
+        fit = np.einsum("ij,ij->i", part, w[owner])
         ratio = np.divide(x, fit, out=np.zeros_like(fit), where=fit > 0)
-        w = w * (part.T @ ratio)
+        w *= np.stack([np.bincount(owner, weights=part[:, j] * ratio, minlength=n) for j in range(k)], axis=1)
     return w
 
 
-def _membership(w: np.ndarray, whole: float) -> np.ndarray:
-    """A document's share in each component; the last one is that of no subject."""
-    subject = w[:-1].sum()
-    out = np.zeros(len(w))
-    if subject < LEAST_TERMS or subject < LEAST_DENSITY * whole or w[-1] > subject:
-        out[-1] = 1.0
-        return out
-    share = w[:-1] / subject
-    share[share < LEAST_SHARE] = 0.0
-    out[:-1] = share / share.sum()
+def mixture(cols: np.ndarray, vals: np.ndarray, h: np.ndarray, steps: int = 2) -> np.ndarray:
+    """Weights of the components in one document."""
+    return mixtures(cols, vals, np.zeros(len(cols), dtype=np.int64), 1, h, steps)[0]
+
+
+def memberships(w: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Each document's share in each component; the last one is that of no subject."""
+    subject = w[:, :-1].sum(axis=1)
+    none = (subject < LEAST_TERMS) | (subject < LEAST_DENSITY * whole) | (w[:, -1] > subject)
+    share = w[:, :-1] / np.maximum(subject, 1e-9)[:, None]
+    share[(share < LEAST_SHARE) | none[:, None]] = 0.0
+    out = np.zeros_like(w)
+    out[:, :-1] = share / np.maximum(share.sum(axis=1), 1e-9)[:, None]
+    out[none, -1] = 1.0
     return out
 
 
+def _flat(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries of a batch: columns, values, and the row they belong to."""
+    sizes = np.fromiter(map(len, b["cols"]), dtype=np.int64, count=len(b))
+    if not sizes.sum():
+        return np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+    return np.concatenate(b["cols"].to_list()).astype(np.int64), np.concatenate(b["vals"].to_list()).astype(np.float64), np.repeat(np.arange(len(b)), sizes)
+
+
+def _solve(b: pd.DataFrame, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The entries of a batch and the memberships of its rows; a row without terms belongs to nothing."""
+    cols, vals, owner = _flat(b)
+    n = len(b)
+    whole = np.bincount(owner, weights=np.minimum(vals, MOST_COUNT), minlength=n)
+    m = memberships(mixtures(cols, vals, owner, n, h), whole)
+    m[np.bincount(owner, minlength=n) == 0] = 0.0
+    return cols, vals, owner, m
+
+
 def _column_sums(rows: DataFrame, make, parts: int, size: int) -> np.ndarray:
-    """Sum over all rows of ``make`` (batch -> list of columns, values, membership): partition sums, then by column."""
+    """Sum over all rows of ``make`` (batch -> columns, values, owners, memberships): partition sums, then by column."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc = np.zeros((size, parts), dtype=np.float64)
         for b in batches:
-            for cols, vals, m in make(b):
-                np.add.at(acc, cols, np.minimum(vals, MOST_COUNT)[:, None] * m[None, :])
+            cols, vals, owner, m = make(b)
+            x = np.minimum(vals, MOST_COUNT)
+            for k in np.flatnonzero(m.any(axis=0)):
+                acc[:, k] += np.bincount(cols, weights=x * m[owner, k], minlength=size)
         hit = np.flatnonzero(acc.any(axis=1))
         yield pd.DataFrame({"c": hit.astype(np.int32)} | {f"s{k}": acc[hit, k] for k in range(parts)})
 
@@ -158,11 +186,11 @@ def subject_factor(matrix: DataFrame, key: str, labels: DataFrame, subjects: lis
     at = {c: i for i, c in enumerate(codes)}
 
     def seeded(b: pd.DataFrame):
-        for cols, vals, own in zip(b["cols"], b["vals"], b["own"], strict=True):
-            m = np.zeros(parts)
+        m = np.zeros((len(b), parts))
+        for i, own in enumerate(b["own"]):
             for s in own:
-                m[at[s]] = 1.0 / len(own)
-            yield np.asarray(cols, dtype=np.int64), np.asarray(vals, dtype=np.float64), m
+                m[i, at[s]] = 1.0 / len(own)
+        return *_flat(b), m
 
     known = labels.where(F.col("subject").isin(codes) & F.col(key).isNotNull()).groupBy(key).agg(F.collect_set("subject").alias("own"))
     sums = _column_sums(matrix.join(known, key).select("cols", "vals", "own"), seeded, parts, size)
@@ -175,10 +203,7 @@ def subject_factor(matrix: DataFrame, key: str, labels: DataFrame, subjects: lis
         held = context.broadcast(_factor(sums, 0.0 if step == 0 else DOUBT))
 
         def solved(b: pd.DataFrame, held=held):
-            for cols, vals in zip(b["cols"], b["vals"], strict=True):
-                cols, vals = np.asarray(cols, dtype=np.int64), np.asarray(vals, dtype=np.float64)
-                if len(cols):
-                    yield cols, vals, _membership(mixture(cols, vals, held.value), np.minimum(vals, MOST_COUNT).sum())
+            return _solve(b, held.value)
 
         sums = _column_sums(matrix.select("cols", "vals"), solved, parts, size)
     return _factor(sums)
@@ -191,13 +216,10 @@ def subject_mixtures(matrix: DataFrame, key: str, h: np.ndarray, codes: list[str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for k, cols, vals in zip(b["k"], b["cols"], b["vals"], strict=True):
-                if len(cols):
-                    vals = np.asarray(vals, dtype=np.float64)
-                    m = _membership(mixture(np.asarray(cols, dtype=np.int64), vals, held.value), np.minimum(vals, MOST_COUNT).sum())
-                    out += [(k, codes[i], float(m[i])) for i in np.flatnonzero(m[:-1])]
-            yield pd.DataFrame(out, columns=["k", "subject_code", "share"])
+            m = _solve(b, held.value)[3][:, :-1]
+            row, kind_ = np.nonzero(m)
+            if len(row):
+                yield pd.DataFrame({"k": b["k"].to_numpy()[row], "subject_code": np.array(codes, dtype=object)[kind_], "share": m[row, kind_]})
 
     return matrix.select(F.col(key).alias("k"), "cols", "vals").mapInPandas(run, f"k {kind}, subject_code string, share double").withColumnRenamed("k", key)
 
