@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -43,29 +43,48 @@ _WORD = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"([가-힣]+)|([぀-ヿ㐀-鿿豈-﫿]+)|([฀-໿]+)|([^가-힣぀-ヿ㐀-鿿豈-﫿฀-໿]+)")
 
 
+def _word_terms(word: str) -> list[tuple[str, float]]:
+    """Weighted terms of a word: itself; pairs of characters of Hangul (together 1), and of scripts without spaces."""
+    if word.isascii():
+        return [(word, 1.0)]
+    out = []
+    for m in _RUN.finditer(word):
+        run = m.group()
+        if m.group(4):
+            out.append((run, 1.0))
+            continue
+        grams = [run[i : i + 2] for i in range(len(run) - 1)] or [run]
+        each = 1.0 / len(grams) if m.group(1) else 0.5
+        out += [(g, each) for g in grams]
+    return out
+
+
+@lru_cache(maxsize=200_000)
+def _word_columns(word: str, bits: int) -> list[tuple[int, float]]:
+    return [(xxhash.xxh32_intdigest(t) & ((1 << bits) - 1), w) for t, w in _word_terms(word)]
+
+
+def _words(text: str) -> list[str]:
+    return _WORD.findall(unicodedata.normalize("NFKC", text).lower())
+
+
 def terms(texts: list[str]) -> dict[str, float]:
-    """Weighted terms: words; pairs of characters of Hangul words (a word weighs 1), and of scripts without spaces."""
-    out: Counter[str] = Counter()
+    """Weighted terms of texts."""
+    out: dict[str, float] = {}
     for text in texts:
-        for word in _WORD.findall(unicodedata.normalize("NFKC", text).lower()):
-            for m in _RUN.finditer(word):
-                run = m.group()
-                if m.group(4):
-                    out[run] += 1.0
-                    continue
-                grams = [run[i : i + 2] for i in range(len(run) - 1)] or [run]
-                each = 1.0 / len(grams) if m.group(1) else 0.5
-                for g in grams:
-                    out[g] += each
+        for word in _words(text):
+            for t, w in _word_terms(word):
+                out[t] = out.get(t, 0.0) + w
     return out
 
 
-def columns(weights: dict[str, float], bits: int) -> tuple[list[int], list[float]]:
-    """Hashed columns of terms, summed and sorted."""
+def columns(texts: list[str], bits: int) -> tuple[list[int], list[float]]:
+    """Hashed columns of the terms of texts, summed and sorted."""
     by: dict[int, float] = {}
-    for t, w in weights.items():
-        c = xxhash.xxh32_intdigest(t) & ((1 << bits) - 1)
-        by[c] = by.get(c, 0.0) + w
+    for text in texts:
+        for word in _words(text):
+            for c, w in _word_columns(word, bits):
+                by[c] = by.get(c, 0.0) + w
     order = sorted(by)
     return order, [by[c] for c in order]
 
@@ -76,7 +95,7 @@ def term_matrix(df: DataFrame, key: str, texts: str, bits: int = BITS) -> DataFr
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            done = [columns(terms([x for x in (t if t is not None else ()) if x]), bits) for t in b["t"]]
+            done = [columns([x for x in (t if t is not None else ()) if x], bits) for t in b["t"]]
             yield pd.DataFrame({"k": b["k"], "cols": [c for c, _ in done], "vals": [v for _, v in done]})
 
     return df.select(F.col(key).alias("k"), F.col(texts).alias("t")).mapInPandas(run, f"k {kind}, cols array<int>, vals array<float>").withColumnRenamed("k", key)
@@ -195,7 +214,7 @@ def subject_factor(matrix: DataFrame, key: str, labels: DataFrame, subjects: lis
     known = labels.where(F.col("subject").isin(codes) & F.col(key).isNotNull()).groupBy(key).agg(F.collect_set("subject").alias("own"))
     sums = _column_sums(matrix.join(known, key).select("cols", "vals", "own"), seeded, parts, size)
     for c, names in subjects:
-        cols, vals = columns(terms([n for n in names if n]), bits)
+        cols, vals = columns([n for n in names if n], bits)
         sums[cols, at[c]] += vals
     context = matrix.sparkSession.sparkContext
     for step in range(rounds):
