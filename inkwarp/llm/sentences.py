@@ -178,7 +178,7 @@ def _stops(text: str, i: int, j: int, k: int, a: int, b: int) -> bool:
         return True
     if last in _REFERENCE or token in _REFERENCE:
         word = _word(text, k, 8, b)
-        if following == "0" or re.match(r"[A-ZА-Я](?:[.\d,)]|$)|[IVXLC]+\b", word):
+        if following == "0" or re.match(r"[A-ZА-Я][.\d,)]|[B-HJ-Z]$|[IVXLC]{2,}\b", word):
             return False
     if last.isdigit():
         if following == "0":

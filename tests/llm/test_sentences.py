@@ -7,7 +7,7 @@ CASES = [
     ["Fr. Velmor maß z. B. Salz am 3. Mai in Rimohul.", "Es waren ca. 3,5 Prozent, d. h. weniger.", "Man fand Seile usw.", "„Fertig. Niemand fragte.“", "Das war, u. a. in Rom, alles."],
     ["M. Orvel écrivit « Pas encore… » à côté.", "« Assez ! »", "J.-P. Osten a noté, p. ex., cela.", "Pourquoi ?"],
     ["¿Fue el coro?", "La Sra. Orvel vio el núm. 4.", "«Se acabó. Nadie habló.»", "A las 9 a. m. llegó D. K. T. Osten."],
-    ["В 7.30 ч. пришёл Проф. В. К. Орвел.", "А. Б. Тавик нашёл 3,2 мм и т. д. в том же месте.", "«Готово. Никто не спросил.»", "Письма числом 25.", "Иначе говоря, да."],
+    ["В 7.30 ч. пришёл Проф. В. К. Орвел.", "А. Б. Тавик нашёл 3,2 мм и т. д. в том же месте.", "«Готово. Никто не спросил.»", "Там соль и т. п.", "В архиве, см. рис. 3 и с. 12, лежат письма.", "Письма числом 25.", "Иначе говоря, да."],
     ["옛 문서는 분명하지 않다.", "Dr. 할베는 “끝났다. 다시 세어 보자.”라고 적었다.", "“이제 됐어!”", "(이때 아무도 말하지 않았다.)", "그는 '왜 지금이지? 아직 이르다.' 하고 갔다.", "2021. 3. 13.에 열렸다.", "기다렸다… 그러나 없었다.", "v2.2.1 판이 빠졌다!"],
     ["사람은 64명이 모였습니다", "저녁에는 사진을 함께 보았습니다"],
     ["ฝนตกตั้งแต่เช้าจนถึงเย็น", "รถคันนี้วิ่งได้ 30 กิโลเมตร", "หนังสือเล่มนี้เก่ามากแล้ว"],
