@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_BLOCK = 128
 SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -32,8 +33,17 @@ def literal(text: str) -> str:
     return "".join("\\" + c if c in "\\^$.|?*+()[]{}-&#~<>=!:" else c for c in text)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _walk(text: Column, pattern: str, gaps: bool) -> Column:
-    """Spans of the matches, or of what lies between them, by one fold over the lengths of both."""
+    """Spans of the matches, or of what lies between them, by a fold over the lengths of both.
+
+    Appending to an array copies it, so the fold runs over blocks and then over their results, which keeps a text of many matches
+    close to linear.
+    """
     hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     parts = F.zip_with(F.split(text, pattern, -1), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
     zero = F.struct(F.lit(0).alias("at"), empty_spans().alias("out"))
@@ -47,7 +57,15 @@ def _walk(text: Column, pattern: str, gaps: bool) -> Column:
             out = F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value")))))
         return F.struct(end.alias("at"), out.cast(SPANS).alias("out"))
 
-    return F.aggregate(parts, zero, step, lambda acc: acc["out"])
+    def join(acc: Column, block: Column) -> Column:
+        moved = F.transform(block["out"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["value"].alias("value")))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], moved).cast(SPANS).alias("out"))
+
+    def blocks(ps: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.floor((F.size(ps) - 1) / _BLOCK).cast("int")), lambda i: F.aggregate(F.slice(ps, i * _BLOCK + 1, F.lit(_BLOCK)), zero, step))
+        return F.aggregate(each, zero, join, lambda acc: acc["out"])
+
+    return let(parts, blocks)
 
 
 def find_all(text: Column, pattern: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwarp.functions.offsets import find_all, settle, split_spans
+from inkwarp.functions.offsets import find_all, let, settle, split_spans
 
 PARAGRAPHS = "array<struct<start:int,end:int,kind:string,heading:string,heading_level:int,sentences:array<struct<start:int,end:int,value:string>>,paragraph:int,section_heading:string,bodies:int>>"
 
@@ -76,22 +76,27 @@ def with_structure(df: DataFrame, text: str, name: str = "structure") -> DataFra
 def location(structure: Column, at: Column) -> Column:
     """Where an offset lies: paragraph, sentence, first and last flags, kind, section, distance to the document's end."""
     bodies = F.coalesce(F.try_element_at(structure, F.lit(-1))["bodies"], F.lit(0))
-    p = F.try_element_at(F.filter(structure, lambda x: x["start"] <= at), F.lit(-1))
-    n = F.size(p["sentences"])
-    inside = F.filter(F.transform(p["sentences"], lambda s, i: F.struct(i.alias("i"), s["start"].alias("start"), s["end"].alias("end"))), lambda s: (s["start"] <= at) & (at < s["end"]))
-    sentence = F.coalesce(F.get(inside, F.lit(0))["i"] + 1, n)
-    body = p["kind"] == "body"
     none = F.lit(False)
-    return F.struct(
-        F.coalesce(p["paragraph"], F.lit(0)).alias("paragraph"),
-        F.when(p.isNotNull(), sentence).otherwise(0).alias("sentence_in_paragraph"),
-        F.coalesce(sentence == 1, none).alias("is_paragraph_first"),
-        F.coalesce(sentence == n, none).alias("is_paragraph_last"),
-        F.coalesce(p["kind"], F.lit("unknown")).alias("paragraph_kind"),
-        F.coalesce(p["section_heading"], F.lit("")).alias("section_heading"),
-        F.coalesce(body & (p["bodies"] == bodies), none).alias("is_document_last"),
-        F.when(body, bodies - p["bodies"] + 1).otherwise(0).alias("body_paragraphs_to_end"),
-    )
+
+    def placed(p: Column, sentence: Column) -> Column:
+        body = p["kind"] == "body"
+        return F.struct(
+            F.coalesce(p["paragraph"], F.lit(0)).alias("paragraph"),
+            F.when(p.isNotNull(), sentence).otherwise(0).alias("sentence_in_paragraph"),
+            F.coalesce(sentence == 1, none).alias("is_paragraph_first"),
+            F.coalesce(sentence == F.size(p["sentences"]), none).alias("is_paragraph_last"),
+            F.coalesce(p["kind"], F.lit("unknown")).alias("paragraph_kind"),
+            F.coalesce(p["section_heading"], F.lit("")).alias("section_heading"),
+            F.coalesce(body & (p["bodies"] == bodies), none).alias("is_document_last"),
+            F.when(body, bodies - p["bodies"] + 1).otherwise(0).alias("body_paragraphs_to_end"),
+        )
+
+    def sentence(p: Column) -> Column:
+        # sentences are in order: the first that ends after the place, if it has begun there; the last one otherwise
+        ended = F.size(F.filter(p["sentences"], lambda s: s["end"] <= at))
+        return let(ended, lambda n: F.when(F.coalesce(F.get(p["sentences"], n)["start"] <= at, none), n + 1).otherwise(F.size(p["sentences"])))
+
+    return let(F.try_element_at(F.filter(structure, lambda x: x["start"] <= at), F.lit(-1)), lambda p: let(sentence(p), lambda s: placed(p, s)))
 
 
 def _all_lines(raw: Column, pattern: str) -> Column:
