@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 MAX_LAYERS = 4
 #: A text is changed if its cost drops by at least this much.
 LEAST_DROP = 0.9
-#: A text of which no word costs this much is sound.
+#: A text of which no word costs this much holds no text of an encoding of one or two bytes read in another.
 LEAST_WORD = 0.7
 #: A restored text is given if its cost for each character beyond ASCII is at most this.
 MOST_LEFT = 0.6
@@ -36,6 +36,7 @@ _WIDE = {"cp949", "cp932", "gbk", "gb18030", "big5", "euc_jp"}
 _HIGH = re.compile("[^\x00-\x7f]+")
 _UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+")
 _WHOLE_UTF8 = re.compile(rb"(?<![\x80-\xff])" + _UTF8.pattern + rb"(?![\x80-\xff])")
+_SPACE = re.compile("[ \t-\r]+")
 _C1 = {chr(c) for c in range(0x80, 0xA0)}
 _SURE = re.compile("[�\x80-\x84\x86-\x9f]")
 #: Signs of Latin-1 and of the usual 8-bit code pages that stand alone in sound text.
@@ -278,8 +279,11 @@ def _try_legacy(text: str, written: str, read: str) -> tuple[str, float] | None:
 
 
 def suspicious(text: str) -> bool:
-    """Whether some word costs as much as garbled ones do; only such texts are taken apart."""
-    return any(cost(w) >= LEAST_WORD for w in text.split() if not w.isascii())
+    """Whether some word costs as much as garbled ones do; only such texts are taken apart for other encodings than UTF-8.
+
+    Words end at ASCII white space only: U+00A0 and U+0085 may be the second half of a garbled character.
+    """
+    return any(cost(w) >= LEAST_WORD for w in _SPACE.split(text) if not w.isascii())
 
 
 def _may_be_utf8(text: str, encoding: str) -> bool:
@@ -304,7 +308,7 @@ def repair(text: str | None) -> tuple[str, int]:
     Of all candidates that lower the cost enough, the one with the least cost left is taken. Further layers
     must have been read in the encoding of the first, as one reader makes them.
     """
-    if not text or text.isascii() or not suspicious(text):
+    if not text or text.isascii():
         return text or "", 0
     kinds = {_kind(c) for c in set(text)}
     best = (cost(text) - LEAST_DROP, 0, text, 0)
@@ -316,7 +320,7 @@ def repair(text: str | None) -> tuple[str, int]:
             if "cp1252" in reads:
                 new = new.replace("Ã  ", "à ")  # its second byte, a no-break space, was made a plain one
             best = min(best, (cost(new), i, new, layers))
-    for i, (written, read) in enumerate(LEGACY, len(UTF8_READ_AS)):
+    for i, (written, read) in enumerate(LEGACY if suspicious(text) else (), len(UTF8_READ_AS)):
         if _fits(read, kinds) and (got := _try_legacy(text, written, read)):
             best = min(best, (cost(got[0]), i, got[0], 1))
     return best[2], best[3]

@@ -39,6 +39,11 @@ def test_sound_text_stays(text):
     assert repair(text) == (text or "", 0)
 
 
+@pytest.mark.parametrize("bad,sound", [("Il va Ã\xa0 Paris.", "Il va à Paris."), ("Très bien, il va Ã\xa0 Paris cet été.", "Très bien, il va à Paris cet été."), ("Ã\x85rhus", "Århus")])
+def test_second_half_that_is_white_space(bad, sound):
+    assert repair(bad) == (sound, 1)
+
+
 def test_part_of_a_text():
     assert repair("두 모임이 갈린다. " + "간추려 말하면 줄었다.".encode("cp949").decode("latin-1") + " 끝났다.")[0] == "두 모임이 갈린다. 간추려 말하면 줄었다. 끝났다."
 
