@@ -51,6 +51,8 @@ _LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 _HEAD = re.compile(r"[^\S\r\n]{0,3}#{1,6}(?=\s|$)")
 _ITEM = re.compile(r"[^\S\r\n]*(?:[-*+•‣◦·]|(\d{1,3})[.)](?![^\S\r\n]+\d{1,2}\.\D))[^\S\r\n]+")
 
+_ROCK_N_ROLL = re.compile("'[nN]'")
+
 _FULL = "。！？｡．؟।॥۔։።፧፨។៕၊။᠃᠉꓿᱾᱿꛳꛷"
 _DOTS = ".…‥"
 _TERM = ".!?…‥‼⁇⁈⁉" + _FULL
@@ -231,12 +233,33 @@ def _stops_after_close(text: str, opened: int, mark: str, j: int, k: int, a: int
     return _starts_clause(text, k)
 
 
-def _paragraph(text: str, a: int, b: int, ignore: frozenset[int] = frozenset()) -> Iterator[tuple[int, int]]:
-    """Units of the paragraph text[a:b]."""
-    out: list[tuple[int, int]] = []
-    stack: list[tuple[str, int]] = []
+def _last_apostrophe(text: str, a: int, b: int, ignore: set[int]) -> int:
+    """The last straight apostrophe of text[a:b] that can close a quotation, -1 if there is none."""
+    p = text.rfind("'", a + 1, b)
+    while p > a and (p in ignore or text[p - 1].isspace() or p + 1 < b and _script(text[p + 1]) in ("l", "u")):
+        p = text.rfind("'", a + 1, p)
+    return p
+
+
+def _paragraph(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """Units of the paragraph text[a:b]; it is read again without the marks left unclosed until none is left."""
     while a < b and text[a].isspace():
         a += 1
+    ignore = {p for m in _ROCK_N_ROLL.finditer(text, a, b) for p in (m.start(), m.end() - 1)}
+    last = _last_apostrophe(text, a, b, ignore)
+    while True:
+        out, unclosed = _read(text, a, b, ignore, last)
+        if not unclosed:
+            yield from out
+            return
+        ignore |= unclosed
+
+
+def _read(text: str, a: int, b: int, ignore: set[int], last: int) -> tuple[list[tuple[int, int]], set[int]]:
+    """Units of text[a:b] and the marks found unclosed; no straight apostrophe from ``last`` on opens a quotation."""
+    out: list[tuple[int, int]] = []
+    stack: list[tuple[str, int]] = []
+    passed: list[int] = []  # apostrophes that would have opened a quotation, had the only open mark not been one
     start, i = a, a
 
     def end(at: int, nxt: int) -> None:
@@ -307,7 +330,9 @@ def _paragraph(text: str, a: int, b: int, ignore: frozenset[int] = frozenset())
             if stack and stack[-1][0] == "'":
                 if not left.isspace() and _script(right) not in ("l", "u"):
                     closes = "'"
-            elif (left.isspace() or left in _OPEN or at == a) and not right.isspace():
+                elif len(stack) == 1 and (left.isspace() or left in _OPEN) and not right.isspace():
+                    passed.append(at)
+            elif at < last and (left.isspace() or left in _OPEN or at == a) and not right.isspace():
                 stack.append((c, at))
         if closes is None or not any(s == closes for s, _ in stack):
             continue
@@ -329,11 +354,11 @@ def _paragraph(text: str, a: int, b: int, ignore: frozenset[int] = frozenset())
         if _stops_after_close(text, opened, mark, j, k, a, b, start):
             end(j, k)
             i = max(i, k if k > j else j)
-    if stack and not ignore:
-        yield from _paragraph(text, a, b, frozenset(at for _, at in stack))
-        return
     end(b, b)
-    yield from out
+    unclosed = {at for _, at in stack}
+    if len(stack) == 1 and stack[0][0] == "'":  # those passed over since it opened would find the same and stay open too
+        unclosed.update(at for at in passed if at > stack[0][1])
+    return out, unclosed
 
 
 def sentence_units(text: str | None) -> list[tuple[int, int]]:

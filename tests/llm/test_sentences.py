@@ -51,6 +51,17 @@ def test_open_quote_and_long_text():
     assert len(sentence_units("(" * 100_000 + "a. B")) >= 1
 
 
+@pytest.mark.parametrize("units", [["'Tis late.", "He left in '98.", "It rained.", "All slept."], ["The '90s ended.", "It was rock 'n' roll.", "Get 'em.", "All slept."], ["He ('tis late.", "It rained.", "'98 was.", "He left."], ["“'Tis late.”", "In '98 he said 'no. He left.' and went.", "All slept."]])
+def test_apostrophes_left_open(units):
+    text = " ".join(units)
+    assert [text[s:e] for s, e in sentence_units(text)] == units
+
+
+def test_many_apostrophes_left_open():
+    assert len(sentence_units("He said 'no. It rained. " * 2000)) == 4000
+    assert len(sentence_units("'a (b' c). D. " * 2000)) == 2001
+
+
 def test_table(spark):
     rows = [("a", "One. Two.", 1), ("a", "One. Two.", 1), ("b", None, 1), (None, "", 1)]
     df = spark.createDataFrame(rows, "document_id string, text string, start_pos int")
