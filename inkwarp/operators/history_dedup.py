@@ -197,7 +197,8 @@ class HistoryIndex:
 
     ``probe`` holds a batch against history and itself; ``append`` accepts it. The rarity table is made from
     the first batch and kept, for its order must stay; tokens that come later count as rare. An index is opened again by
-    its folder. A batch whose ``append`` broke off can be probed and appended again: rows written twice change no result.
+    its folder. A batch that joins classes of history gives their records the new first one in ``classes``, where the smallest
+    counts; ``probe`` itself tells of the batch's records only. A batch whose ``append`` broke off can be probed and appended again: rows written twice change no result.
     """
 
     def __init__(self, spark, folder: str, threshold: float = THRESHOLD, title_edits: int = TITLE_EDITS, shards: int = SHARDS) -> None:
@@ -235,11 +236,15 @@ class HistoryIndex:
         links = links.unionByName(key_links(all_keys))
         if self._batches:
             touched = links.select(F.explode(F.array("a", "b")).alias("rec")).distinct()
-            links = links.unionByName(classes.join(touched, "rec", "left_semi").select(F.col("rec").alias("a"), F.col("first").alias("b")))
-        found = components(links).select(F.col("node").alias("rec"), F.col("component").alias("first"))
+            latest = classes.join(touched, "rec", "left_semi").groupBy("rec").agg(F.min("first").alias("first"))  # classes only grow together
+            links = links.unionByName(latest.select(F.col("rec").alias("a"), F.col("first").alias("b")))
+        found = cut(components(links).select(F.col("node").alias("rec"), F.col("component").alias("first")))
+        self._classes = found
+        if self._batches:  # history's own records too where the batch joins their classes, and all whose first record has a new one
+            moved = classes.join(found.select(F.col("rec").alias("first"), F.col("first").alias("now")), "first").select("rec", F.col("now").alias("first"))
+            self._classes = found.unionByName(moved).distinct().join(classes, ["rec", "first"], "left_anti")
         batch = units.select("rec").unionByName(keys.select("rec")).distinct()
-        self._found = cut(found.join(batch, "rec", "left_semi"))
-        return self._found
+        return cut(found.join(batch, "rec", "left_semi"))
 
     def append(self) -> None:
         """Accept the batch that was probed last."""
@@ -253,5 +258,5 @@ class HistoryIndex:
         fresh = self._posts.join(reps.select("unit"), "unit", "left_semi")
         fresh.repartition("shard").write.mode("append").partitionBy("shard").parquet(f"{self.folder}/postings")
         self._keys.write.mode("append").parquet(f"{self.folder}/keys")
-        self._found.write.mode("append").parquet(f"{self.folder}/classes")
+        self._classes.write.mode("append").parquet(f"{self.folder}/classes")
         self._batches += 1

@@ -67,6 +67,22 @@ def test_batches_equal_one_load(spark, tmp_path):
     assert got == first
 
 
+def test_batch_that_joins_classes_of_history(spark, tmp_path):
+    one, two = ("First study 12", "a b c d e f g h"), ("Other study 13", "q r s t u v w x")
+    new = [("New 14", "i j k l m n"), ("New 15", "o p o o p p"), ("New 16", "z y z z y y")]
+    texts = [{1: one, 2: two, 5: two}, {6: one}, {7: new[0], 8: new[1], 9: new[2]}]
+    keys = [[(1, "a1"), (2, "d2"), (2, "a2"), (5, "a5")], [(6, "d2")], [(7, "a2"), (8, "a5"), (9, "a1")]]
+    got = []
+    for b, k in zip(texts, keys, strict=True):
+        df = spark.createDataFrame([(i, 0, None, _entry(t), _entry(x), "u") for i, (t, x) in b.items()], SCHEMA)
+        index = HistoryIndex(spark, str(tmp_path / "index"))
+        got.append({r.rec: r["first"] for r in index.probe(article_units(df), spark.createDataFrame(k, "rec long, key string")).collect()})
+        index.append()
+    df = spark.createDataFrame([(i, 0, None, _entry(t), _entry(x), "u") for b in texts for i, (t, x) in b.items()], SCHEMA)
+    want = {r.rec: r["first"] for r in dedup_all(article_units(df), spark.createDataFrame(sum(keys, []), "rec long, key string")).collect()}
+    assert got == [{5: 2}, {6: 1}, {7: 1, 8: 1, 9: 1}] and want == dict.fromkeys((2, 5, 6, 7, 8, 9), 1)
+
+
 def test_hot_group_of_copies_is_a_star(spark):
     rows = [(i, 0, None, _entry("One title 12"), _entry("a b c d e f g h"), "u") for i in range(1, 400)] + [(500, 0, None, _entry("Another 13"), _entry("z y x"), "u")]
     df = spark.createDataFrame(rows, SCHEMA)
