@@ -1,10 +1,10 @@
 """Subject areas of documents by an anchored non-negative factorisation.
 
 The document-term matrix is factored into subject components and one for documents about no subject. Components are
-seeded by labelled documents and the subjects' names. Two steps alternate, both multiplicative and non-negative: given the
-components, each document's mixture is solved by itself; given the mixtures, the components are summed over all
-documents. After each step the components are anchored again: a term stays in a component only if most of its weight lies
-there, so a component is a set of terms of one subject, and a document's mixture can be read off directly.
+seeded by labelled documents and the subjects' names. Two steps alternate: given the components, each document's mixture is
+solved by itself; given the mixtures, terms are summed by the documents' shares. The second is no multiplicative step: a
+term is then anchored, with weight 1, in the component that holds most of it, if any does, so a component is a set of terms
+of one subject, and a document's mixture is its count of each one's terms.
 
 Terms are hashed to ``2**bits`` columns, so the factor that is broadcast and collected has a fixed size (9 x 2**18
 numbers by default), whatever the vocabulary. Documents are tokenised once and read again in each round.
@@ -27,8 +27,10 @@ from inkwarp.session import cut
 
 BITS = 18
 ROUNDS = 5
-#: A term is anchored in the component that holds at least this share of its weight, less so many standard errors.
+#: A term is anchored in the component that holds at least this share of it, less so many standard errors.
 ANCHOR = 0.5
+#: That share is at least so many times an even one.
+LEAST_LIFT = 1.5
 DOUBT = 0.5
 LEAST_WEIGHT = 2.0
 #: A subject is one of a document's if it holds this share of its subject terms.
@@ -102,19 +104,27 @@ def term_matrix(df: DataFrame, key: str, texts: str, bits: int = BITS) -> DataFr
 
 
 def _anchor(sums: np.ndarray, doubt: float) -> np.ndarray:
-    """Component of each column, -1 if it has none: its share there, less ``doubt`` standard errors, is at least ANCHOR."""
+    """Component of each column, -1 if it has none: its share there, less ``doubt`` standard errors, is at least ANCHOR.
+
+    What the subjects hold of a column is shared out by its rates in them, so a subject's size among the documents does not
+    matter; the last component, that of no subject, has its part of the column's weight.
+    """
     whole = sums.sum(axis=1)
     base = sums.sum(axis=0) / max(whole.sum(), 1e-9)
+    some = base > 0
     share = (sums + 0.5 * base) / (whole[:, None] + 0.5)
-    best = share.argmax(axis=1)
-    p = share[np.arange(len(share)), best]
-    low = p - doubt * (np.sqrt(p * (1 - p) / np.maximum(whole, 1.0)) + 0.3 / np.maximum(whole, 1.0))
-    lift = p / np.maximum(base[best], 1e-9)
-    return np.where((low >= ANCHOR) & (whole >= LEAST_WEIGHT) & (lift >= 1.5), best, -1)
+    rate = np.divide(share, base, out=np.zeros_like(share), where=some)[:, :-1]
+    part = np.concatenate([rate / np.maximum(rate.sum(axis=1), 1e-9)[:, None] * (1 - share[:, -1:]), share[:, -1:]], axis=1)
+    best = part.argmax(axis=1)
+    at = np.arange(len(part)), best
+    p, n = part[at], np.maximum(whole, 1.0)
+    held = np.clip(share[at], 1e-9, 1 - 1e-9)
+    low = p - doubt * (p * (1 - p) / np.sqrt(held * (1 - held) * n) + 0.3 / n)
+    return np.where((low >= ANCHOR) & (whole >= LEAST_WEIGHT) & (2 * sums[at] >= LEAST_WEIGHT) & (p * some.sum() >= LEAST_LIFT), best, -1)
 
 
 def _factor(sums: np.ndarray, doubt: float = DOUBT) -> np.ndarray:
-    """The components: non-negative weights of the anchored terms, all other weights zero."""
+    """The components: weight 1 of the anchored terms, all other weights zero."""
     at = _anchor(sums, doubt)
     h = np.zeros(sums.shape, dtype=np.float32)
     kept = at >= 0

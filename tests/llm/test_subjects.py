@@ -37,6 +37,22 @@ def test_held_out_accuracy(spark):
     assert right >= 0.95 * 480
 
 
+def test_area_that_holds_most_documents(spark):
+    rng = random.Random(3)
+    rows, truth = [], {}
+    for i in range(600):
+        kind = "b" if i % 12 == 5 else "c" if i % 12 == 9 else "a"
+        words = rng.choices(AREAS[kind], k=12) + rng.choices(STOCK, k=4)
+        rng.shuffle(words)
+        rows.append((i, [" ".join(words)]))
+        truth[i] = {kind}
+    labels = spark.createDataFrame([(i, s) for i in range(120) for s in truth[i]], "id long, subject string")
+    got = {}
+    for r in assign_subjects(spark.createDataFrame(rows, "id long, texts array<string>"), "id", "texts", labels, [(k, []) for k in AREAS], bits=12).collect():
+        got.setdefault(r.id, set()).add(r.subject_code)
+    assert sum(got.get(i) == truth[i] for i in truth) >= 0.95 * 600
+
+
 def test_passing_word_is_no_subject(spark):
     rows, _ = _docs(300, 7)
     rows.append((999, ["apple pear plum cherry quince apple pear plum " + "bolt " + "survey near town"], "x"))
