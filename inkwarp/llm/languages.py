@@ -124,8 +124,8 @@ class Model:
 
     def predict(self, texts: list[str]) -> list[tuple[str | None, float]]:
         """Language and confidence of each plain text; (None, 0) for one without letters."""
-        if not texts:
-            return []
+        if not texts or not self.families:
+            return [(None, 0.0)] * len(texts)
         scores = self.scores(texts)
         top = scores[:, : len(self.families)]
         out: list[tuple[str | None, float]] = []
@@ -171,7 +171,12 @@ def _svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, ep
 
 
 def train(texts: list[str], labels: list[str], families: dict[str, tuple[str, ...]] = FAMILIES, bits: int = BITS, epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Fit on plain texts with labels, some of which may be wrong; languages without a text are left out of their pairs."""
+    """Fit on plain texts with labels, some of which may be wrong; languages without a text are left out of their pairs.
+
+    Without any text the model tells no language of any.
+    """
+    if not texts:
+        return Model([], dict(families), [], np.zeros((width(bits), 0), dtype=np.float32), bits)
     of = {lang: f for f, names in families.items() for lang in names}
     feats, who = hashed(texts, bits)
     order = np.argsort(who, kind="stable")
@@ -224,22 +229,26 @@ def main_script(text: str) -> str:
 def sample_labelled(entries: DataFrame, text: str, label: str, key: list[str], most: int = SAMPLE, rare: float = RARE_LABEL) -> list[tuple[str, str]]:
     """At most ``most`` labelled texts of each language, those with the least hash of ``key``.
 
-    Labels that fewer than ``rare`` of all labelled texts in a script have are taken as slips and left out; without that, a rare
-    language's sample would be filled with them. The shares come from the counts of all labels and the scripts of four samples' worth
-    of texts of each, so no text is read for it that is not sampled.
+    Labels that fewer than ``rare`` of all labelled texts in a script have are taken as slips and left out before the sample is drawn;
+    without that, a rare language's sample would be filled with them. Scripts are counted over all labelled texts.
     """
+
+    def scripts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(script=[main_script(t) for t in b["text"]])
+
     known = entries.select(F.col(text).alias("text"), language_code(F.col(label)).alias("label"), F.xxhash64(*key).alias("h")).where(F.col("label").isNotNull() & F.col("text").isNotNull())
-    whole = {r.label: r["count"] for r in known.groupBy("label").count().collect()}  # a row for each language
-    picked = known.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("n") <= 4 * most)
-    drawn: dict[str, list[tuple[str, str]]] = {}
-    for r in sorted(picked.select("label", "n", "text").collect()):
-        drawn.setdefault(r.label, []).append((main_script(r.text), r.text))
-    weight = {(script, lang): sum(s == script for s, _ in rows) * whole[lang] / len(rows) for lang, rows in drawn.items() for script in _SCRIPTS}
-    out = []
-    for lang, rows in sorted(drawn.items()):
-        usual = {s for s in _SCRIPTS if weight[s, lang] > 0 and weight[s, lang] >= rare * sum(weight[s, x] for x in drawn)}
-        out += [(lang, t) for s, t in rows if s in usual][:most]
-    return out
+    known = known.mapInPandas(scripts, "text string, label string, h long, script string").where("script <> ''")
+    tally = {(r.script, r.label): r["count"] for r in known.groupBy("script", "label").count().collect()}  # a row for each pair of script and language
+    whole: dict[str, int] = {}
+    for (script, _), n in tally.items():
+        whole[script] = whole.get(script, 0) + n
+    usual = F.lit(False)
+    for (script, lang), n in sorted(tally.items()):
+        if n >= rare * whole[script]:
+            usual = usual | ((F.col("script") == script) & (F.col("label") == lang))
+    picked = known.where(usual).withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("n") <= most)
+    return sorted((r.label, r.text) for r in picked.select("label", "text").collect())
 
 
 def train_on(sample: list[tuple[str, str]], **more) -> Model:

@@ -70,3 +70,15 @@ def test_sample_is_bounded_and_without_slips(spark):
     got = sample_labelled(spark.createDataFrame(rows, "id long, t string, c string"), "t", "c", ["id"], most=20)
     assert len([1 for x, _ in got if x == "ko"]) == 20
     assert sorted(t for x, t in got if x == "ru") == ["Русский текст"] * 5
+
+
+def test_slips_do_not_crowd_out_a_rare_language(spark):
+    rows = [(i, "한국어 문장", "ko") for i in range(4000)] + [(5000 + i, "한국어 문장", "ru") for i in range(100)] + [(9000 + i, "Русский текст", "ru") for i in range(10)]
+    got = sample_labelled(spark.createDataFrame(rows, "id long, t string, c string"), "t", "c", ["id"], most=10, rare=0.03)
+    assert [t for x, t in got if x == "ru"] == ["Русский текст"] * 10
+
+
+def test_no_labels(spark):
+    none = sample_labelled(spark.createDataFrame([(1, "Some text.", None)], "id long, t string, c string"), "t", "c", ["id"])
+    assert none == [] and train_on(none).predict(["some text"]) == [(None, 0.0)]
+    assert language_table(spark.createDataFrame([(1, "Some text.")], "id long, t string"), ["id"], "t", train_on(none)).count() == 0
