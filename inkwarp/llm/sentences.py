@@ -2,7 +2,7 @@
 
 Characters are read by their sentence-break properties (terminator, full stop, opening, closing, space, upper, lower,
 number, letter without case), as in the rules of Unicode for sentence boundaries, tailored in five ways:
-abbreviations and initials of a language do not end a sentence; what stands in quotation marks or brackets stays within the
+abbreviations of any language of the lists and initials do not end a sentence; what stands in quotation marks or brackets stays within the
 sentence that holds it; headings and list items are units; scripts without spaces end at their own terminators; Thai
 ends at a space that sets off no number, and Korean polite endings end a sentence that lost its full stop.
 """
