@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwarp.llm import history_queries, term_queries
 from inkwarp.llm.byte_bpe import encode, token_count
 from inkwarp.llm.languages import language_code, language_table, sample_labelled, train_on
 from inkwarp.llm.mojibake import garbled
@@ -98,8 +99,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_segments": p2_segments, "p3_found": p3_found, "p3_mixtures": p3_mixtures, "p5_found": p5_found, "p8_found": p8_found, "p8_restored": p8_restored, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+    return {**term_queries.queries(), **history_queries.queries(), "p2_found": p2_found, "p2_segments": p2_segments, "p3_found": p3_found, "p3_mixtures": p3_mixtures, "p5_found": p5_found, "p8_found": p8_found, "p8_restored": p8_restored, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**term_queries.oracle_sql(), **history_queries.oracle_sql()}
