@@ -47,3 +47,14 @@ def rule_key(col: Column) -> Column:
 def word_key(col: Column) -> Column:
     """Column form of :func:`word_form`."""
     return _word_form(col)
+
+
+def nfkc_sql(x: str) -> str:
+    """DuckDB form of NFKC for the forms that the tables hold: full width, decomposed."""
+    wide, plain = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)), "".join(chr(c) for c in range(0x21, 0x7F))
+    return "nfc_normalize(translate({}, '{}', '{}'))".format(x, wide, plain.replace("'", "''"))
+
+
+def rule_sql(x: str) -> str:
+    """DuckDB form of :func:`rule_form`."""
+    return f"regexp_replace(regexp_replace(upper({nfkc_sql(x)}), '[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]', '', 'g'), '[_\\x{{2010}}-\\x{{2015}}\\x{{2212}}]', '-', 'g')"

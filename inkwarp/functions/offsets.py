@@ -38,39 +38,46 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _walk(text: Column, pattern: str, gaps: bool) -> Column:
-    """Spans of the matches, or of what lies between them, by a fold over the lengths of both.
+def sql_string(value: str) -> str:
+    """A literal for SQL text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    Appending to an array copies it, so the fold runs over blocks and then over their results, which keeps a text of many matches
-    close to linear.
+
+def apply(value: Column, body: str) -> Column:
+    """``body``, SQL text about ``t``, with ``value`` for ``t``.
+
+    A large expression is parsed as a whole, where building it from columns takes a call to the JVM for each of its parts.
     """
-    hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    parts = F.zip_with(F.split(text, pattern, -1), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    zero = F.struct(F.lit(0).alias("at"), empty_spans().alias("out"))
+    return F.get(F.call_function("transform", F.array(value), F.expr(f"t -> {body}")), F.lit(0))
+
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        if gaps:
-            out = F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), start.alias("end"), x["gap"].alias("value"))))
-        else:
-            out = F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value")))))
-        return F.struct(end.alias("at"), out.cast(SPANS).alias("out"))
+def _walk(pattern: str, gaps: bool) -> str:
+    """SQL text for the spans of the matches in ``t``, or of what lies between them, by a fold over the lengths of both.
 
-    def join(acc: Column, block: Column) -> Column:
-        moved = F.transform(block["out"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["value"].alias("value")))
-        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], moved).cast(SPANS).alias("out"))
+    Appending to an array copies it, so the fold runs over blocks and then over their results, which keeps a text of many matches
+    close to linear.
+    """
+    parts = f"zip_with(split(t, {sql_string(pattern)}, -1), regexp_extract_all(t, {sql_string(f'({pattern})')}, 1), (g, h) -> named_struct('gap', g, 'hit', h))"
+    zero = f"named_struct('at', 0, 'out', cast(array() as {SPANS}))"
+    begin, end = "a.at + length(x.gap)", "a.at + length(x.gap) + coalesce(length(x.hit), 0)"
+    if gaps:
+        out = f"concat(a.out, array(named_struct('start', a.at, 'end', {begin}, 'value', x.gap)))"
+    else:
+        out = f"if(x.hit is null, a.out, concat(a.out, array(named_struct('start', {begin}, 'end', {end}, 'value', x.hit))))"
+    step = f"named_struct('at', {end}, 'out', cast({out} as {SPANS}))"
+    moved = "transform(b.out, s -> named_struct('start', s.start + a.at, 'end', s.`end` + a.at, 'value', s.value))"
+    block = f"transform(sequence(0, cast(floor((size(ps) - 1) / {_BLOCK}) as int)), i -> aggregate(slice(ps, i * {_BLOCK} + 1, {_BLOCK}), {zero}, (a, x) -> {step}))"
+    return f"transform(array({parts}), ps -> aggregate({block}, {zero}, (a, b) -> named_struct('at', a.at + b.at, 'out', cast(concat(a.out, {moved}) as {SPANS})), a -> a.out))[0]"
 
-    def blocks(ps: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(0), F.floor((F.size(ps) - 1) / _BLOCK).cast("int")), lambda i: F.aggregate(F.slice(ps, i * _BLOCK + 1, F.lit(_BLOCK)), zero, step))
-        return F.aggregate(each, zero, join, lambda acc: acc["out"])
 
-    return let(parts, blocks)
+def found_sql(pattern: str) -> str:
+    """SQL text for :func:`find_all` in ``t``."""
+    return f"case when t rlike {sql_string(pattern)} then {_walk(pattern, gaps=False)} when t is not null then cast(array() as {SPANS}) end"
 
 
 def find_all(text: Column, pattern: str) -> Column:
     """Every non-overlapping match: ARRAY<STRUCT<start, end, value>>. A text without a match costs one search."""
-    return F.when(text.rlike(pattern), _walk(text, pattern, gaps=False)).when(text.isNotNull(), empty_spans())
+    return apply(text, found_sql(pattern))
 
 
 def find_literal(text: Column, value: str) -> Column:
@@ -80,7 +87,7 @@ def find_literal(text: Column, value: str) -> Column:
 
 def split_spans(text: Column, pattern: str) -> Column:
     """The stretches between matches, also empty ones."""
-    return _walk(text, pattern, gaps=True)
+    return apply(text, _walk(pattern, gaps=True))
 
 
 def count_literal(text: Column, value: Column | str) -> Column:
@@ -101,8 +108,19 @@ def mask(text: Column, pattern: str) -> Column:
 
 
 def mask_spans(text: Column, spans: Column) -> Column:
-    """The text with the given spans blanked, in any order, overlapping or not."""
-    return F.aggregate(spans, text, lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), blank(F.substring(t, s["start"] + 1, s["end"] - s["start"])), F.substring(t, s["end"] + 1, F.length(t))))
+    """The text with the given spans blanked, in any order, overlapping or not.
+
+    The spans are sorted by their starts; each blanks what it adds to those before it, and the pieces are joined once.
+    """
+    sorted_ = "array_sort(transform(filter(t.spans, s -> s.start is not null and s.`end` > s.start), s -> named_struct('start', s.start, 'end', s.`end`)))"
+    # how far the spans before each reach, in blocks, as an appended array is copied
+    reach = f"""transform(array({sorted_}), ps -> aggregate(transform(sequence(0, cast(floor((size(ps) - 1) / {_BLOCK}) as int)), i -> aggregate(slice(ps, i * {_BLOCK} + 1, {_BLOCK}),
+      named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,prior:int>>)), (a, x) -> named_struct('at', greatest(a.at, x.`end`), 'out', cast(concat(a.out, array(named_struct('start', x.start, 'end', x.`end`, 'prior', a.at))) as array<struct<start:int,end:int,prior:int>>)))),
+      named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,prior:int>>)), (a, b) -> named_struct('at', greatest(a.at, b.at), 'out', cast(concat(a.out, transform(b.out, s -> named_struct('start', s.start, 'end', s.`end`, 'prior', greatest(s.prior, a.at)))) as array<struct<start:int,end:int,prior:int>>)), a -> a.out))[0]"""
+    piece = "concat(substring(t.text, s.prior + 1, greatest(s.start - s.prior, 0)), regexp_replace(substring(t.text, greatest(s.start, s.prior) + 1, greatest(s.`end` - greatest(s.start, s.prior), 0)), '[^\\\\n]', ' '))"
+    rest = "substring(t.text, coalesce(array_max(transform(filter(t.spans, s -> s.`end` > s.start), s -> s.`end`)), 0) + 1, length(t.text))"
+    both = F.struct(text.alias("text"), spans.alias("spans"))
+    return F.when(F.size(spans) > 0, apply(both, f"concat(array_join(transform({reach}, s -> {piece}), ''), {rest})")).otherwise(text)
 
 
 def line_of(text: Column, at: Column) -> Column:

@@ -14,11 +14,12 @@ BLANK_LINES = "(?U)\\n\\s*\\n"
 HEADING = "(?dU)^[ \\t]*(#{1,6})[ \\t]+(.+?)\\s*$"
 SENTENCE = "(?d)[^.!?\\n]+(?:[.!?]+(?:\\*\\*)?|$)"
 COMMENT = "(?s)<!--.*?-->"
+EDGES = "(?U)^\\s+|\\s+\\z"
 FENCE = "(?dms)^```[^\\n]*\\n.*?^```[ \\t]*$"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, "(?U)^\\s+|\\s+\\z", "")
+    return F.regexp_replace(text, EDGES, "")
 
 
 def with_structure(df: DataFrame, text: str, name: str = "structure") -> DataFrame:

@@ -8,14 +8,13 @@ Results are candidate places; they say nothing about authorship or quality.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwarp.functions.offsets import column_of, context, find_all, line_of, mask, settle
-from inkwarp.functions.spans import MARKER, overlaps, with_protected
-from inkwarp.functions.structure import COMMENT, FENCE, location, rhythm_kind, strip, with_structure
+from inkwarp.functions.offsets import column_of, context, found_sql, line_of, mask, settle, sql_string
+from inkwarp.functions.spans import MARKER, with_protected
+from inkwarp.functions.structure import COMMENT, EDGES, FENCE, location, rhythm_kind, with_structure
 from inkwarp.operators.rules import KOREAN, Allowance, Rule, gate_rules
 
 HITS = "array<struct<rule_id:string,start:int,end:int,evidence:string,shape:string>>"
@@ -50,82 +49,82 @@ def _u(pattern: str) -> str:
     return "(?dU)" + pattern
 
 
-def _hit(rule: Rule, start: Column, end: Column, evidence: Column, shape: str | None = None) -> Column:
-    return F.struct(F.lit(rule.id).alias("rule_id"), start.cast("int").alias("start"), end.cast("int").alias("end"), evidence.alias("evidence"), F.lit(shape).cast("string").alias("shape"))
+# The rules are compiled to SQL text about t (the text without comments and code), protected and structure: one call to the JVM for
+# a whole pack, and one expression in which every pattern is constant.
 
 
-def _free(spans: Column, protected: Column) -> Column:
-    return F.filter(spans, lambda s: ~overlaps(s["start"], s["end"], protected))
+def _hit(rule: Rule, start: str, end: str, evidence: str, shape: str | None = None) -> str:
+    return f"named_struct('rule_id', {sql_string(rule.id)}, 'start', cast({start} as int), 'end', cast({end} as int), 'evidence', {evidence}, 'shape', {'cast(null as string)' if shape is None else sql_string(shape)})"
 
 
-def _regex(rule: Rule, text: Column, protected: Column) -> Column:
-    return F.transform(_free(find_all(text, _u(rule.pattern)), protected), lambda s: _hit(rule, s["start"], s["end"], s["value"]))
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, {sql_string(EDGES)}, '')"
 
 
-def _triads(rule: Rule, text: Column, protected: Column) -> Column:
-    return F.transform(_free(find_all(text, _u(TRIAD)), protected), lambda s: _hit(rule, s["start"], s["end"], F.concat(F.lit(TRIAD_LABEL), strip(s["value"])), TRIAD_SHAPE))
+def _regex(rule: Rule) -> str:
+    return f"transform({found_sql(_u(rule.pattern))}, s -> {_hit(rule, 's.start', 's.`end`', 's.value')})"
 
 
-def _runs(items: Column, minimum: int, made) -> Column:
-    """Islands of equal keys in an array of (key, start, end): a null key parts them. ``made`` gives a hit for (key, start, end, n)."""
-    state = "struct<key:string,start:int,end:int,n:int,out:array<struct<key:string,start:int,end:int,n:int>>>"
+def _triads(rule: Rule) -> str:
+    return f"transform({found_sql(_u(TRIAD))}, s -> {_hit(rule, 's.start', 's.`end`', f'concat({sql_string(TRIAD_LABEL)}, {_strip("s.value")})', TRIAD_SHAPE)})"
 
-    def shut(acc: Column) -> Column:
-        row = F.struct(acc["key"].alias("key"), acc["start"].alias("start"), acc["end"].alias("end"), acc["n"].alias("n"))
-        return F.when(acc["n"] >= minimum, F.concat(acc["out"], F.array(row))).otherwise(acc["out"])
 
-    zero = F.struct(F.lit(None).cast("string").alias("key"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("n"), F.array().alias("out")).cast(state)
+def _runs(items: str, minimum: int, made: str) -> str:
+    """Islands of equal keys in an array of (key, start, end): a null key parts them. ``made`` gives a hit for r (key, start, end, n).
 
-    def step(acc: Column, x: Column) -> Column:
-        same = (x["key"] == acc["key"]) & (acc["n"] > 0)
-        more = F.struct(acc["key"].alias("key"), acc["start"].alias("start"), x["end"].alias("end"), (acc["n"] + 1).alias("n"), acc["out"].alias("out"))
-        new = F.struct(x["key"].alias("key"), x["start"].alias("start"), x["end"].alias("end"), x["key"].isNotNull().cast("int").alias("n"), shut(acc).alias("out"))
-        return F.when(F.coalesce(same, F.lit(False)), more).otherwise(new).cast(state)
+    Items are numbered, those whose key is that of the one before left out, and every island ends where the next one starts.
+    """
+    numbered = f"transform({items}, (x, i) -> named_struct('key', x.key, 'start', x.start, 'end', x.`end`, 'i', i))"
+    heads = "transform(filter(xs, x -> x.i = 0 or not (x.key <=> xs[x.i - 1].key)), (x, k) -> named_struct('i', x.i, 'k', k))"
+    lasts = "transform(hs, h -> named_struct('i', h.i, 'n', if(h.k + 1 < size(hs), hs[least(h.k + 1, size(hs) - 1)].i, size(xs)) - h.i))"
+    islands = f"filter(transform({lasts}, h -> named_struct('key', xs[h.i].key, 'start', xs[h.i].start, 'end', xs[h.i + h.n - 1].`end`, 'n', h.n)), r -> r.key is not null and r.n >= {minimum})"
+    return f"flatten(transform(array({numbered}), xs -> flatten(transform(array({heads}), hs -> transform({islands}, r -> {made})))))"
 
-    return F.transform(F.aggregate(items, zero, step, shut), made)
 
+def _sentence_run(rule: Rule) -> str:
+    ending = f"nullif(regexp_extract({_strip('s.value')}, {sql_string(RUN_ENDING)}, 1), '')"
+    items = f"transform({found_sql(RUN_SENTENCE)}, s -> named_struct('key', if(exists(protected, p -> s.start < p.`end` and s.`end` > p.start), cast(null as string), {ending}), 'start', s.start, 'end', s.`end`))"
+    return _runs(items, rule.minimum_run, _hit(rule, "r.start", "r.`end`", "concat(r.key, ' 종결 ', cast(r.n as string), '문장 연속')"))
 
-def _sentence_run(rule: Rule, text: Column, protected: Column) -> Column:
-    def keyed(s: Column) -> Column:
-        ending = F.nullif(F.regexp_extract(strip(s["value"]), RUN_ENDING, 1), F.lit(""))
-        return F.struct(F.when(~overlaps(s["start"], s["end"], protected), ending).alias("key"), s["start"].alias("start"), s["end"].alias("end"))
 
-    said = lambda r: F.concat(r["key"], F.lit(" 종결 "), r["n"].cast("string"), F.lit("문장 연속"))
-    return _runs(F.transform(find_all(text, RUN_SENTENCE), keyed), rule.minimum_run, lambda r: _hit(rule, r["start"], r["end"], said(r)))
+#: Whether an offset lies in the first sentence of a paragraph (as :func:`location` says).
+_FIRST = "if(p.sentences[0].start <= s.start + p.start and p.sentences[0].`end` > s.start + p.start, true, size(p.sentences) = 1)"
 
 
-def _in_bodies(rule: Rule, text: Column, structure: Column, protected: Column, patterns, keep=None) -> Column:
+def _in_bodies(rule: Rule, patterns, keep: str = "true") -> str:
     """Matches of labelled patterns inside each body paragraph."""
-    bodies = F.filter(structure, lambda p: p["kind"] == "body")
-
-    def labelled(pattern: str, label: str, shape: str) -> Column:
-        def inside(p: Column) -> Column:
-            raw = F.substring(text, p["start"] + 1, p["end"] - p["start"])
-            return F.transform(find_all(raw, _u(pattern)), lambda s: F.struct((s["start"] + p["start"]).alias("start"), (s["end"] + p["start"]).alias("end"), s["value"].alias("value")))
-
-        spans = _free(F.flatten(F.transform(bodies, inside)), protected)
-        if keep is not None:
-            spans = F.filter(spans, keep)
-        return F.transform(spans, lambda s: _hit(rule, s["start"], s["end"], F.concat(F.lit(label + ": "), s["value"]), shape))
-
-    return F.concat(*[labelled(*p) for p in patterns])
+    parts = []
+    for pattern, label, shape in patterns:
+        hit = _hit(rule, "s.start + p.start", "s.`end` + p.start", f"concat({sql_string(label + ': ')}, s.value)", shape)
+        inside = f"transform(array(substring(t, p.start + 1, p.`end` - p.start)), t -> transform(filter({found_sql(_u(pattern))}, s -> {keep}), s -> {hit}))[0]"
+        parts.append(f"flatten(transform(filter(structure, p -> p.kind = 'body'), p -> {inside}))")
+    return f"concat({', '.join(parts)})"
 
 
-def _structural(rule: Rule, text: Column, structure: Column, protected: Column) -> Column:
+def _structural(rule: Rule) -> str:
     if rule.structural_kind == "meta_discourse":
-        return _in_bodies(rule, text, structure, protected, META, lambda s: location(structure, s["start"])["is_paragraph_first"] & ~s["value"].contains("돌아가자"))
+        return _in_bodies(rule, META, f"not contains(s.value, '돌아가자') and {_FIRST}")
     if rule.structural_kind == "return_signal":
-        return _in_bodies(rule, text, structure, protected, (RETURN,))
+        return _in_bodies(rule, (RETURN,))
     if rule.structural_kind == "advance_label":
-        return _in_bodies(rule, text, structure, protected, ADVANCE)
+        return _in_bodies(rule, ADVANCE)
+    raw = _strip("substring(t, p.start + 1, p.`end` - p.start)")
+    lead = _strip(f"regexp_extract({raw}, {sql_string(BOLD_LEAD)}, 1)")
+    good = f"p.kind = 'body' and exists(array({lead}), x -> x <> '' and length(x) <= 52 and not x rlike {sql_string('(?U)' + NAVIGATION)})"
+    items = f"transform(structure, p -> named_struct('key', if({good}, 'bold', cast(null as string)), 'start', p.start, 'end', p.`end`))"
+    return _runs(items, rule.minimum_run or 3, _hit(rule, "r.start", "r.`end`", "concat('굵은 도입 라벨 ', cast(r.n as string), '문단 연속')", "굵은 도입 라벨 연속"))
 
-    def keyed(p: Column) -> Column:
-        lead = strip(F.regexp_extract(strip(F.substring(text, p["start"] + 1, p["end"] - p["start"])), BOLD_LEAD, 1))
-        good = (p["kind"] == "body") & (lead != "") & (F.length(lead) <= 52) & ~lead.rlike("(?U)" + NAVIGATION)
-        return F.struct(F.when(good, F.lit("bold")).alias("key"), p["start"].alias("start"), p["end"].alias("end"))
 
-    hits = _runs(F.transform(structure, keyed), rule.minimum_run or 3, lambda r: _hit(rule, r["start"], r["end"], F.concat(F.lit("굵은 도입 라벨 "), r["n"].cast("string"), F.lit("문단 연속")), "굵은 도입 라벨 연속"))
-    return F.filter(hits, lambda h: ~overlaps(h["start"], h["end"], protected))
+_BUILD = {"regex": _regex, "triadic_chain": _triads, "sentence_run": _sentence_run, "structural": _structural}
+
+
+def hits(rules: Sequence[Rule]) -> Column:
+    """Hits of rules in ``scan_text``; those that overlap a protected span are left out, but for runs of sentences, which such spans part."""
+    free = [f"cast({_BUILD[r.anchor_type](r)} as {HITS})" for r in rules if r.anchor_type != "sentence_run"]
+    runs = [f"cast({_sentence_run(r)} as {HITS})" for r in rules if r.anchor_type == "sentence_run"]
+    none = f"cast(array() as {HITS})"
+    kept = f"filter(concat({', '.join([none, *free])}), h -> not exists(protected, p -> h.start < p.`end` and h.`end` > p.start))"
+    return F.expr(f"transform(array(scan_text), t -> concat({', '.join([kept, *runs])}))[0]")
 
 
 def prepare(documents: DataFrame, text: str = "text", extra: list[str] | None = None, marker: str = MARKER) -> DataFrame:
@@ -166,11 +165,7 @@ def scan(
     """
     scanned, _ = gate_rules(rules, translation_source, provenance)
     rows = prepare(documents.select(F.col(key).alias("document_id"), F.col(text).alias("text")).where(F.col("text").isNotNull()), "text", extra, marker)
-    st, sp, ss = F.col("scan_text"), F.col("protected"), F.col("structure")
-    build = {"regex": lambda r: _regex(r, st, sp), "triadic_chain": lambda r: _triads(r, st, sp), "sentence_run": lambda r: _sentence_run(r, st, sp), "structural": lambda r: _structural(r, st, ss, sp)}
-    hits = [build[r.anchor_type](r).cast(HITS) for r in scanned]
-    found = F.concat(*hits) if hits else F.array().cast(HITS)
-    at = rows.select("document_id", "text", "structure", F.explode(found).alias("h"))
+    at = rows.select("document_id", "text", "structure", F.explode(hits(scanned)).alias("h"))
     placed = at.select("document_id", "h.*", line_of(F.col("text"), F.col("h.start")).alias("line"), column_of(F.col("text"), F.col("h.start")).alias("column"), context(F.col("text"), F.col("h.start"), F.col("h.end")).alias("context"), F.inline(F.array(location(F.col("structure"), F.col("h.start")))))
     placed = placed.withColumn("allowance", _allowance(allow))
     done = placed.withColumn("allowed", F.col("allowance").isNotNull()).withColumn("allow_scope", F.col("allowance.scope")).withColumn("allow_reason", F.col("allowance.reason"))
@@ -259,7 +254,3 @@ def all_counts(findings: DataFrame) -> DataFrame:
 def ordered(findings: DataFrame) -> DataFrame:
     """In the order of receipts: document, start, rule. For sinks only."""
     return findings.orderBy("document_id", "start", "rule_id")
-
-
-def union_findings(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

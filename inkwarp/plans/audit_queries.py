@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwarp.functions.normal import rule_key
+from inkwarp.functions.normal import rule_key, rule_sql
 from inkwarp.functions.offsets import anchors_in_order, column_of, context, count_literal, find_all, line_of, mask, settle
 from inkwarp.functions.spans import DATE, QUOTATION, STATUTE, lost_values, with_protected
 from inkwarp.functions.structure import with_structure
@@ -267,10 +267,7 @@ _ONCE = """once as (select anchor_id, min(struct_pack(a := document_id, b := rul
 
 
 def _findings_sql() -> str:
-    from inkwarp.plans.term_queries import _sql_nfkc
-
-    space = "[\\s  -   　]"
-    rule = f"regexp_replace(regexp_replace(upper({_sql_nfkc('r.b')}), '{space}', '', 'g'), '[_‐-―−]', '-', 'g')"
+    rule = rule_sql("r.b")
     return f"{_ONCE}, f as (select r.a as document_id, {rule} as rule_id, r.c as start_pos, r.d as end_pos, r.e as line_no, r.g as evidence, r.i as paragraph, r.j as sentence_in_paragraph, r.k as shape, allowed from once)"
 
 

@@ -1,14 +1,10 @@
-"""The operators on streams: the scan as it is (one narrow stage), counts by time, and deduplication batch by batch."""
+"""The operators on streams: the scan as it is (one narrow stage), and counts by time."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
-from inkwarp.operators.history_dedup import HistoryIndex
 from inkwarp.operators.scan import scan
 
 
@@ -25,14 +21,3 @@ def counts_by_time(findings: DataFrame, time: str, width: str = "1 hour", late:
     window = F.window(time, width, slide) if slide else F.window(time, width)
     counted = findings.where(F.col(time).isNotNull()).withWatermark(time, late).groupBy(window.alias("w"), key).agg(F.count(F.lit(1)).alias("findings"))
     return counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "findings")
-
-
-def dedup_stream(records: DataFrame, index: HistoryIndex, units: Callable[[DataFrame], DataFrame], keys: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
-    """Hold every micro-batch against all earlier ones, give (rec, first) of repeats to ``sink`` and append the batch to the index."""
-
-    def batch(df: DataFrame, number: int) -> None:
-        if not df.isEmpty():
-            sink(index.probe(units(df), keys(df)), number)
-            index.append()
-
-    return records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -1,9 +1,6 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
-
-from inkwarp.operators.history_dedup import HistoryIndex, article_units
-from inkwarp.streaming.streams import counts_by_time, dedup_stream, scan_stream
+from inkwarp.streaming.streams import counts_by_time, scan_stream
 
 
 def _run(df, name, tmp_path, mode="append"):
@@ -27,17 +24,3 @@ def test_counts_with_late_rows(spark, tmp_path):
     _run(counts_by_time(source, "at", "1 hour", "1 day"), "counted", tmp_path)
     got = [(r.window_start, r.rule_id, r.findings) for r in spark.table("counted").collect()]
     assert got == [(day, "r", 2)]  # the null time is in no window, the late row came when its window was done
-
-
-def test_dedup_of_a_stream(spark, tmp_path):
-    entry = "array<struct<value:string>>"
-    schema = f"rec_no long, key string, titles {entry}, abstracts {entry}"
-    body = " ".join(f"w{i}" for i in range(30))
-    rows = [[(1, "k", [("Title 12",)], [(body,)]), (2, None, [("Other 13",)], [("x y z",)])], [(3, None, [("TITLE 12",)], [(body,)]), (4, "k", [("New 14",)], None)]]
-    for n, part in enumerate(rows):
-        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{n}"))
-    got = {}
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    q = dedup_stream(source, HistoryIndex(spark, str(tmp_path / "index")), article_units, lambda d: d.select(F.col("rec_no").alias("rec"), "key"), lambda d, n: got.update({r.rec: r["first"] for r in d.collect()}), str(tmp_path / "check"))
-    q.awaitTermination()
-    assert got == {3: 1, 4: 1}
