@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from inkwarp.llm.subjects import assign_subjects, mixture, terms
+from inkwarp.llm.subjects import assign_subjects, columns, memberships, mixtures, subject_factor, term_matrix, terms
 
 AREAS = {"a": "apple pear plum cherry quince".split(), "b": "bolt screw nut rivet washer".split(), "c": "은하 궤도 항성 성운 일식".split()}
 STOCK = "the survey near town links and shows that of costs fell".split()
@@ -68,10 +68,30 @@ def test_empty_tables(spark):
     assert assign_subjects(df, "id", "texts", spark.createDataFrame([], "id long, subject string"), [("a", ["apple"])], bits=8).count() == 0
 
 
+def test_factorisation_is_one(spark):
+    """The divergence falls in every round, rows of H sum to one, terms stand in several components, and W H comes near X."""
+    rows, truth = _docs(400, 9)
+    df = spark.createDataFrame(rows, "id long, texts array<string>, share string")
+    labels = spark.createDataFrame([(i, s) for i in range(80) for s in truth[i]], "id long, subject string")
+    matrix = term_matrix(df, "id", "texts", 12)
+    factor = subject_factor(matrix, "id", labels, [(k, []) for k in AREAS], 12, 4, least_fall=1e-3)
+    falls = factor.divergences
+    assert len(falls) > 4 and all(a > b for a, b in zip(falls, falls[1:], strict=False))
+    assert np.allclose(factor.h.sum(axis=0), 1, atol=1e-4) and factor.h.shape[1] == 7
+    stock = [columns([w], 12)[0][0] for w in STOCK]
+    assert np.mean((factor.dense()[stock] > 1e-4).sum(axis=1)) > 1.5
+    got = matrix.toPandas()
+    cols = np.concatenate([np.array(c) for c in got["cols"]])
+    vals = np.concatenate([np.array(v, dtype=float) for v in got["vals"]])
+    owner = np.repeat(np.arange(len(got)), [len(c) for c in got["cols"]])
+    w, _, fit = mixtures(cols, vals, owner, len(got), factor.dense(), 50)
+    assert abs(w.sum() - vals.sum()) < 0.01 * vals.sum() and abs(fit.sum() / vals.sum() - 1) < 0.5
+
+
 def test_parts():
     assert terms(["신장질환의"]) == {"신장": 0.25, "장질": 0.25, "질환": 0.25, "환의": 0.25}
     assert terms(["Apple 3 apple"]) == {"apple": 2.0}
-    h = np.zeros((4, 3), np.float32)
-    h[0, 0] = h[1, 1] = 1
-    w = mixture(np.array([0, 1, 2]), np.array([2.0, 1.0, 9.0]), h)
-    assert np.allclose(w, [2, 1, 0])
+    h = np.array([[0.5, 0], [0.5, 0.25], [0, 0.75]], np.float32)
+    w, _, _ = mixtures(np.array([0, 1, 2]), np.array([4.0, 5.0, 3.0]), np.zeros(3, int), 1, h, 200)
+    assert np.allclose(w, [[8, 4]], atol=1e-3)  # X is just W H
+    assert np.allclose(memberships(np.array([[6.0, 2.0, 90.0], [6.0, 0.5, 1.0], [0.5, 0.1, 3.0]]), np.array([98.0, 7.5, 3.6]), 2), [[0.75, 0.25], [1, 0], [0, 0]])
