@@ -14,14 +14,17 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwarp.functions.offsets import settle
 from inkwarp.llm.sentences import sentence_units
 
 FAMILIES = {"koreanic": ("ko",), "sinographic": ("ja", "zh"), "slavic": ("ru",), "germanic": ("de", "en"), "romance": ("es", "fr")}
@@ -34,19 +37,28 @@ EPOCHS = 3
 FOLDS = 3
 #: Segments of a labelled entry used for training.
 SEGMENTS = 3
-#: A label that a smaller share of a script's labelled texts has is no evidence.
-RARE_LABEL = 0.02
+#: The language of a text in none of those known.
+OTHER = "other"
+#: A text is in no known language if less than this share of its letters is in a script that training texts are in, or if no family's score reaches this.
+LEAST_SEEN = 0.5
+LEAST_SCORE = -1.0
 #: Below this confidence a segment takes the language of most of its document.
 SURE = 0.7
 
 _BLOCKS = ((0xAC00, 0xD7AF), (0x1100, 0x11FF), (0x3040, 0x309F), (0x30A0, 0x30FF), (0x4E00, 0x9FFF), (0x0400, 0x04FF), (0x0061, 0x007A), (0x00DF, 0x017F), (0x0E00, 0x0E7F), (0x0900, 0x097F), (0x0600, 0x06FF), (0x0370, 0x03FF))
-_SCRIPTS = {"hangul": re.compile("[ᄀ-ᇿ가-힯]"), "kana": re.compile("[぀-ヿ]"), "han": re.compile("[㐀-鿿]"), "cyrillic": re.compile("[Ѐ-ӿ]"), "latin": re.compile("[A-Za-zÀ-ɏ]")}
+_SCRIPTS = {"hangul": "ᄀ-ᇿ가-힯", "kana": "぀-ヿ", "han": "㐀-鿿", "cyrillic": "Ѐ-ӿ", "latin": "A-Za-zÀ-ɏ"}
 _NOISE = re.compile(r"[\W\d_]+")
 _BRACKET = re.compile(r"[(（\[［][^()（）\[\]［］]{0,80}[)）\]］]")
 _SIDES = re.compile(r"\s+[/=|:;–—·]+\s+|\s*[／＝｜]\s*")
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
+@lru_cache(maxsize=65536)
+def script_of(c: str) -> str:
+    """The script of a letter: the first word of its name."""
+    return unicodedata.name(c, "").partition(" ")[0]
+
+
 def plain(text: str) -> str:
     """Lower case, composed, letters only, with a space at each word's end; terms in brackets left out."""
     out = unicodedata.normalize("NFC", text)
@@ -109,6 +121,7 @@ class Model:
     pairs: list[tuple[str, str, str]]
     weights: np.ndarray
     bits: int
+    scripts: frozenset[str] = frozenset()
 
     def scores(self, texts: list[str]) -> np.ndarray:
         feats, who = hashed(texts, self.bits)
@@ -122,41 +135,65 @@ class Model:
             out[w[first]] += np.add.reduceat(self.weights[f], first, axis=0)
         return out / np.sqrt(np.maximum(count, 1.0))[:, None]
 
+    @property
+    def languages(self) -> list[str]:
+        return [lang for f in self.families for lang in self.members[f]]
+
+    def chances(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Confidence in each of ``languages`` for each plain text, and whether the text is in any of them at all.
+
+        A language's confidence is that in its family, by the margin to the best other family, times its votes within it.
+        """
+        scores = self.scores(texts)
+        n = len(self.families)
+        top = scores[:, :n]
+        out = np.zeros((len(texts), len(self.languages)))
+        at = 0
+        for j, f in enumerate(self.families):
+            names = self.members[f]
+            others = np.delete(top, j, axis=1)
+            sure = 1 / (1 + np.exp(-2 * (top[:, j] - others.max(axis=1)))) if n > 1 else np.ones(len(texts))
+            votes = np.zeros((len(texts), len(names)))
+            for k, (g, a, b) in enumerate(self.pairs):
+                if g == f:
+                    p = 1 / (1 + np.exp(-3 * scores[:, n + k]))
+                    votes[:, names.index(a)] += p
+                    votes[:, names.index(b)] += 1 - p
+            within = votes / (len(names) - 1) if len(names) > 1 else np.ones((len(texts), 1))
+            out[:, at : at + len(names)] = sure[:, None] * within
+            at += len(names)
+        known = top.max(axis=1) >= LEAST_SCORE if n else np.zeros(len(texts), bool)
+        for i, t in enumerate(texts):
+            letters = t.replace(" ", "")
+            known[i] = known[i] and bool(letters) and sum(script_of(c) in self.scripts for c in letters) >= LEAST_SEEN * len(letters)
+        return out, known
+
     def predict(self, texts: list[str]) -> list[tuple[str | None, float]]:
-        """Language and confidence of each plain text; (None, 0) for one without letters."""
+        """Language and confidence of each plain text; (None, 0) for one without letters, :data:`OTHER` for one in no known language."""
         if not texts or not self.families:
             return [(None, 0.0)] * len(texts)
-        scores = self.scores(texts)
-        top = scores[:, : len(self.families)]
-        out: list[tuple[str | None, float]] = []
-        for i, t in enumerate(texts):
-            if not t.strip():
-                out.append((None, 0.0))
-                continue
-            order = np.argsort(-top[i])
-            family = self.families[order[0]]
-            sure = 1 / (1 + math.exp(-2 * (top[i][order[0]] - top[i][order[1]]))) if len(order) > 1 else 1.0
-            names = self.members[family]
-            votes = dict.fromkeys(names, 0.0)
-            for k, (f, a, b) in enumerate(self.pairs):
-                if f == family:
-                    p = 1 / (1 + math.exp(-3 * scores[i, len(self.families) + k]))
-                    votes[a] += p
-                    votes[b] += 1 - p
-            best = max(names, key=lambda n: votes[n])
-            within = votes[best] / (len(names) - 1) if len(names) > 1 else 1.0
-            out.append((best, float(sure * within)))
-        return out
+        chances, known = self.chances(texts)
+        return [_best(t, c, k, self) for t, c, k in zip(texts, chances, known, strict=True)]
+
+
+def _best(text: str, chances: np.ndarray, known: bool, model: Model) -> tuple[str | None, float]:
+    if not text.strip():
+        return None, 0.0
+    best = int(chances.argmax())
+    return (model.languages[best], float(chances[best])) if known else (OTHER, float(1 - chances[best]))
 
 
 def _svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, epochs: int, seed: int, lam: float = 1e-3) -> np.ndarray:
     """Weights of a linear machine: stochastic subgradients of the hinge loss with an L2 penalty, averaged over the last half."""
     rng = np.random.default_rng(seed)
     w, mean, scale = np.zeros(size), np.zeros(size), 1.0
-    steps, t, taken = epochs * len(rows), 0, 0
+    sides = [np.flatnonzero(y > 0), np.flatnonzero(y < 0)]
+    most = max(map(len, sides))
+    draws = np.concatenate([np.resize(side, most) if 0 < len(side) < most <= 4 * len(side) else np.repeat(side, min(4, most // max(1, len(side))) or 1) for side in sides])  # the smaller side up to four times
+    steps, t, taken = epochs * len(draws), 0, 0
     every = max(1, steps // 64)
     for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
+        for i in rng.permutation(draws):
             t += 1
             eta = 1.0 / (lam * t + 1.0)
             cols, x = rows[i]
@@ -200,7 +237,7 @@ def train(texts: list[str], labels: list[str], families: dict[str, tuple[str, ..
         for f, a, b in pairs:
             own = at[(langs[at] == a) | (langs[at] == b)]
             columns.append(_svm([rows[i] for i in own], np.where(langs[own] == a, 1.0, -1.0), size, epochs, seed) if len(own) else np.zeros(size))
-        return Model(names, dict(families), pairs, np.stack(columns, axis=1).astype(np.float32), bits)
+        return Model(names, dict(families), pairs, np.stack(columns, axis=1).astype(np.float32), bits, frozenset(Counter(map(script_of, texts[i].replace(" ", ""))).most_common(1)[0][0] for i in at if texts[i].strip()))
 
     usable = np.array([bool(t.strip()) for t in texts])
     agreed = usable.copy()
@@ -219,36 +256,49 @@ def language_code(label: Column) -> Column:
     return F.try_element_at(known, base)
 
 
-def main_script(text: str) -> str:
-    """The script most of a text's letters are in; '' without any. Kana make a text Japanese, however many Han characters."""
-    counts = {name: len(p.findall(text)) * (10 if name == "kana" else 1) for name, p in _SCRIPTS.items()}
-    most = max(counts, key=counts.__getitem__)
-    return most if counts[most] else ""
+def main_script(text: Column) -> Column:
+    """The script most of a text's letters are in, null without any. Kana make a text Japanese, however many Han characters."""
+    counts = [F.struct((F.regexp_count(text, F.lit(f"[{chars}]")) * (10 if name == "kana" else 1)).alias("n"), F.lit(name).alias("name")) for name, chars in _SCRIPTS.items()]
+    most = F.array_max(F.array(*counts))
+    return F.when(most["n"] > 0, most["name"])
 
 
-def sample_labelled(entries: DataFrame, text: str, label: str, key: list[str], most: int = SAMPLE, rare: float = RARE_LABEL) -> list[tuple[str, str]]:
-    """At most ``most`` labelled texts of each language, those with the least hash of ``key``.
+def quotas(counts: dict[tuple[str, str], int], most: int) -> dict[tuple[str, str], int]:
+    """Of ``most`` texts a language, how many come from each (script, label), by the share of the script that has the label.
 
-    Labels that fewer than ``rare`` of all labelled texts in a script have are taken as slips and left out before the sample is drawn;
-    without that, a rare language's sample would be filled with them. Scripts are counted over all labelled texts.
+    So a label that most of a script's texts have is learned from that script, and slips, few in a script of another language, stay few.
     """
+    scripts: dict[str, int] = {}
+    for (script, _), n in counts.items():
+        scripts[script] = scripts.get(script, 0) + n
+    out = {}
+    for lang in {lang for _, lang in counts}:
+        cells = sorted(((n / scripts[script], script, n) for (script, x), n in counts.items() if x == lang), reverse=True)
+        rest, weights = most, sum(w for w, _, _ in cells)
+        for w, script, n in cells:
+            out[script, lang] = min(n, round(rest * w / weights))
+            rest, weights = rest - out[script, lang], weights - w
+    return out
 
-    def scripts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(script=[main_script(t) for t in b["text"]])
-
-    known = entries.select(F.col(text).alias("text"), language_code(F.col(label)).alias("label"), F.xxhash64(*key).alias("h")).where(F.col("label").isNotNull() & F.col("text").isNotNull())
-    known = known.mapInPandas(scripts, "text string, label string, h long, script string").where("script <> ''")
-    tally = {(r.script, r.label): r["count"] for r in known.groupBy("script", "label").count().collect()}  # a row for each pair of script and language
-    whole: dict[str, int] = {}
-    for (script, _), n in tally.items():
-        whole[script] = whole.get(script, 0) + n
-    usual = F.lit(False)
-    for (script, lang), n in sorted(tally.items()):
-        if n >= rare * whole[script]:
-            usual = usual | ((F.col("script") == script) & (F.col("label") == lang))
-    picked = known.where(usual).withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("n") <= most)
-    return sorted((r.label, r.text) for r in picked.select("label", "text").collect())
+
+def sample_labelled(entries: DataFrame, text: str, label: str, key: list[str], most: int = SAMPLE) -> list[tuple[str, str]]:
+    """``most`` labelled texts of each language, or all there are: those with the least hash of ``key`` in each script (see :func:`quotas`).
+
+    All labelled texts are counted first, so only rows below a hash threshold leave their partitions, about four times as many as are
+    wanted. A wrong label is not dropped here but where the other folds contradict it (see :func:`train`).
+    """
+    rows = entries.select(F.col(text).alias("text"), F.col(label).alias("said"), F.xxhash64(*key).bitwiseAND(F.lit((1 << 62) - 1)).alias("h"))
+    known = settle(rows, label=language_code(F.col("said")), script=main_script(F.col("text"))).drop("said").where("label is not null and script is not null")
+    counts = {(r.script, r.label): r["count"] for r in known.groupBy("script", "label").count().collect()}  # a row for each pair of script and language
+    wanted = quotas(counts, most)
+    limits = [x for (script, lang), n in sorted(wanted.items()) for x in (F.lit(f"{script} {lang}"), F.lit(min(1 << 62, (1 << 62) * 4 * n // counts[script, lang])))]
+    if not limits:
+        return []
+    low = F.col("h") < F.try_element_at(F.create_map(*limits), F.concat_ws(" ", "script", "label"))
+    picked: dict[tuple[str, str], list[tuple[int, str]]] = {}
+    for r in known.where(low).collect():
+        picked.setdefault((r.script, r.label), []).append((r.h, r.text))
+    return sorted((cell[1], t) for cell, found in picked.items() for _, t in sorted(found)[: wanted[cell]])
 
 
 def train_on(sample: list[tuple[str, str]], **more) -> Model:
@@ -262,31 +312,42 @@ def train_on(sample: list[tuple[str, str]], **more) -> Model:
 
 
 def label_segments(texts: list[str | None], model: Model) -> list[list[tuple[int, int, str, float]]]:
-    """Segments (start, end, language, confidence) of every text; neighbours of one language are joined."""
+    """Segments (start, end, language, confidence) of every text; neighbours of one language are joined.
+
+    A segment that is not surely in one language takes that of most of its text, with the confidence in that language; one without
+    letters does so too and counts for nothing in the confidence of what it is joined to.
+    """
     cuts = [segments(t) if t else [] for t in texts]
     flat = [plain(t[s:e]) for t, c in zip(texts, cuts, strict=True) for s, e in c]
-    found = model.predict(flat)
+    if not flat or not model.families:
+        return [[] for _ in texts]
+    chances, known = model.chances(flat)
+    place = {lang: i for i, lang in enumerate(model.languages)}
+    found = [_best(t, c, k, model) for t, c, k in zip(flat, chances, known, strict=True)]
     out, at = [], 0
     for c in cuts:
-        here, at = found[at : at + len(c)], at + len(c)
+        span = range(at, at + len(c))
+        at += len(c)
         weight: dict[str, float] = {}
-        for (s, e), (lang, sure) in zip(c, here, strict=True):
+        for (s, e), i in zip(c, span, strict=True):
+            lang, sure = found[i]
             if lang:
                 weight[lang] = weight.get(lang, 0.0) + (e - s) * sure
         most = max(sorted(weight), key=weight.__getitem__) if weight else None
         joined: list[list] = []
-        for (s, e), (lang, sure) in zip(c, here, strict=True):
+        for (s, e), i in zip(c, span, strict=True):
             if most is None:
                 continue
-            if lang is None or sure < SURE:
-                lang = most
+            lang, sure = found[i]
+            size = 0 if lang is None else e - s
+            if lang is None or lang != OTHER and sure < SURE and most != OTHER:
+                lang, sure = most, float(chances[i][place[most]]) if most in place else 0.0
             if joined and joined[-1][2] == lang:
                 last = joined[-1]
-                last[3] = (last[3] * (last[1] - last[0]) + sure * (e - s)) / (e - last[0]) if e > last[0] else sure
-                last[1] = e
+                last[1], last[3], last[4] = e, last[3] + sure * size, last[4] + size
             else:
-                joined.append([s, e, lang, sure])
-        out.append([tuple(x) for x in joined])
+                joined.append([s, e, lang, sure * size, size])
+        out.append([(s, e, lang, total / size if size else 0.0) for s, e, lang, total, size in joined])
     return out
 
 

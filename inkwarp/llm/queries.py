@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwarp.llm import history_queries, term_queries
 from inkwarp.llm.byte_bpe import encode, token_count
-from inkwarp.llm.languages import language_code, language_table, sample_labelled, train_on
+from inkwarp.llm.languages import OTHER, language_code, language_table, sample_labelled, train_on
 from inkwarp.llm.mojibake import garbled
 from inkwarp.llm.mixing import mix, plan_mix, row_hash, shares, source_key
 from inkwarp.llm.sentences import sentence_table
@@ -92,8 +92,8 @@ def p2_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Languages of the entries whose label is missing or wrong or which mix languages."""
-    found = _segments(spark, folder).groupBy("rec_no", "field", "pos", "named").agg(F.collect_set("lang").alias("langs"))
+    """Languages of the entries whose label is missing or wrong or which mix languages; a stretch in none of the languages known gives no row."""
+    found = _segments(spark, folder).where(F.col("lang") != OTHER).groupBy("rec_no", "field", "pos", "named").agg(F.collect_set("lang").alias("langs"))
     wrong = F.col("named").isNull() | (F.size("langs") > 1) | (F.col("langs")[0] != F.col("named"))
     return found.where(wrong).select("rec_no", "field", "pos", F.explode("langs").alias("lang"))
 
