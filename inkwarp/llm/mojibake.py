@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LAYERS = 4
 #: A text is changed if its cost drops by at least this much.
 LEAST_DROP = 0.9
 #: A text of which no word costs this much holds no text of an encoding of one or two bytes read in another.
@@ -302,11 +301,36 @@ def _fits(read: str, kinds: set[str]) -> bool:
     return bool(kinds & set("lLs_!bgpo"))
 
 
+def _whole(text: str) -> Iterator[tuple[float, int, str]]:
+    """The text with one whole layer off: all of it can be written in a reader's encoding, and the bytes are UTF-8 to the last."""
+    limit = cost(text) - LEAST_DROP
+    for i, read in enumerate(UTF8_READ_AS):
+        raw = [_write(c, read) for c in text] if read not in _WIDE else [None]
+        if None not in raw:
+            try:
+                new = b"".join(raw).decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            if (left := cost(new)) <= limit:
+                yield left, i, new
+
+
+def _inwards(text: str, reads: tuple[str, ...]) -> tuple[str, int]:
+    """Takes off layers until none lowers the cost enough: of the reader of the outermost layer in parts, of any reader as a whole."""
+    layers = 0
+    while not text.isascii():
+        more = [(cost(g[0]), i, g[0]) for i, r in enumerate(reads) if (g := _try_utf8(text, r))] or list(_whole(text))
+        if not more:
+            break
+        text, layers = min(more)[2], layers + 1
+    return text, layers
+
+
 def repair(text: str | None) -> tuple[str, int]:
     """The restored text and the number of layers taken off; (text, 0) if none is garbled so that it can be restored.
 
-    Of all candidates that lower the cost enough, the one with the least cost left is taken. Further layers
-    must have been read in the encoding of the first, as one reader makes them.
+    Every candidate for the outermost layer is followed inwards. As each layer lowers the cost by at least :data:`LEAST_DROP`, this
+    ends. Of all ends the one with the least cost is taken.
     """
     if not text or text.isascii():
         return text or "", 0
@@ -314,15 +338,15 @@ def repair(text: str | None) -> tuple[str, int]:
     best = (cost(text) - LEAST_DROP, 0, text, 0)
     for i, read in enumerate(UTF8_READ_AS):
         if _fits(read, kinds) and _may_be_utf8(text, read) and (got := _try_utf8(text, read)):
-            new, layers, reads = got[0], 1, ("cp1252", "latin-1") if read in ("cp1252", "latin-1") else (read,)
-            while layers < MAX_LAYERS and read not in _WIDE and (more := [g for g in (_try_utf8(new, r) for r in reads) if g]):
-                new, layers = min(more, key=lambda g: cost(g[0]))[0], layers + 1
+            reads = ("cp1252", "latin-1") if read in ("cp1252", "latin-1") else () if read in _WIDE else (read,)
+            new, layers = _inwards(got[0], reads)
             if "cp1252" in reads:
                 new = new.replace("Ã  ", "à ")  # its second byte, a no-break space, was made a plain one
-            best = min(best, (cost(new), i, new, layers))
+            best = min(best, (cost(new), i, new, layers + 1))
     for i, (written, read) in enumerate(LEGACY if suspicious(text) else (), len(UTF8_READ_AS)):
         if _fits(read, kinds) and (got := _try_legacy(text, written, read)):
-            best = min(best, (cost(got[0]), i, got[0], 1))
+            new, layers = _inwards(got[0], ())
+            best = min(best, (cost(new), i, new, layers + 1))
     return best[2], best[3]
 
 

@@ -34,6 +34,23 @@ def test_two_layers():
         assert new == text and passes >= 2
 
 
+@pytest.mark.parametrize("layers", [3, 5, 6])
+def test_many_layers(layers):
+    for text in (SOUND[0], SOUND[5]):
+        bad = text
+        for _ in range(layers):
+            bad = bad.encode().decode("latin-1")
+        assert repair(bad)[0] == text
+
+
+@pytest.mark.parametrize("readers", [("cp1252", "mac_roman"), ("mac_roman", "latin-1"), ("latin-1", "cp850", "latin-1")])
+def test_layers_of_several_readers(readers):
+    text = bad = "Diese Übung für Öl und Dünger"
+    for r in readers:
+        bad = bad.encode().decode(r)
+    assert repair(bad)[0] == text
+
+
 @pytest.mark.parametrize("text", [*SOUND, None, "", "plain", "Chữ Ã và chữ Â đều có", "ÂGE DU BRONZE", "├─ box\n│  └─ 7 ▒▒░ ½ full", "At 5 €/kg for ±82 µm wire at 20 °C — a naïve café™ price…", "NÃO HÁ SESSÃO AMANHÃ.", "﷽ ㎏ ①②③ éäô", "Það er ekki öðru að treysta", "Iğdır yolunda şarkı", "👩🏽‍🚀🇰🇷 ㅋㅋㅋㅠㅠ", "Zażółć gęślą jaźń", "‫אבג 123‬ ψάχνω"])
 def test_sound_text_stays(text):
     assert repair(text) == (text or "", 0)
