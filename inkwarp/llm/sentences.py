@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +54,12 @@ _ITEM = re.compile(r"[^\S\r\n]*(?:[-*+•‣◦·]|(\d{1,3})[.)](?![^\S\r\n]+\d{
 
 _ROCK_N_ROLL = re.compile("'[nN]'")
 
-_FULL = "。！？｡．؟।॥۔։።፧፨។៕၊။᠃᠉꓿᱾᱿꛳꛷"
 _DOTS = ".…‥"
-_TERM = ".!?…‥‼⁇⁈⁉" + _FULL
+#: Marks that need a start of a sentence after them, as a full stop does.
+_SOFT = "!?‼⁇⁈⁉‽⸮"
+#: All characters with the sentence-break property of a terminator, whatever the script, and the wide and small full stops.
+_FULL = "．﹒" + "".join(c for c in regex.findall(r"\p{Sentence_Break=STerm}", "".join(chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000)) if c not in _SOFT)
+_TERM = _DOTS + _SOFT + _FULL
 _OPEN = {"(": ")", "[": "]", "（": "）", "［": "］", "【": "】", "「": "」", "『": "』", "〈": "〉", "《": "》", "〔": "〕", "{": "}"}
 _SHUT = {v: k for k, v in _OPEN.items()}
 _BEFORE_TOKEN = set("([{（“”„«»‹›\"'‘「」『』（）)]，、：；,;:" + _FULL + "！？!?…")
@@ -85,7 +89,7 @@ def _script(c: str) -> str:
 
 
 def _before(text: str, i: int, least: int) -> str:
-    """Script of the last letter or digit before ``i``, over closing marks."""
+    """Script of the last letter or digit before ``i``, over closing marks; '' if twelve marks or more lie between."""
     for j in range(i - 1, max(least, i - 12) - 1, -1):
         s = _script(text[j])
         if s and s != "M":
@@ -102,7 +106,7 @@ def _word(text: str, i: int, most: int, to: int) -> str:
 
 
 def _token(text: str, i: int, least: int) -> str:
-    """What stands before the stop at ``i`` up to a space or an opening mark."""
+    """What stands before the stop at ``i`` up to a space or an opening mark, at most 24 characters: more than any abbreviation has."""
     j = i
     while j > least and i - j < 24 and not text[j - 1].isspace() and text[j - 1] not in _BEFORE_TOKEN and _script(text[j - 1]) != "C":
         j -= 1

@@ -1,4 +1,5 @@
 import pytest
+import regex
 
 from inkwarp.llm.sentences import sentence_table, sentence_units
 
@@ -68,3 +69,9 @@ def test_table(spark):
     got = sentence_table(df, "document_id", "text", with_text=True).distinct().orderBy("unit").collect()
     assert [(r.document_id, r.unit, r.start_pos, r.end_pos, r.sentence) for r in got] == [("a", 1, 0, 4, "One."), ("a", 2, 5, 9, "Two.")]
     assert sentence_table(spark.createDataFrame([], df.schema), "document_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("mark", [c for c in regex.findall(r"\p{Sentence_Break=STerm}", "".join(chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000))] + ["．", "﹒"])
+def test_terminators_of_every_script(mark):
+    text = f"ⴰⴱⴳ ⴷⴹ{mark} ⴽⵍ ⵎⵏ{mark}"
+    assert [text[s:e] for s, e in sentence_units(text)] == [f"ⴰⴱⴳ ⴷⴹ{mark}", f"ⴽⵍ ⵎⵏ{mark}"]
