@@ -165,9 +165,9 @@ def _digits(c: F.Column) -> F.Column:
 
 
 def _titles_agree(a: F.Column, b: F.Column, edits: int) -> F.Column:
-    """Some title of each side is the same but for a few edits (at most a tenth of its length), none of them in a number."""
-    most = lambda x: F.least(F.lit(edits), F.greatest(F.lit(2), F.floor(F.length(x) / 10)))
-    near = lambda x, y: (_digits(x) == _digits(y)) & (F.levenshtein(x, y, edits) >= 0) & (F.levenshtein(x, y, edits) <= most(x))
+    """Some title of each side is the same but for a few edits (at most a tenth of the longer one's length), none of them in a number."""
+    most = lambda x, y: F.least(F.lit(edits), F.greatest(F.lit(2), F.floor(F.greatest(F.length(x), F.length(y)) / 10)))
+    near = lambda x, y: (_digits(x) == _digits(y)) & (F.levenshtein(x, y, edits) >= 0) & (F.levenshtein(x, y, edits) <= most(x, y))
     return F.exists(a, lambda x: F.exists(b, lambda y: near(x, y)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwarp.functions.normal import rule_key, word_key
+from inkwarp.functions.normal import nfkc_sql, rule_key, word_key
 from inkwarp.llm.term_counts import count_terms, mark
 from inkwarp.sources.tables import table
 
@@ -56,22 +56,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_frequencies(spark, folder).where(F.col("mark").isNotNull()).select("kind", "value", "mark")
 
 
-def _wide() -> tuple[str, str]:
-    """Full-width forms of the printable ASCII characters, and these."""
-    return "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)), "".join(chr(c) for c in range(0x21, 0x7F))
-
-
-def _sql_nfkc(x: str) -> str:
-    wide, plain = _wide()
-    q = plain.replace("'", "''")
-    return f"nfc_normalize(translate({x}, '{wide}', '{q}'))"
-
-
 def frequency_sql() -> str:
     """DuckDB form of :func:`p1_frequencies`, with NFKC for the forms that the tables hold (full width, decomposed)."""
     space = "[\\s  -   　]"
-    rule = f"regexp_replace(regexp_replace(upper({_sql_nfkc('rule_id')}), '{space}', '', 'g'), '[_‐-―−]', '-', 'g')"
-    word = f"trim(regexp_replace(lower({_sql_nfkc('k')}), '{space}+', ' ', 'g'))"
+    rule = f"regexp_replace(regexp_replace(upper({nfkc_sql('rule_id')}), '{space}', '', 'g'), '[_‐-―−]', '-', 'g')"
+    word = f"trim(regexp_replace(lower({nfkc_sql('k')}), '{space}+', ' ', 'g'))"
     return f"""
 with led as (select {rule} as value, document_id as record, anchor_id from ledger where rule_id is not null),
 rules_n as (select 'rule' as kind, value, count(distinct coalesce(record, '') || chr(1) || anchor_id) as occurrences, count(distinct record) as records from led group by value),
