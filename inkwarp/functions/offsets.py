@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BLOCK = 128
+#: A line with what ends it: a line feed, a carriage return or both, a form feed, a separator or one of Unicode's line ends.
+LINE = "[^\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]*(?:\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029])|[^\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]+"
 SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -52,12 +54,16 @@ def apply(value: Column, body: str) -> Column:
 
 
 def _walk(pattern: str, gaps: bool) -> str:
-    """SQL text for the spans of the matches in ``t``, or of what lies between them, by a fold over the lengths of both.
+    """SQL text for the spans of the matches in ``t``, or of what lies between them (see :func:`_fold`)."""
+    return _fold(f"zip_with(split(t, {sql_string(pattern)}, -1), regexp_extract_all(t, {sql_string(f'({pattern})')}, 1), (g, h) -> named_struct('gap', g, 'hit', h))", gaps)
+
+
+def _fold(parts: str, gaps: bool) -> str:
+    """SQL text for the spans of the hits, or of the gaps, of ``parts`` (gap and hit in turn), by a fold over the lengths of both.
 
     Appending to an array copies it, so the fold runs over blocks and then over their results, which keeps a text of many matches
     close to linear.
     """
-    parts = f"zip_with(split(t, {sql_string(pattern)}, -1), regexp_extract_all(t, {sql_string(f'({pattern})')}, 1), (g, h) -> named_struct('gap', g, 'hit', h))"
     zero = f"named_struct('at', 0, 'out', cast(array() as {SPANS}))"
     begin, end = "a.at + length(x.gap)", "a.at + length(x.gap) + coalesce(length(x.hit), 0)"
     if gaps:
@@ -85,6 +91,13 @@ def find_literal(text: Column, value: str) -> Column:
     return find_all(text, literal(value)) if value else F.when(text.isNotNull(), empty_spans())
 
 
+def find_value(text: Column, value: Column) -> Column:
+    """Every non-overlapping occurrence of a literal that is a column; none for an empty or null one."""
+    pieces = "split(t.text, concat('\\\\Q', replace(t.value, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E'), -1)"
+    parts = f"transform(array({pieces}), ps -> transform(ps, (g, i) -> named_struct('gap', g, 'hit', if(i + 1 < size(ps), t.value, null))))[0]"
+    return apply(F.struct(text.alias("text"), value.alias("value")), f"case when t.value <> '' and contains(t.text, t.value) then {_fold(parts, gaps=False)} when t.text is not null then cast(array() as {SPANS}) end")
+
+
 def split_spans(text: Column, pattern: str) -> Column:
     """The stretches between matches, also empty ones."""
     return apply(text, _walk(pattern, gaps=True))
@@ -146,11 +159,11 @@ def context(text: Column, start: Column, end: Column, radius: int = 24) -> Colum
 def nth_on_line(text: Column, value: Column, line: Column, occurrence: Column) -> Column:
     """Span of the nth occurrence of a literal on a line, or null: STRUCT<start, end>.
 
-    ``value`` may be a column; lines end with a line feed; line and occurrence count from 1.
+    ``value`` may be a column; lines end as :data:`LINE` says; line and occurrence count from 1.
     """
-    lines = F.split(text, "\n", -1)
+    lines = F.regexp_extract_all(text, F.lit(f"({LINE})"), F.lit(1))
     this = F.get(lines, line - 1)
-    before = F.aggregate(F.slice(lines, F.lit(1), F.greatest(line - 1, F.lit(0))), F.lit(0), lambda n, x: n + F.length(x) + 1)
+    before = F.aggregate(F.slice(lines, F.lit(1), F.greatest(line - 1, F.lit(0))), F.lit(0), lambda n, x: n + F.length(x))
     pieces = F.split(this, F.concat(F.lit("\\Q"), value, F.lit("\\E")), -1)
     ahead = F.aggregate(F.slice(pieces, F.lit(1), F.greatest(occurrence, F.lit(0))), F.lit(0), lambda n, x: n + F.length(x)) + F.length(value) * (occurrence - 1)
     start = before + ahead

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from inkwarp.functions.offsets import blank, find_all, mask_spans
+from inkwarp.functions.offsets import LINE, blank, find_all, mask_spans
 
 PASS, HOLD = "통과", "보류"
 KEYS = ("headings", "bold_markers", "emoji", "fences")
@@ -36,11 +38,9 @@ def changed_keys(before: Column, after: Column) -> Column:
     return F.filter(F.array(*[F.when(~a[k].eqNullSafe(b[k]), F.lit(k)) for k in KEYS]), lambda k: k.isNotNull())
 
 
-def structure_status(before: Column, after: Column) -> Column:
-    return F.when(F.size(changed_keys(before, after)) == 0, PASS).otherwise(HOLD)
-
-
 SCOPES = ("body", "glossary", "table", "heading", "footnote", "index")
+
+# Patterns of the lines that tell a scope.
 _FENCE = re.compile(r"(`{3,}|~{3,})")
 _FENCE_END = re.compile(r"\s*(`{3,}|~{3,})\s*")
 _UNDERLINE = re.compile(r"\s*(?:=+|-+)\s*")
@@ -50,55 +50,50 @@ _NOTE = re.compile(r"\[\^[^\]]+\]:")
 _TITLE = re.compile(r"#{1,6}[ \t]+")
 
 
+def _marked(text: str) -> Iterator[tuple[str, str]]:
+    """Each line with what it is by its own marks and by the fence or footnote that is open: code, heading, footnote or body."""
+    fence, note = "", False
+    for line in text.splitlines(keepends=True):
+        bare = line.rstrip("\r\n")
+        note = note and (not line.strip() or line.startswith(("    ", "\t")))
+        if fence:
+            shut = _FENCE_END.fullmatch(bare)
+            fence = "" if shut and shut[1].startswith(fence) else fence
+            yield bare, "code"
+        elif opened := _FENCE.match(line.lstrip()):
+            fence = opened[1]
+            yield bare, "code"
+        elif _NOTE.match(line.lstrip()):
+            note = True
+            yield bare, "footnote"
+        else:
+            yield bare, "heading" if _TITLE.match(line.lstrip()) else "footnote" if note else "body"
+
+
 def line_kinds(text: str) -> list[str]:
-    """Kind of each line (ended by a line feed): code, heading, footnote, table or body.
+    """Kind of each line: code, heading, footnote, table or body. Lines end as :data:`LINE` says.
 
-    Later rules only take lines that earlier ones left as body: code fences first, then headings and footnotes with what
-    continues them, underlined headings, and tables around their separator line.
+    One pass that sees the line below: a body line over an underline is a heading with it, and one with a bar over a separator line is in
+    the table that goes on below as long as lines have bars.
     """
-    lines = text.split("\n")
-    if lines and lines[-1] == "":
-        lines.pop()
-    kinds = ["body"] * len(lines)
-    fence = ""
-    for i, line in enumerate(lines):
-        if fence:
-            kinds[i] = "code"
-            m = _FENCE_END.fullmatch(line.rstrip("\r"))
-            if m and m.group(1)[0] == fence[0] and len(m.group(1)) >= len(fence):
-                fence = ""
-        elif m := _FENCE.match(line.lstrip()):
-            kinds[i], fence = "code", m.group(1)
-    note = False
-    for i, line in enumerate(lines):
-        goes_on = note and (not line.strip() or line.startswith(("    ", "\t")))
-        if kinds[i] == "code":
-            note = goes_on
-            continue
-        start = line.lstrip()
-        if goes_on:
-            kinds[i] = "footnote"
-        note = goes_on
-        if _TITLE.match(start):
-            kinds[i] = "heading"
-        if _NOTE.match(start):
-            kinds[i], note = "footnote", True
-    for i in range(1, len(lines)):
-        if kinds[i] == kinds[i - 1] == "body" and lines[i - 1].strip() and _UNDERLINE.fullmatch(lines[i].rstrip("\r")):
-            kinds[i] = kinds[i - 1] = "heading"
-    for i, line in enumerate(lines):
-        if kinds[i] == "code" or not _SEPARATOR.fullmatch(line.rstrip("\r")):
-            continue
-        if i and kinds[i - 1] == "body" and _PIPE.search(lines[i - 1]):
-            kinds[i - 1] = "table"
-        if kinds[i] == "body":
-            kinds[i] = "table"
-        for j in range(i + 1, len(lines)):
-            if kinds[j] == "code" or not lines[j].strip() or not _PIPE.search(lines[j]):
-                break
-            if kinds[j] == "body":
-                kinds[j] = "table"
-    return kinds
+    out: list[str] = []
+    underlined = in_table = False
+    for (line, kind), (below, next_kind) in pairwise([*_marked(text), ("", "")]):
+        plain, has_bar = kind == "body", bool(line.strip()) and bool(_PIPE.search(line))
+        if plain and underlined:
+            kind, underlined = "heading", False
+        elif plain and line.strip() and next_kind == "body" and _UNDERLINE.fullmatch(below):
+            kind, underlined = "heading", True
+        else:
+            underlined = False
+        separator = kind != "code" and bool(_SEPARATOR.fullmatch(line))
+        in_table = in_table and kind != "code" and has_bar
+        over = has_bar and next_kind not in ("", "code") and bool(_SEPARATOR.fullmatch(below))
+        if kind == "body" and (separator or in_table or over):
+            kind = "table"
+        in_table = in_table or separator
+        out.append(kind)
+    return out
 
 
 def scope_lines(text: Column) -> Column:
@@ -117,7 +112,7 @@ def scope_view(text: Column, kinds: Column, scope: Column | str) -> Column:
     The scopes glossary and index take every line but code. A comment or fence without end reaches to the text's end.
     """
     s = F.lit(scope) if isinstance(scope, str) else scope
-    lines = F.split(text, "\n", -1)
+    lines = F.regexp_extract_all(text, F.lit(f"({LINE})"), F.lit(1))
     shown = lambda k: F.when(s.isin("glossary", "index"), k != "code").otherwise(k == s)
-    view = F.array_join(F.zip_with(lines, kinds, lambda x, k: F.when(F.coalesce(shown(k), F.lit(False)), x).otherwise(blank(x))), "\n")
+    view = F.array_join(F.zip_with(lines, kinds, lambda x, k: F.when(F.coalesce(shown(k), F.lit(False)), x).otherwise(blank(x))), "")
     return mask_spans(view, find_all(text, "(?s)<!--.*?(?:-->|\\z)"))

@@ -1,19 +1,20 @@
 """Terminology: validation of term maps, and the audit of a migration from old words to new ones by document and scope.
 
-Scope views and protected spans are worked out once for each document and scope; the terms, a small declared list, are columns on that
-row. Counts are then rolled up from scope to document to term.
+Scope views and protected spans are worked out once for each document and scope; the terms, a declared list, are one array that is
+exploded on that row, so the plan is the same for one term and for hundreds. Counts are then rolled up from scope to document to term.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwarp.functions.offsets import SPANS, context, count_literal, find_all, find_literal, line_of, mask_spans, nth_on_line, settle, squeeze
+from inkwarp.functions.offsets import SPANS, apply, context, count_literal, find_all, find_literal, find_value, line_of, mask_spans, nth_on_line, settle, squeeze
 from inkwarp.functions.spans import overlaps, with_protected
 from inkwarp.operators.markdown import HOLD, SCOPES, scope_lines, scope_view
 
@@ -138,68 +139,90 @@ def _plain(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))).cast(SPANS)
 
 
-def longest_first(text: Column, phrases: Sequence[str], taken: Column) -> Column:
-    """Occurrences of any phrase outside ``taken``: by start, longer ones first, none that overlaps one chosen before."""
-    found = F.filter(F.concat(*[find_literal(text, p) for p in phrases]), lambda s: ~overlaps(s["start"], s["end"], taken))
-    order = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["value"].alias("value"))))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+def longest_first(text: Column, phrases: Column, taken: Column) -> Column:
+    """Occurrences of any of ``phrases`` outside ``taken``: by start, longer ones first, none that overlaps one chosen before.
+
+    The folded array is copied when it grows, so the fold keeps hits in blocks (see :func:`inkwarp.functions.offsets.find_all`).
+    """
+    found = F.filter(F.flatten(F.transform(phrases, lambda p: find_value(text, p))), lambda s: ~overlaps(s["start"], s["end"], taken))
+    longest = "transform(array_sort(transform(t, s -> named_struct('start', s.start, 'back', -s.`end`, 'value', s.value))), s -> named_struct('start', s.start, 'end', -s.back, 'value', s.value))"
+    kind = f"struct<at:int,out:{SPANS}>"
+    step = f"cast(if(x.start >= a.at, named_struct('at', x.`end`, 'out', concat(a.out, array(x))), a) as {kind})"
+    zero = f"cast(named_struct('at', 0, 'out', array()) as {kind})"
+    # of a block all that start within what earlier blocks took are left out before it is folded
+    block = f"aggregate(slice(xs, i * 128 + 1, 128), cast(named_struct('at', b.at, 'out', array()) as {kind}), (a, x) -> {step})"
+    folded = f"transform(array({longest}), xs -> aggregate(sequence(0, cast(floor((size(xs) - 1) / 128) as int)), {zero}, (b, i) -> transform(array({block}), n -> cast(named_struct('at', n.at, 'out', concat(b.out, n.out)) as {kind}))[0], b -> b.out))[0]"
+    return apply(found, f"if(size(t) = 0, cast(array() as {SPANS}), {folded})")
+
+
+def sentences_with(text: Column, phrase: Column) -> Column:
+    """The sentences that hold a phrase: ARRAY<STRUCT<start, end, value>> with squeezed values."""
+    said = F.transform(find_all(text, SENTENCE), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), squeeze(s["value"]).alias("value")))
+    return F.filter(said, lambda s: F.contains(s["value"], phrase))
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = x["start"] >= acc["at"]
-        return F.struct(F.when(fits, -x["back"]).otherwise(acc["at"]).alias("at"), F.when(fits, F.concat(acc["out"], F.array(F.struct(x["start"].alias("start"), (-x["back"]).alias("end"), x["value"].alias("value"))))).otherwise(acc["out"]).cast(SPANS).alias("out"))
 
-    return F.aggregate(order, zero, step, lambda acc: acc["out"])
+ECHO = "array<struct<kind:string,component:string,count:int,start:int,end:int,context:string>>"
 
 
-def _exceptions(t: Term, view: Column) -> Column:
-    """Spans of the term's exceptions in this document and scope; null where one is not found."""
-    rows = [F.when((F.col("document_id") == e.document_id) & (F.col("scope") == e.scope), F.struct(F.lit(i).alias("i"), nth_on_line(view, F.lit(e.text), F.lit(e.line), F.lit(e.occurrence)).alias("s"))) for i, e in enumerate(t.exceptions)]
-    kind = "array<struct<i:int,s:struct<start:int,end:int>>>"
-    return F.filter(F.array(*rows), lambda x: x.isNotNull()).cast(kind) if rows else F.array().cast(kind)
+def echoes(said: Column, new: Column, components: Column) -> Column:
+    """Of the sentences with the new term, those in which it, or a part of it outside of it, comes again: component, count, start."""
 
+    def row(name: str, part: Column, n: Column, s: Column) -> Column:
+        return F.struct(F.lit(name).alias("kind"), part.alias("component"), n.cast("int").alias("count"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("context"))
 
-def echoes(text: Column, t: Term) -> Column:
-    """Sentences with the new term in which it, or a part of it outside of it, comes again: component, count, start."""
-    said = F.filter(F.transform(find_all(text, SENTENCE), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), squeeze(s["value"]).alias("value"))), lambda s: s["value"].contains(t.new))
-    kind = "array<struct<kind:string,component:string,count:int,start:int,end:int,context:string>>"
+    whole = F.transform(F.filter(said, lambda s: count_literal(s["value"], new) > 1), lambda s: row("full-term-repeat", new, count_literal(s["value"], new), s)).cast(ECHO)
 
-    def row(name: str, part: str, n: Column, s: Column) -> Column:
-        return F.struct(F.lit(name).alias("kind"), F.lit(part).alias("component"), n.cast("int").alias("count"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("context"))
+    def part(c: Column) -> Column:
+        more = F.filter(said, lambda s: count_literal(s["value"], c) > count_literal(s["value"], new) * count_literal(new, c))
+        return F.transform(more, lambda s: row("component-echo", c, count_literal(s["value"], c), s)).cast(ECHO)
 
-    whole = F.transform(F.filter(said, lambda s: count_literal(s["value"], t.new) > 1), lambda s: row("full-term-repeat", t.new, count_literal(s["value"], t.new), s)).cast(kind)
+    return F.concat(whole, F.flatten(F.transform(components, part)))
 
-    def part(c: str) -> Column:
-        more = F.filter(said, lambda s: count_literal(s["value"], c) > count_literal(s["value"], t.new) * t.new.count(c))
-        return F.transform(more, lambda s: row("component-echo", c, count_literal(s["value"], c), s)).cast(kind)
 
-    return F.concat(whole, *[part(c) for c in t.components])
+_TERM = "struct<id:string,old:array<string>,new:string,scope:array<string>,components:array<string>,exceptions:array<struct<text:string,document_id:string,scope:string,line:int,occurrence:int>>>"
+
+
+def terms_literal(terms: Sequence[Term]) -> Column:
+    """The terms as one constant array."""
+    listed = [{"id": t.id, "old": t.old, "new": t.new, "scope": t.scope, "components": t.components, "exceptions": [asdict(e) for e in t.exceptions]} for t in terms]
+    return F.from_json(F.lit(json.dumps(listed, ensure_ascii=False)), f"array<{_TERM}>")
 
 
 def term_scopes(documents: DataFrame, terms: Sequence[Term]) -> DataFrame:
-    """By term, document and scope of both: old and new counts, residues with context, gap, echoes and exceptions not found."""
+    """By term, document and scope of both: old and new counts, residues with context, gap, sentences, echoes and exceptions not found."""
     views = scope_views(documents)
-    out = None
-    for t in terms:
-        rows = views.where(F.col("scope").isin(list(t.scope)))
-        bv, av = F.col("before_view"), F.col("after_view")
-        rows = settle(rows, bx=_exceptions(t, bv), ax=_exceptions(t, av), bn=find_literal(bv, t.new), an=find_literal(av, t.new))
-        got = lambda c: F.transform(F.filter(c, lambda x: x["s"].isNotNull()), lambda x: F.struct(x["s"]["start"].alias("start"), x["s"]["end"].alias("end"), F.lit("").alias("value"))).cast(SPANS)
-        rows = settle(rows, bfree=F.concat(_plain(F.col("before_protected")), got("bx"), F.col("bn")), akept=F.concat(_plain(F.col("after_protected")), got("ax")))
-        rows = settle(rows, old=longest_first(bv, t.old, F.col("bfree")), left=longest_first(av, t.old, F.col("an")), echo=echoes(mask_spans(av, F.col("akept")), t))
-        free = F.filter("left", lambda s: ~overlaps(s["start"], s["end"], F.col("akept")))
-        held = F.filter("left", lambda s: overlaps(s["start"], s["end"], F.col("akept")))
-        shown = lambda spans: F.transform(spans, lambda s: F.struct(s["value"].alias("old"), s["start"].alias("start"), s["end"].alias("end"), line_of(F.col("after"), s["start"]).alias("line"), context(F.col("after"), s["start"], s["end"], 60).alias("context")))
-        count = lambda spans, taken: F.size(F.filter(spans, lambda s: ~overlaps(s["start"], s["end"], taken)))
-        part = rows.select(
-            F.lit(t.id).alias("term_id"), "document_id", "scope",
-            F.size("old").alias("old_count_before"), shown(free).alias("residues"), shown(held).alias("protected_residues"), F.size(free).alias("residue_count"),
-            count(F.col("bn"), F.col("before_protected")).alias("new_count_before"), count(F.col("an"), F.col("after_protected")).alias("new_count_after"),
-            F.col("echo").alias("echo_candidates"), F.size("echo").alias("echo_count"),
-            (F.size(F.filter("bx", lambda x: x["s"].isNull())) + F.size(F.filter("ax", lambda x: x["s"].isNull()))).alias("unmatched_exceptions"),
-        )
-        out = part if out is None else out.unionByName(part)
-    gap = F.greatest(F.lit(0), F.col("new_count_before") + F.col("old_count_before") - F.col("new_count_after"))
-    return out.withColumn("replacement_gap", gap)
+    rows = views.withColumn("t", F.explode(F.filter(terms_literal(terms), lambda t: F.array_contains(t["scope"], F.col("scope")))))
+    bv, av, new = F.col("before_view"), F.col("after_view"), F.col("t.new")
+    own = F.filter("t.exceptions", lambda e: (e["document_id"] == F.col("document_id")) & (e["scope"] == F.col("scope")))
+    at = lambda view: F.transform(own, lambda e: nth_on_line(view, e["text"], e["line"], e["occurrence"]))
+    rows = settle(rows, bx=at(bv), ax=at(av), bn=find_value(bv, new), an=find_value(av, new))
+    got = lambda c: F.transform(F.filter(c, lambda x: x.isNotNull()), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit("").alias("value"))).cast(SPANS)
+    rows = settle(rows, bfree=F.concat(_plain(F.col("before_protected")), got("bx"), F.col("bn")), akept=F.concat(_plain(F.col("after_protected")), got("ax")))
+    rows = settle(rows, old=longest_first(bv, F.col("t.old"), F.col("bfree")), left=longest_first(av, F.col("t.old"), F.col("an")), said=sentences_with(mask_spans(av, F.col("akept")), new), shown=sentences_with(mask_spans(av, _plain(F.col("after_protected"))), new))
+    rows = settle(rows, echo=echoes(F.col("said"), new, F.col("t.components")))
+    free = F.filter("left", lambda s: ~overlaps(s["start"], s["end"], F.col("akept")))
+    held = F.filter("left", lambda s: overlaps(s["start"], s["end"], F.col("akept")))
+    place = lambda s: line_of(F.col("after"), s["start"]).alias("line")
+    shown = lambda spans: F.transform(spans, lambda s: F.struct(s["value"].alias("old"), s["start"].alias("start"), s["end"].alias("end"), place(s), context(F.col("after"), s["start"], s["end"], 60).alias("context")))
+    count = lambda spans, taken: F.size(F.filter(spans, lambda s: ~overlaps(s["start"], s["end"], taken)))
+    missing = lambda c: F.size(F.filter(c, lambda x: x.isNull()))
+    out = rows.select(
+        F.col("t.id").alias("term_id"), "document_id", "scope",
+        F.size("old").alias("old_count_before"),
+        F.transform("t.old", lambda p: F.struct(p.alias("old"), F.size(F.filter("old", lambda s: s["value"] == p)).alias("count"))).alias("old_counts_before"),
+        shown(free).alias("residues"), shown(held).alias("protected_residues"), F.size(free).alias("residue_count"),
+        count(F.col("bn"), F.col("before_protected")).alias("new_count_before"), count(F.col("an"), F.col("after_protected")).alias("new_count_after"),
+        F.transform("shown", lambda s: F.struct(place(s), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("context"))).alias("new_sentence_contexts"),
+        F.col("echo").alias("echo_candidates"), F.size("echo").alias("echo_count"), (missing("bx") + missing("ax")).alias("unmatched_exceptions"),
+    )
+    return out.withColumn("replacement_gap", F.greatest(F.lit(0), F.col("new_count_before") + F.col("old_count_before") - F.col("new_count_after")))
+
+
+def term_failures(status: DataFrame, rollup: DataFrame) -> DataFrame:
+    """What holds a migration back: term_id, document_id (null for the term as a whole), problem, count. See :func:`term_status`."""
+    documents = rollup.where("level = 1").select("term_id", "document_id", F.explode(F.array(F.struct(F.lit("residue").alias("problem"), F.col("residue_count").alias("count")), F.struct(F.lit("gap").alias("problem"), F.col("replacement_gap").alias("count")))).alias("x"))
+    whole = status.select("term_id", F.lit(None).cast("string").alias("document_id"), F.explode(F.array(*[F.struct(F.lit(k).alias("problem"), n.cast("long").alias("count")) for k, n in (("missing scope", F.size("missing_scopes")), ("stale exception", F.col("stale_exceptions")), ("unmatched exception", F.col("unmatched_exceptions")))])).alias("x"))
+    return documents.unionByName(whole).select("term_id", "document_id", "x.problem", "x.count").where("count > 0")
 
 
 def term_rollup(scopes: DataFrame) -> DataFrame:

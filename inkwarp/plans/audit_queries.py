@@ -14,15 +14,20 @@ from inkwarp.operators.gate import rule_deltas, style_gate
 from inkwarp.operators.iterations import iteration_audit, iteration_states
 from inkwarp.operators.ledger import build_ledger, coverage, reconcile
 from inkwarp.operators.markdown import changed_keys, scope_lines, signature
-from inkwarp.operators.rules import KOREAN, Rule
+from inkwarp.operators.rules import KOREAN, STRUCTURAL_KINDS, Allowance, Rule, gate_rules, validate_rules
 from inkwarp.operators.scan import all_counts, cross_document_repeats, document_receipts, paragraph_rhythm, rule_counts, rule_distribution, scan, sentence_clusters
 from inkwarp.operators.strength import sequence_records
 from inkwarp.operators.terms import discovered_uses, term_rollup, term_scopes, validate_terms
+from inkwarp.plans.scan_sql import DOCS, SPACE, findings, quoted
+from inkwarp.plans.scan_sql import protected as protected_sql
+from inkwarp.plans.scan_sql import receipts as receipts_sql
+from inkwarp.plans.scan_sql import rhythm as rhythm_sql
+from inkwarp.plans.scan_sql import signature as signature_sql
+from inkwarp.plans.scan_sql import structure as structure_sql
 from inkwarp.sources.tables import table
 
 NUMBER = "[0-9]+(?:[.,][0-9]+)?"
 BRACKET = "[(][^()\n]{1,80}[)]"
-SPACE = "[\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: The edit that makes a second version of every manuscript: words replaced, a heading mark dropped, a number changed.
 EDITS = (("경기", "시합"), ("match play", "play"), ("## ", "# "), ("7", "8"))
 TERMS = {
@@ -55,10 +60,21 @@ def pairs(spark: SparkSession, folder: str) -> DataFrame:
     return documents(spark, folder).select(F.col("document_id").alias("pair_id"), F.lit("edit").alias("candidate"), F.col("text").alias("before"), _edited(F.col("text")).alias("after"))
 
 
-def table_rules(spark: SparkSession, folder: str) -> list[Rule]:
-    """The regular expressions of the rules table as a pack, and two runs and chains of the built-in one."""
-    rows = table(spark, folder, "rules").where("anchor_type = 'regex' and pattern is not null").orderBy("id").collect()
-    return [Rule(r.id, "regex", r.pattern) for r in rows] + [r for r in KOREAN if r.anchor_type in ("sentence_run", "triadic_chain", "structural")]
+#: Allowances of the query of that name.
+ALLOWED = (Allowance("KR-C01", "heading", "a title may name it"), Allowance("KR-C02", "first_sentence", "opens"), Allowance("KR-N01", "all", "numbers"), Allowance("KR-C03", "body", "in text"), Allowance("KR-C03", "all", "anywhere"))
+ORIGIN = {"translation_source": True, "provenance": "ai_edited"}
+STRUCTURAL = tuple(r for r in KOREAN if r.anchor_type == "structural")
+
+
+def table_rules(spark: SparkSession, folder: str) -> tuple[Rule, ...]:
+    """The rules of the table, of all anchor types, and the structural ones of the built-in pack.
+
+    A rule of a structural kind that no scan knows is no rule of the pack.
+    """
+    rows = table(spark, folder, "rules").orderBy("id").collect()  # a fixed, small table
+    known = [r for r in rows if r.anchor_type != "structural" or r.structural_kind in STRUCTURAL_KINDS]
+    own = [Rule(r.id, r.anchor_type, r.pattern, r.structural_kind, r.minimum_run, tuple(r.requires or ())) for r in known]
+    return validate_rules([*own, *STRUCTURAL], None)
 
 
 def ledger_findings(spark: SparkSession, folder: str) -> DataFrame:
@@ -121,12 +137,17 @@ def rhythm(spark: SparkSession, folder: str) -> DataFrame:
 
 def scan_findings(spark: SparkSession, folder: str) -> DataFrame:
     """Findings of the table's rules and of runs, chains and structure in all manuscripts."""
-    found = scan(documents(spark, folder), table_rules(spark, folder), provenance="ai_edited")
+    found = scan(documents(spark, folder), table_rules(spark, folder), **ORIGIN)
     return found.withColumnsRenamed({"start": "start_pos", "end": "end_pos", "line": "line_no", "column": "column_no"})
 
 
 def scan_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return rule_counts(scan(documents(spark, folder), table_rules(spark, folder), provenance="ai_edited"))
+    return rule_counts(scan(documents(spark, folder), table_rules(spark, folder), **ORIGIN))
+
+
+def scan_allowances(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings by rule and by the allowance that takes them."""
+    return rule_counts(scan(documents(spark, folder), table_rules(spark, folder), allow=ALLOWED, **ORIGIN), ("rule_id", "allow_scope", "allow_reason"))
 
 
 def scan_korean(spark: SparkSession, folder: str) -> DataFrame:
@@ -188,20 +209,25 @@ def protected_loss(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gate_deltas(spark: SparkSession, folder: str) -> DataFrame:
-    return rule_deltas(pairs(spark, folder), table_rules(spark, folder))
+    return rule_deltas(pairs(spark, folder), table_rules(spark, folder), **ORIGIN)
 
 
 def gate_status(spark: SparkSession, folder: str) -> DataFrame:
-    return style_gate(pairs(spark, folder), ["KR-C03"], rules=table_rules(spark, folder)).select("pair_id", "candidate", "target_reduced", "introduced_candidates", F.size("lost_values").alias("lost"), "status")
+    gate = style_gate(pairs(spark, folder), ["KR-C03", "KR-C07"], ["KR-C07"], rules=table_rules(spark, folder), **ORIGIN)
+    joined = [F.array_join(c, ",").alias(c) for c in ("target_reduced", "target_preserved", "invalid_preserved_rules", "target_unverifiable", "target_unresolved", "target_regressions", "introduced_candidates")]
+    return gate.select("pair_id", "candidate", *joined, F.size("lost_values").alias("lost"), "status")
 
 
 def markdown_signatures(spark: SparkSession, folder: str) -> DataFrame:
+    """Headings with levels, bold markers, emoji and fences of every manuscript."""
     rows = settle(documents(spark, folder), s=signature(F.col("text")))
-    return rows.select("document_id", F.size("s.headings").alias("headings"), F.col("s.bold_markers").alias("bold_markers"), F.size("s.emoji").alias("emoji"), F.size("s.fences").alias("fences"))
+    said = lambda c, a, b: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x[a].cast("string"), x[b])), "|")
+    return rows.select("document_id", said("s.headings", "level", "title").alias("headings"), F.col("s.bold_markers").alias("bold_markers"), F.array_join("s.emoji", "|").alias("emoji"), said("s.fences", "mark", "info").alias("fences"))
 
 
 def markdown_changes(spark: SparkSession, folder: str) -> DataFrame:
-    return pairs(spark, folder).select("pair_id", changed_keys(F.col("before"), F.col("after")).alias("changed"))
+    """What differs in the signatures of a manuscript and its edit."""
+    return pairs(spark, folder).select("pair_id", F.array_join(changed_keys(F.col("before"), F.col("after")), ",").alias("changed"))
 
 
 def edit_sizes(spark: SparkSession, folder: str) -> DataFrame:
@@ -215,10 +241,12 @@ def scope_kinds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _versions(spark: SparkSession, folder: str) -> DataFrame:
-    """Deliveries of an article as versions of its first title."""
-    rows = table(spark, folder, "records").where("article_id is not null").select("rec_no", F.col("article_id").alias("chain_id"), F.lower(F.get(F.transform("titles", lambda e: e["value"]), F.lit(0))).alias("text"))
-    first = rows.where("text is not null").groupBy("chain_id").agg(F.min("rec_no").alias("f"))
-    return rows.join(first, "chain_id").select("chain_id", (F.col("rec_no") - F.col("f")).cast("int").alias("ord"), F.col("rec_no").cast("string").alias("label"), "text")
+    """Deliveries of an article as versions of all its titles and abstracts."""
+    entries = F.concat(F.coalesce("titles", F.array()), F.coalesce("abstracts", F.array()))
+    text = F.lower(F.array_join(F.transform(entries, lambda e: F.coalesce(e["value"], F.lit(""))), "\n"))
+    rows = table(spark, folder, "records").where("article_id is not null").select("rec_no", F.col("article_id").alias("chain_id"), text.alias("text"))
+    first = rows.where("text <> ''").groupBy("chain_id").agg(F.min("rec_no").alias("f"))
+    return rows.where("text <> ''").join(first, "chain_id").select("chain_id", (F.col("rec_no") - F.col("f")).cast("int").alias("ord"), F.col("rec_no").cast("string").alias("label"), "text")
 
 
 def iteration_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -252,7 +280,47 @@ def sequence_layouts(spark: SparkSession, folder: str) -> DataFrame:
     return sequence_records(p, s).select("pair_id", "baseline_ordered", "candidate_ordered", "layout_compressed", F.col("baseline_layout.character_span").alias("span"))
 
 
-_DOCS = "docs as (select document_id, min(text) as text from manuscripts where text is not null group by document_id)"
+_DOCS = DOCS
+_TABLE = {"rules": (Rule("KR-R01", "sentence_run", minimum_run=3), Rule("KR-T02", "triadic_chain"), *STRUCTURAL), "listed": "select id, pattern from rules where anchor_type = 'regex' and pattern is not null"}
+
+
+def _replaced(x: str) -> str:
+    for old, new in EDITS:
+        x = f"replace({x}, {quoted(old)}, {quoted(new)})"
+    return x
+
+
+_SIDES = f"b_docs as (select * from docs), a_docs as (select document_id, {_replaced('text')} as text from docs)"
+
+
+def _deltas_sql() -> str:
+    return f"""{_DOCS}, {_SIDES}, {findings(docs="b_docs", name="fb", **_TABLE)}, {findings(docs="a_docs", name="fa", **_TABLE)},
+cb as (select document_id, rule_id, count(*) as n from fb group by all), ca as (select document_id, rule_id, count(*) as n from fa group by all),
+deltas as (select document_id as pair_id, rule_id, coalesce(cb.n, 0) as before_count, coalesce(ca.n, 0) as after_count, coalesce(ca.n, 0) - coalesce(cb.n, 0) as delta from cb full join ca using (document_id, rule_id)),
+loss as (select document_id as pair_id, value, sum(e) as expected, sum(1 - e) as actual from (select document_id, value, 1 as e from fb_prot union all select document_id, value, 0 from fa_prot) group by all having sum(1 - e) < sum(e))"""
+
+
+def _gate_sql() -> str:
+    d = lambda rule: f"coalesce((select delta from deltas d where d.pair_id = p.pair_id and rule_id = '{rule}'), 0)"
+    n = lambda rule: f"coalesce((select before_count from deltas d where d.pair_id = p.pair_id and rule_id = '{rule}'), 0)"
+    return f"""with {_deltas_sql()},
+p as (select document_id as pair_id from docs), x as (select pair_id, {d("KR-C03")} as d3, {n("KR-C03")} as n3, {d("KR-C07")} as d7, {n("KR-C07")} as n7, coalesce((select string_agg(rule_id, ',' order by rule_id) from deltas d where d.pair_id = p.pair_id and delta > 0 and rule_id not in ('KR-C03', 'KR-C07')), '') as introduced, (select count(*) from loss l where l.pair_id = p.pair_id) as lost from p),
+y as (select *, concat_ws(',', case when d3 < 0 then 'KR-C03' end, case when d7 < 0 then 'KR-C07' end) as target_reduced, case when n7 > 0 then 'KR-C07' else '' end as target_preserved, case when n7 > 0 then '' else 'KR-C07' end as invalid_preserved_rules, concat_ws(',', case when n3 = 0 then 'KR-C03' end, case when n7 = 0 then 'KR-C07' end) as target_unverifiable,
+  concat_ws(',', case when d3 >= 0 then 'KR-C03' end, case when d7 >= 0 and n7 = 0 then 'KR-C07' end) as target_unresolved, concat_ws(',', case when d3 > 0 then 'KR-C03' end, case when d7 > 0 then 'KR-C07' end) as target_regressions from x)
+select pair_id, 'edit' as candidate, target_reduced, target_preserved, invalid_preserved_rules, target_unverifiable, target_unresolved, target_regressions, introduced as introduced_candidates, cast(lost as integer) as lost, case when lost = 0 and target_unresolved = '' and introduced = '' and invalid_preserved_rules = '' then '통과' else '보류' end as status from y"""
+
+
+def _changed_sql(before: str, after: str) -> str:
+    a, b = signature_sql(before), signature_sql(after)
+    return "concat_ws(',', " + ", ".join(f"case when {a[k]} is distinct from {b[k]} then '{k}' end" for k in a) + ")"
+
+
+def _versions_sql() -> str:
+    text = "lower(array_to_string(list_transform(list_concat(coalesce(titles, []), coalesce(abstracts, [])), lambda e: coalesce(e.value, '')), chr(10)))"
+    return f"""v as (select * from (select rec_no, article_id as chain_id, {text} as text from records where article_id is not null) where text <> ''),
+h as (select chain_id, cast(rec_no - min(rec_no) over (partition by chain_id) as integer) as ord, cast(rec_no as varchar) as label, text, sha256(text) as hash from v),
+s as (select *, coalesce(hash = lag(hash) over (partition by chain_id order by ord), false) as same_as_previous, first_value(ord) over (partition by chain_id, hash order by ord) as fo, first_value(label) over (partition by chain_id, hash order by ord) as fl, first_value(text) over (partition by chain_id order by ord) as base from h),
+states as (select *, coalesce(bool_or(same_as_previous) over (partition by chain_id order by ord rows between unbounded preceding and 1 preceding), false) and not same_as_previous as changed_after_no_change, case when not same_as_previous and fo < ord then fl end as returned_to from s)"""
 
 
 def _spans_sql(pattern: str, name: str = "spans") -> str:
@@ -311,15 +379,32 @@ select document_id, cast(row_number() over (partition by document_id order by st
         "coverage_status": f"""with {_last_sql()}, c as (select count(*) filter (where expected) as anchors_total, count(*) filter (where state in ('human', 'reviewed')) as anchors_reviewed, count(*) filter (where state = 'human') as anchors_human_reviewed, count(*) filter (where state = 'unresolved') as anchors_unresolved,
   count(*) filter (where state = 'missing') as missing, count(*) filter (where state = 'unknown') as unknown, count(*) filter (where state = 'invalid') as invalid, count(*) filter (where n > 1) as duplicates from st)
 select 'residual' as mode, anchors_total, anchors_reviewed, anchors_human_reviewed, anchors_unresolved, missing, unknown, duplicates, case when missing + unknown + invalid + duplicates + anchors_unresolved = 0 then '통과' else '보류' end as status from c""",
-        "markdown_signatures": f"with {_DOCS} select document_id, cast(len(regexp_extract_all(text, '(?m)^#{{1,6}}[ \\t]+[^\\n]*[^\\s][^\\n]*$')) as integer) as headings, cast(len(regexp_extract_all(text, '[*][*]')) as integer) as bold_markers, cast(len(regexp_extract_all(text, '[\\x{{1F300}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}]')) as integer) as emoji, cast(len(regexp_extract_all(text, '(?m)^[ \\t]*(?:```+|~~~+)[^\\n]*$')) as integer) as fences from docs",
-        "iteration_rows": """with r as (select rec_no, article_id as chain_id, lower(titles[1].value) as text from records where article_id is not null), v as (select * from r where text is not null),
-h as (select chain_id, cast(rec_no - min(rec_no) over (partition by chain_id) as integer) as ord, cast(rec_no as varchar) as label, sha256(text) as hash from v),
-s as (select *, coalesce(hash = lag(hash) over (partition by chain_id order by ord), false) as same_as_previous, first_value(ord) over (partition by chain_id, hash order by ord) as fo, first_value(label) over (partition by chain_id, hash order by ord) as fl from h)
-select chain_id, ord, hash, same_as_previous, coalesce(bool_or(same_as_previous) over (partition by chain_id order by ord rows between unbounded preceding and 1 preceding), false) and not same_as_previous as changed_after_no_change, case when not same_as_previous and fo < ord then fl end as returned_to from s""",
+        "markdown_signatures": f"with {_DOCS} select document_id, " + ", ".join(f"cast({x} as integer) as {k}" if k == "bold_markers" else f"{x} as {k}" for k, x in signature_sql("text").items()) + " from docs",
+        "iteration_rows": f"with {_versions_sql()} select chain_id, ord, hash, same_as_previous, changed_after_no_change, returned_to from states",
+        "iteration_chains": f"""with {_versions_sql()}, c as (select *, {_changed_sql("base", "text")} as changed from states where ord > 0),
+g as (select chain_id, count(*) as versions, bool_or(changed_after_no_change) as changed_after_no_change, count(returned_to) as oscillations, count(*) filter (where changed <> '') as structure_changes, max_by(same_as_previous, ord) as latest_same_as_previous from c group by chain_id)
+select *, case when not changed_after_no_change and oscillations = 0 and structure_changes = 0 then '기계 확인 완료' else '사람 검토' end as status from g""",
+        "protected_values": f"with {_DOCS}, {protected_sql()} select * from prot",
+        "protected_loss": f"with {_deltas_sql()} select pair_id, value, cast(expected as bigint) as expected, cast(actual as bigint) as actual from loss",
+        "section_paths": f"with {_DOCS}, {structure_sql()} select document_id, paragraph, section_heading, cast(len(sentences) as integer) as sentences, bodies from par",
+        "rhythm": rhythm_sql(),
+        "scan_findings": f"with {_DOCS}, {findings(**_TABLE)} select * from found",
+        "scan_counts": f"with {_DOCS}, {findings(**_TABLE)} select rule_id, count(*) filter (where not allowed) as active_count, count(*) filter (where allowed) as allowed_count, count(*) as all_count from found group by rule_id",
+        "scan_allowances": f"with {_DOCS}, {findings(allow=ALLOWED, **_TABLE)} select rule_id, allow_scope, allow_reason, count(*) filter (where not allowed) as active_count, count(*) filter (where allowed) as allowed_count, count(*) as all_count from found group by all",
+        "scan_korean": f"with {_DOCS}, {findings(KOREAN)} select rule_id, count(*) filter (where not allowed) as active_count, count(*) filter (where allowed) as allowed_count, count(*) as all_count from found group by rule_id",
+        "receipts": receipts_sql(gate_rules(KOREAN)[0]),
+        "gate_deltas": f"with {_deltas_sql()} select pair_id, 'edit' as candidate, rule_id, before_count, after_count, delta from deltas",
+        "gate_status": _gate_sql(),
+        "markdown_changes": f"with {_DOCS}, {_SIDES} select b.document_id as pair_id, {_changed_sql('b.text', 'a.text')} as changed from b_docs b join a_docs a using (document_id)",
+        "sequence_layouts": f"""with {_DOCS}, {_SIDES}, both_sides as (select document_id, 'b' as side, text from b_docs union all select document_id, 'a', text from a_docs),
+o1 as (select *, instr(text, chr(10)) as p1 from both_sides), o2 as (select *, case when p1 > 0 and instr(substr(text, p1 + 1), '. ') > 0 then p1 + instr(substr(text, p1 + 1), '. ') end as p2 from o1), o3 as (select *, case when p2 is not null and instr(substr(text, p2 + 2), chr(10)) > 0 then p2 + 1 + instr(substr(text, p2 + 2), chr(10)) end as p3 from o2),
+piece as (select document_id, side, p3 is not null as ordered, p3 - p1 + 1 as span, substr(text, p1, p3 - p1 + 1) as x from o3),
+l as (select document_id, side, ordered, span, greatest(1, len(list_filter(string_split_regex(x, '\\n{space}*\\n'), lambda y: regexp_replace(y, '{space}', '', 'g') <> ''))) as paragraphs, greatest(1, len(regexp_extract_all(x, '[.!?]+'))) as sentences from piece)
+select b.document_id as pair_id, b.ordered as baseline_ordered, a.ordered as candidate_ordered, coalesce(b.ordered and a.ordered and (a.paragraphs < b.paragraphs or a.sentences < b.sentences), false) as layout_compressed, cast(b.span as integer) as span from l b join l a on a.document_id = b.document_id and a.side = 'a' where b.side = 'b'""",
         "anchor_order": f"with {_DOCS}, a as (select document_id, text, instr(text, chr(10)) as p1 from docs), b as (select *, case when p1 > 0 and instr(substr(text, p1 + 1), '. ') > 0 then p1 + instr(substr(text, p1 + 1), '. ') end as p2 from a), c as (select *, case when p2 is not null and instr(substr(text, p2 + 2), chr(10)) > 0 then p2 + 1 + instr(substr(text, p2 + 2), chr(10)) end as p3 from b) select document_id, case when p3 is not null then (p1 - 1) || ',' || (p2 - 1) || ',' || (p3 - 1) end as starts from c",
     }
 
 
 def queries() -> dict:
-    named = (anchor_offsets, anchor_context, masked_texts, literal_counts, protected_quotes_dates, protected_values, paragraph_blocks, section_paths, rhythm, scan_findings, scan_counts, scan_korean, receipts, ledger_counts, ledger_rollup, ledger_distribution, ledger_repeats, ledger_clusters, ledger_anchors, coverage_states, coverage_status, protected_loss, gate_deltas, gate_status, markdown_signatures, markdown_changes, edit_sizes, scope_kinds, iteration_rows, iteration_chains, term_counts, term_uses, anchor_order, sequence_layouts)
+    named = (anchor_offsets, anchor_context, masked_texts, literal_counts, protected_quotes_dates, protected_values, paragraph_blocks, section_paths, rhythm, scan_findings, scan_counts, scan_allowances, scan_korean, receipts, ledger_counts, ledger_rollup, ledger_distribution, ledger_repeats, ledger_clusters, ledger_anchors, coverage_states, coverage_status, protected_loss, gate_deltas, gate_status, markdown_signatures, markdown_changes, edit_sizes, scope_kinds, iteration_rows, iteration_chains, term_counts, term_uses, anchor_order, sequence_layouts)
     return {q.__name__: q for q in named}
