@@ -16,7 +16,7 @@ from inkwarp.operators.iterations import iteration_audit
 from inkwarp.operators.ledger import MODES, build_ledger, coverage, reconcile
 from inkwarp.operators.markdown import HOLD, changed_keys
 from inkwarp.operators.rules import KOREAN, PROVENANCES, gate_rules, scope_warning, validate_allowances, validate_rules
-from inkwarp.operators.scan import LIMIT, cross_document_repeats, document_receipts, ordered, paragraph_rhythm, rule_counts, rule_distribution, scan, sentence_clusters
+from inkwarp.operators.scan import LIMIT, cross_document_repeats, distribution_maps, document_receipts, ordered, paragraph_rhythm, rule_counts, scan, sentence_clusters
 from inkwarp.operators.terms import audit_uses, term_rollup, term_scopes, term_status, validate_senses, validate_terms
 from inkwarp.session import local_session
 from inkwarp.sources.documents import allow_profile, manifest, one_text, pair_manifest, protect_list, read_ledger, write_ledger
@@ -56,7 +56,7 @@ def _scan(spark, a) -> dict:
     active = found.where("not allowed")
     return {
         "kind": "style-candidate-scan", "provenance": a.provenance, "skipped_rules": [{"rule_id": i, "reason": r} for i, r in skipped], "scope_warnings": scope_warning(skipped),
-        "documents_scanned": _rows(document_receipts(documents, found, extra=extra, marker=a.marker)), "documents_excluded": excluded, "counts": _rows(rule_counts(found)), "rule_distribution": _rows(rule_distribution(active)),
+        "documents_scanned": _rows(document_receipts(documents, found, extra=extra, marker=a.marker)), "documents_excluded": excluded, "counts": _rows(rule_counts(found)), "rule_distribution": _rows(distribution_maps(active, 1000)),
         "cross_document_repeats": _rows(cross_document_repeats(active)), "per_sentence_rule_distribution": _rows(sentence_clusters(active)), "paragraph_rhythm": _rows(paragraph_rhythm(documents)), "findings": _rows(ordered(found)), "limit": LIMIT,
     }
 

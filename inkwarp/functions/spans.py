@@ -81,3 +81,11 @@ def lost_values(pairs: DataFrame, keys: list[str], before: str = "before", after
         sides.append(with_protected(pairs.select(*keys, column), column, "__p", extra, marker).select(*keys, F.explode("__p").alias("s")).select(*keys, F.col("s.value").alias("value"), F.lit(int(n == "expected")).alias("e")))
     counted = sides[0].unionByName(sides[1]).groupBy(*keys, "value").agg(F.sum("e").alias("expected"), F.sum(1 - F.col("e")).alias("actual"))
     return counted.where("actual < expected")
+
+
+def verify_protected(pairs: DataFrame, keys: list[str], before: str = "before", after: str = "after", extra: list[str] | None = None, marker: str = MARKER) -> DataFrame:
+    """By pair: protected spans before, values lost (distinct ones), and status; where the values are and what they mean does not count."""
+    spans = with_protected(pairs.select(*keys, before), before, "__p", extra, marker).select(*keys, F.size("__p").alias("before_protected_span_count"))
+    lost = lost_values(pairs, keys, before, after, extra, marker).groupBy(*keys).agg(F.count(F.lit(1)).alias("missing"))
+    out = spans.join(lost, keys, "left").fillna(0, ["missing"])
+    return out.withColumn("status", F.when(F.col("missing") == 0, "통과").otherwise("보류"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwarp.functions.spans import lost_values
+from inkwarp.operators.edits import measure_edits
 from inkwarp.operators.markdown import HOLD, PASS
 from inkwarp.operators.rules import KOREAN, Allowance, Rule
 from inkwarp.operators.scan import rule_counts, scan
@@ -61,3 +62,24 @@ def style_gate(pairs: DataFrame, targets: Sequence[str], preserved: Sequence[str
     )
     clean = (F.size("lost_values") == 0) & (F.size("target_unresolved") == 0) & (F.size("introduced_candidates") == 0) & (F.size("invalid_preserved_rules") == 0)
     return out.withColumn("status", F.when(clean, PASS).otherwise(HOLD))
+
+
+# What a comparison of candidates says.
+ELIGIBLE, LEFT_OUT = "비교 가능", "비교 제외"
+REVIEW_NEXT, MEND_FIRST = "순서를 가린 사람 검토", "보호·표지 gate 실패를 먼저 해결"
+
+
+def compare_candidates(pairs: DataFrame, targets: Sequence[str], **options) -> tuple[DataFrame, DataFrame]:
+    """(candidates, pairs): each candidate's gate, edit size and eligibility; each pair's eligible candidates and what comes next.
+
+    A pair is compared only if it has two candidates or more with distinct names; others raise ValueError. Nothing is ranked.
+    """
+    few = pairs.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("candidate").alias("names")).where("n < 2 or names < n").first()
+    if few:
+        raise ValueError(f"{few.pair_id}: needs two candidates or more with distinct names")
+    gates = style_gate(pairs, targets, **options)
+    sizes = measure_edits(pairs, ["pair_id", "candidate"])
+    each = gates.join(sizes, ["pair_id", "candidate"]).withColumn("eligibility", F.when(F.col("status") == PASS, ELIGIBLE).otherwise(LEFT_OUT))
+    # candidates of one pair are a handful
+    whole = gates.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.when(F.col("status") == PASS, F.col("candidate")))).alias("eligible_candidates"))
+    return each, whole.withColumn("next_step", F.when(F.size("eligible_candidates") > 0, REVIEW_NEXT).otherwise(MEND_FIRST))

@@ -178,21 +178,39 @@ def rule_counts(findings: DataFrame, by: Sequence[str] = ("rule_id",)) -> DataFr
 
 
 def rule_distribution(findings: DataFrame) -> DataFrame:
-    """By rule: occurrences, and how many in each document and with each evidence, as maps; two levels, so that no hot rule is collected raw."""
+    """By rule, part ('document' or 'evidence') and value: occurrences. Flat, so a rule found everywhere is never one row; nulls are left out."""
+    parts = F.array(*[F.struct(F.lit(name).alias("part"), F.col(c).cast("string").alias("value")) for name, c in (("document", "document_id"), ("evidence", "evidence"))])
+    return findings.select("rule_id", F.inline(parts)).where("value is not null").groupBy("rule_id", "part", "value").agg(F.count(F.lit(1)).alias("occurrences"))
+
+
+def distribution_maps(findings: DataFrame, most: int) -> DataFrame:
+    """For sinks, by rule: occurrences, and maps of the ``most`` documents and evidences with the most occurrences."""
     whole = findings.groupBy("rule_id").agg(F.count(F.lit(1)).alias("occurrences"))
+    order = Window.partitionBy("rule_id", "part").orderBy(F.desc("occurrences"), "value")
+    top = rule_distribution(findings).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most)
 
-    def as_map(column: str, name: str) -> DataFrame:
-        counted = findings.where(F.col(column).isNotNull()).groupBy("rule_id", column).agg(F.count(F.lit(1)).alias("n"))
-        return counted.groupBy("rule_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias(name))
+    def as_map(part: str, name: str) -> DataFrame:
+        return top.where(F.col("part") == part).groupBy("rule_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "occurrences")))).alias(name))
 
-    return whole.join(as_map("document_id", "documents"), "rule_id", "left").join(as_map("evidence", "evidence"), "rule_id", "left")
+    return whole.join(as_map("document", "documents"), "rule_id", "left").join(as_map("evidence", "evidence"), "rule_id", "left")
+
+
+def repeat_documents(findings: DataFrame) -> DataFrame:
+    """By rule, shape and document: occurrences, of the shapes found in two or more documents."""
+    shaped = findings.where("shape is not null and shape <> ''")
+    docs = shaped.groupBy("rule_id", "shape", "document_id").agg(F.count(F.lit(1)).alias("occurrences"))
+    several = docs.groupBy("rule_id", "shape").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
+    return docs.join(several, ["rule_id", "shape"])
 
 
 def cross_document_repeats(findings: DataFrame, examples: int = 3) -> DataFrame:
-    """Shapes of a rule found in two or more documents: documents, their sorted ids, occurrences, the first examples."""
+    """Shapes of a rule found in two or more documents: documents, occurrences, and the first ``examples`` by place.
+
+    The documents of a shape are rows of :func:`repeat_documents`.
+    """
     shaped = findings.where("shape is not null and shape <> ''")
     docs = shaped.groupBy("rule_id", "shape", "document_id").agg(F.count(F.lit(1)).alias("n"))
-    sums = docs.groupBy("rule_id", "shape").agg(F.count(F.lit(1)).alias("documents"), F.array_sort(F.collect_list("document_id")).alias("document_ids"), F.sum("n").alias("occurrences")).where("documents >= 2")
+    sums = docs.groupBy("rule_id", "shape").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("occurrences")).where("documents >= 2")
     order = Window.partitionBy("rule_id", "shape").orderBy("document_id", "start", "end")
     first = shaped.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= examples)
     kept = first.groupBy("rule_id", "shape").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "document_id", "line", "paragraph", "context"))), lambda e: F.struct(e["document_id"].alias("document_id"), e["line"].alias("line"), e["paragraph"].alias("paragraph"), e["context"].alias("context"))).alias("examples"))

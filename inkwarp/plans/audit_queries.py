@@ -6,35 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwarp.functions.normal import rule_key, rule_sql
-from inkwarp.functions.offsets import anchors_in_order, column_of, context, count_literal, find_all, line_of, mask, settle
-from inkwarp.functions.spans import DATE, QUOTATION, STATUTE, lost_values, with_protected
+from inkwarp.functions.offsets import anchors_in_order, column_of, context, count_literal, find_all, line_of, mask, nth_on_line, settle
+from inkwarp.functions.spans import DATE, QUOTATION, STATUTE, lost_values, verify_protected, with_protected
 from inkwarp.functions.structure import with_structure
 from inkwarp.operators.edits import measure_edits
-from inkwarp.operators.gate import rule_deltas, style_gate
+from inkwarp.operators.gate import MEND_FIRST, REVIEW_NEXT, compare_candidates, rule_deltas, style_gate
 from inkwarp.operators.iterations import iteration_audit, iteration_states
 from inkwarp.operators.ledger import build_ledger, coverage, reconcile
 from inkwarp.operators.markdown import changed_keys, scope_lines, signature
 from inkwarp.operators.rules import KOREAN, STRUCTURAL_KINDS, Allowance, Rule, gate_rules, validate_rules
-from inkwarp.operators.scan import all_counts, cross_document_repeats, document_receipts, paragraph_rhythm, rule_counts, rule_distribution, scan, sentence_clusters
-from inkwarp.operators.strength import sequence_records
+from inkwarp.operators.scan import all_counts, cross_document_repeats, document_receipts, paragraph_rhythm, repeat_documents, rule_counts, rule_distribution, scan, sentence_clusters
+from inkwarp.operators.strength import sequence_records, strength_records
 from inkwarp.operators.terms import discovered_uses, term_rollup, term_scopes, validate_terms
-from inkwarp.plans.scan_sql import DOCS, SPACE, findings, quoted
+from inkwarp.plans.scan_sql import DOCS, LINES, SPACE, findings, line_kinds, occurrences, quoted, scope_texts, starts
 from inkwarp.plans.scan_sql import protected as protected_sql
 from inkwarp.plans.scan_sql import receipts as receipts_sql
 from inkwarp.plans.scan_sql import rhythm as rhythm_sql
 from inkwarp.plans.scan_sql import signature as signature_sql
 from inkwarp.plans.scan_sql import structure as structure_sql
+from inkwarp.sources.documents import EXCLUDED, listed_documents
 from inkwarp.sources.tables import table
 
 NUMBER = "[0-9]+(?:[.,][0-9]+)?"
 BRACKET = "[(][^()\n]{1,80}[)]"
 #: The edit that makes a second version of every manuscript: words replaced, a heading mark dropped, a number changed.
 EDITS = (("경기", "시합"), ("match play", "play"), ("## ", "# "), ("7", "8"))
+#: The scopes a text is read in; glossary and index are documents of their own.
+SCOPES_OF = {"": ("body", "heading", "table", "footnote"), ":glossary": ("glossary",), ":index": ("index",)}
 TERMS = {
     "schema_version": "0.1",
     "terms": [
-        {"id": "match", "old": ["경기", "match play"], "new": "시합", "scope": ["body", "heading"], "rationale": "one word"},
-        {"id": "soil", "old": ["토양"], "new": "흙", "scope": ["body"], "rationale": "plain word"},
+        {"id": "match", "old": ["경기", "match play"], "new": "시합", "scope": ["body", "heading", "table", "footnote", "glossary"], "rationale": "one word"},
+        {"id": "soil", "old": ["토양"], "new": "흙", "scope": ["body", "footnote", "index"], "rationale": "plain word"},
     ],
 }
 FORMS = [{"id": "match", "forms": ["경기", "선수"]}, {"id": "sky", "forms": ["은하", "orbit"]}]
@@ -168,13 +171,18 @@ def ledger_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ledger_distribution(spark: SparkSession, folder: str) -> DataFrame:
-    """Occurrences, documents and distinct evidence of every rule."""
-    return rule_distribution(ledger_findings(spark, folder).where("rule_id is not null")).select("rule_id", "occurrences", F.size("documents").alias("documents"), F.size("evidence").alias("evidence"), F.array_max(F.map_values("documents")).alias("most_in_document"))
+    """Occurrences of every rule by document and by evidence."""
+    return rule_distribution(ledger_findings(spark, folder).where("rule_id is not null"))
 
 
 def ledger_repeats(spark: SparkSession, folder: str) -> DataFrame:
-    """Evidence that several documents share, as shapes."""
-    return cross_document_repeats(ledger_findings(spark, folder).where("rule_id is not null").withColumn("shape", F.col("evidence"))).select("rule_id", "shape", "documents", "occurrences", F.col("document_ids")[0].alias("first_document"), F.size("examples").alias("examples"))
+    """Evidence that several documents share, as shapes, with the first example."""
+    found = cross_document_repeats(ledger_findings(spark, folder).where("rule_id is not null").withColumn("shape", F.col("evidence")))
+    return found.select("rule_id", "shape", "documents", "occurrences", F.size("examples").alias("examples"), F.col("examples")[0]["document_id"].alias("first_document"), F.col("examples")[0]["line"].alias("first_line"), F.col("examples")[0]["context"].alias("first_context"))
+
+
+def ledger_repeat_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return repeat_documents(ledger_findings(spark, folder).where("rule_id is not null").withColumn("shape", F.col("evidence")))
 
 
 def ledger_clusters(spark: SparkSession, folder: str) -> DataFrame:
@@ -257,16 +265,70 @@ def iteration_chains(spark: SparkSession, folder: str) -> DataFrame:
     return iteration_audit(_versions(spark, folder))[1]
 
 
+def _scoped(p: DataFrame) -> DataFrame:
+    return p.select(F.inline(F.array(*[F.struct(F.concat("document_id", F.lit(end)).alias("document_id"), F.array(*map(F.lit, scopes)).alias("scopes")) for end, scopes in SCOPES_OF.items()])), "before", "after")
+
+
 def term_counts(spark: SparkSession, folder: str) -> DataFrame:
-    p = pairs(spark, folder).select(F.col("pair_id").alias("document_id"), F.array(F.lit("body"), F.lit("heading")).alias("scopes"), "before", "after")
-    return term_rollup(term_scopes(p, validate_terms(TERMS))).where("level >= 1")
+    """Counts of the migration of two terms, by scope, document and term and in all."""
+    p = _scoped(pairs(spark, folder).withColumnRenamed("pair_id", "document_id"))
+    return term_rollup(term_scopes(p, validate_terms(TERMS)))
+
+
+def term_residues(spark: SparkSession, folder: str) -> DataFrame:
+    """Old words that are left, and the sentences with the new ones, with their places."""
+    p = _scoped(pairs(spark, folder).withColumnRenamed("pair_id", "document_id"))
+    rows = term_scopes(p, validate_terms(TERMS))
+    old = lambda c, kind: F.transform(c, lambda r: F.struct(F.lit(kind).alias("kind"), r["old"].alias("value"), r["start"].alias("start_pos"), r["line"].alias("line_no"), r["context"].alias("context")))
+    new = F.transform("new_sentence_contexts", lambda r: F.struct(F.lit("sentence").alias("kind"), F.lit(None).cast("string").alias("value"), r["start"].alias("start_pos"), r["line"].alias("line_no"), r["context"].alias("context")))
+    return rows.select("term_id", "document_id", "scope", F.inline(F.concat(old("residues", "residue"), old("protected_residues", "protected"), new)))
 
 
 def term_uses(spark: SparkSession, folder: str) -> DataFrame:
-    p = documents(spark, folder).select("document_id", F.array(F.lit("body"), F.lit("heading")).alias("scopes"), F.col("text").alias("before"), F.col("text").alias("after"))
+    """Unprotected occurrences of two forms, by line and number on it."""
+    p = _scoped(documents(spark, folder).select("document_id", F.col("text").alias("before"), F.col("text").alias("after")))
     return discovered_uses(p, FORMS).withColumnRenamed("line", "line_no")
 
 
+def nth_marks(spark: SparkSession, folder: str) -> DataFrame:
+    """Span of the second full stop on the third line of every manuscript."""
+    rows = documents(spark, folder).select("document_id", nth_on_line(F.col("text"), F.lit("."), F.lit(3), F.lit(2)).alias("s"))
+    return rows.select("document_id", F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"))
+
+
+def corpus_included(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the corpus that are scanned, each once."""
+    return listed_documents(table(spark, folder, "manuscripts"))[0].select("document_id", "path", "role", F.sha2("text", 256).alias("hash")).distinct()
+
+
+def corpus_excluded(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the corpus that are left out, each once, with the reason."""
+    return listed_documents(table(spark, folder, "manuscripts"))[1].select("document_id", "path", "role", "reason").distinct()
+
+
+def protected_receipts(spark: SparkSession, folder: str) -> DataFrame:
+    return verify_protected(pairs(spark, folder), ["pair_id"])
+
+
+def candidate_choices(spark: SparkSession, folder: str) -> DataFrame:
+    """What can be compared of two candidates for every manuscript: the edit, and the edit with all digits dropped."""
+    p = pairs(spark, folder)
+    bare = p.withColumn("candidate", F.lit("bare")).withColumn("after", F.regexp_replace("after", "[0-9]", ""))
+    return compare_candidates(p.unionByName(bare), ["KR-C03"], rules=table_rules(spark, folder), **ORIGIN)[1].select("pair_id", F.array_join("eligible_candidates", ",").alias("eligible"), "next_step")
+
+
+def strength_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """Strengths of every manuscript, of a policy and review that follow from its length, and what is wrong with them in the edit."""
+    p = pairs(spark, folder).select("pair_id", F.col("before").alias("baseline"), F.col("after").alias("candidate"))
+    n = F.length("baseline")
+    policy = F.element_at(F.array(*map(F.lit, ("exact", "functional", "ask", "other"))), n % 4 + 1)
+    s = p.select(
+        "pair_id", F.lit("s").alias("id"), policy.alias("policy"), F.substring("baseline", 1, 40).alias("baseline_text"), F.substring("candidate", 5, 10).alias("candidate_text"), F.lit("start").alias("position"),
+        F.when(n % 5 > 0, "opens").alias("function"), F.lit("none").alias("surface_cost"), F.lit("flat").alias("risk_if_smoothed"), F.when(n % 3 == 0, "preserved").when(n % 3 == 1, "kept").alias("review"), F.when(n % 7 > 1, "read").alias("reviewer_note"),
+    )
+    return strength_records(p, s).select("pair_id", "id", "policy", "baseline_found", "candidate_found", "review", "human", F.array_join("failures", "; ").alias("failures"))
+
+
 def anchor_order(spark: SparkSession, folder: str) -> DataFrame:
     """Starts of three anchors found one after the other, null if one is not."""
     return documents(spark, folder).select("document_id", anchors_in_order(F.col("text"), F.array(F.lit("\n"), F.lit(". "), F.lit("\n"))).alias("s")).select("document_id", F.array_join("s", ",").alias("starts"))
@@ -336,7 +398,7 @@ _ONCE = """once as (select anchor_id, min(struct_pack(a := document_id, b := rul
 
 def _findings_sql() -> str:
     rule = rule_sql("r.b")
-    return f"{_ONCE}, f as (select r.a as document_id, {rule} as rule_id, r.c as start_pos, r.d as end_pos, r.e as line_no, r.g as evidence, r.i as paragraph, r.j as sentence_in_paragraph, r.k as shape, allowed from once)"
+    return f"{_ONCE}, f as (select r.a as document_id, {rule} as rule_id, r.c as start_pos, r.d as end_pos, r.e as line_no, r.g as evidence, r.h as context, r.i as paragraph, r.j as sentence_in_paragraph, r.k as shape, allowed from once)"
 
 
 def _blank_sql(x: str) -> str:
@@ -353,6 +415,34 @@ st as (select anchor_id, want.anchor_id is not null as expected, coalesce(n, 0)
   from want full join have using (anchor_id))"""
 
 
+def _terms_sql() -> str:
+    """CTEs of the term audit: views, protected spans, old and new words on both sides."""
+    scoped = ", ".join(f"({quoted(end)}, {quoted(x)})" for end, xs in SCOPES_OF.items() for x in xs)
+    listed = ", ".join(f"({quoted(t['id'])}, {quoted(x)})" for t in TERMS["terms"] for x in t["old"])
+    fresh = ", ".join(f"({quoted(t['id'])}, {quoted(t['new'])})" for t in TERMS["terms"])
+    within = ", ".join(f"({quoted(t['id'])}, {quoted(x)})" for t in TERMS["terms"] for x in t["scope"])
+    clash = lambda a, b, same="": f"exists (select 1 from {b} p where p.document_id = {a}.document_id {same} and {a}.start_pos < p.end_pos and {a}.end_pos > p.start_pos)"
+    own = lambda a: f"and p.term_id = {a}.term_id"
+    covered = "(select coalesce(bool_or(c - 1 >= p.start_pos and c - 1 < p.end_pos), false) from ap p where p.document_id = x.document_id)"
+    return f"""{_DOCS}, {_SIDES}, ends(ending, scope) as (values {scoped}), sc as (select document_id as doc, scope from docs, ends), olds(term_id, phrase) as (values {listed}), news(term_id, phrase) as (values {fresh}), reads(term_id, scope) as (values {within}),
+{scope_texts("b_docs", "sc", "bv")}, {scope_texts("a_docs", "sc", "av")}, {protected_sql("bv", "bp")}, {protected_sql("av", "ap")},
+{occurrences("bv", "olds", "bo")}, {occurrences("av", "olds", "ao")}, {occurrences("bv", "news", "bn")}, {occurrences("av", "news", "an")},
+bx as (select * from bo where not {clash("bo", "bp")} and not {clash("bo", "bn", own("bo"))}), ax as (select *, {clash("ao", "ap")} as held from ao where not {clash("ao", "an", own("ao"))}),
+masked_view as (select document_id, doc, scope, raw, text, array_to_string(list_transform(range(1, length(text) + 1), lambda c: case when substr(text, c, 1) <> chr(10) and len(list_filter(ps, lambda p: c - 1 >= p.s and c - 1 < p.e)) > 0 then ' ' else substr(text, c, 1) end), '') as m
+  from av left join (select document_id, list(struct_pack(s := start_pos, e := end_pos)) as ps from ap group by document_id) using (document_id)),
+{starts("masked_view", "sent", "document_id, doc, scope, raw", "m", quoted("[^.!?]+(?:[.!?]|$)"))},
+said as (select document_id, doc, scope, raw, term_id, phrase, start_pos, trim(regexp_replace(value, '{SPACE}+', ' ', 'g')) as value from sent join news on contains(trim(regexp_replace(value, '{SPACE}+', ' ', 'g')), phrase)),
+cell as (select r.term_id, sc.doc || e.ending as document_id, sc.scope, sc.doc || chr(1) || sc.scope as v from sc join ends e using (scope) join reads r using (scope)),
+counted as (select term_id, document_id, scope, (select count(*) from bx where bx.document_id = v and bx.term_id = c.term_id) as old_count_before, (select count(*) from ax where ax.document_id = v and ax.term_id = c.term_id and not held) as residue_count,
+  (select count(*) from bn where bn.document_id = v and bn.term_id = c.term_id and not {clash("bn", "bp")}) as new_count_before, (select count(*) from an where an.document_id = v and an.term_id = c.term_id and not {clash("an", "ap")}) as new_count_after,
+  (select count(*) from said s where s.document_id = v and s.term_id = c.term_id and (length(s.value) - length(replace(s.value, s.phrase, ''))) / length(s.phrase) > 1) as echo_count from cell c),
+gapped as (select *, greatest(0, new_count_before + old_count_before - new_count_after) as replacement_gap from counted)"""
+
+
+def _place_sql(text: str, start: str, end: str, radius: int) -> str:
+    return f"trim(regexp_replace(substr({text}, greatest({start} - {radius}, 0) + 1, {end} + {radius} - greatest({start} - {radius}, 0)), '{SPACE}+', ' ', 'g'))"
+
+
 def oracle_sql() -> dict[str, str]:
     f = _findings_sql()
     space = SPACE
@@ -371,8 +461,35 @@ select document_id, cast(row_number() over (partition by document_id order by st
   case when head then regexp_replace(trim(line, ' ' || chr(9) || chr(13) || chr(160) || chr(12288)), '^#+[ \\t]+', '') else '' end as heading from k""",
         "ledger_counts": f"with {f} select rule_id, count(*) filter (where not allowed) as active_count, count(*) filter (where allowed) as allowed_count, count(*) as all_count from f group by rule_id",
         "ledger_rollup": f"with {f} select document_id, rule_id, count(*) filter (where not allowed) as active_count, count(*) as all_count, grouping(document_id, rule_id) as level from f group by rollup(document_id, rule_id)",
-        "ledger_distribution": f"with {f}, d as (select rule_id, document_id, count(*) as n from f where document_id is not null group by all) select f.rule_id, count(*) as occurrences, cast(count(distinct document_id) as integer) as documents, cast(count(distinct evidence) as integer) as evidence, (select max(n) from d where d.rule_id = f.rule_id) as most_in_document from f where f.rule_id is not null group by f.rule_id",
-        "ledger_repeats": f"with {f} select rule_id, evidence as shape, count(distinct document_id) as documents, count(*) as occurrences, min(document_id) as first_document, cast(least(count(*), 3) as integer) as examples from f where evidence is not null and evidence <> '' and rule_id is not null group by rule_id, evidence having count(distinct document_id) >= 2",
+        "ledger_distribution": f"with {f}, x as (select rule_id, unnest([struct_pack(part := 'document', value := document_id), struct_pack(part := 'evidence', value := evidence)]) as x from f where rule_id is not null) select rule_id, x.part as part, x.value as value, count(*) as occurrences from x where x.value is not null group by all",
+        "ledger_repeats": f"with {f}, s as (select rule_id, evidence as shape, document_id, line_no, context, row_number() over (partition by rule_id, evidence order by document_id nulls first, start_pos nulls first, end_pos nulls first) as rn from f where evidence is not null and evidence <> '' and rule_id is not null) select rule_id, shape, count(distinct coalesce(document_id, chr(1))) as documents, count(*) as occurrences, cast(least(count(*), 3) as integer) as examples, any_value(document_id) filter (where rn = 1) as first_document, any_value(line_no) filter (where rn = 1) as first_line, any_value(context) filter (where rn = 1) as first_context from s group by rule_id, shape having count(distinct coalesce(document_id, chr(1))) >= 2",
+        "ledger_repeat_documents": f"with {f}, s as (select rule_id, evidence as shape, document_id, count(*) as occurrences from f where evidence is not null and evidence <> '' and rule_id is not null group by all) select * from s qualify count(*) over (partition by rule_id, shape) >= 2",
+        "scope_kinds": f"with recursive {_DOCS}, {line_kinds()} select document_id, kind, count(*) as lines from lk group by all",
+        "term_counts": f"with recursive {_terms_sql()} select term_id, document_id, scope, cast(sum(old_count_before) as bigint) as old_count_before, cast(sum(residue_count) as bigint) as residue_count, cast(sum(new_count_before) as bigint) as new_count_before, cast(sum(new_count_after) as bigint) as new_count_after, cast(sum(replacement_gap) as bigint) as replacement_gap, cast(sum(echo_count) as bigint) as echo_count, cast(0 as bigint) as unmatched_exceptions, grouping(term_id, document_id, scope) as level from gapped group by rollup(term_id, document_id, scope)",
+        "term_residues": f"""with recursive {_terms_sql()}, named as (select *, (select any_value(document_id) from cell c where c.v = x.document_id) as name, (select any_value(scope) from cell c where c.v = x.document_id) as sc_name, (select raw from av where av.document_id = x.document_id) as raw_text from ax x)
+select term_id, name as document_id, sc_name as scope, case when held then 'protected' else 'residue' end as kind, phrase as value, start_pos, cast(length(substr(raw_text, 1, start_pos)) - length(replace(substr(raw_text, 1, start_pos), chr(10), '')) + 1 as integer) as line_no, {_place_sql("raw_text", "start_pos", "end_pos", 60)} as context from named join reads r using (term_id) where r.scope = sc_name
+union all select s.term_id, c.document_id, c.scope, 'sentence', null, start_pos, cast(length(substr(raw, 1, start_pos)) - length(replace(substr(raw, 1, start_pos), chr(10), '')) + 1 as integer), value from said s join cell c on c.v = s.document_id and c.term_id = s.term_id""",
+        "term_uses": f"""with recursive {_DOCS}, ends(ending, scope) as (values {", ".join(f"({quoted(e)}, {quoted(x)})" for e, xs in SCOPES_OF.items() for x in xs)}), sc as (select document_id as doc, scope from docs, ends), forms(term_id, phrase) as (values {", ".join(f"({quoted(t['id'])}, {quoted(x)})" for t in FORMS for x in t["forms"])}),
+{scope_texts("docs", "sc", "bv")}, {protected_sql("bv", "bp")}, {occurrences("bv", "forms", "o")},
+n as (select o.*, doc || ending as name, scope, cast(length(substr(text, 1, start_pos)) - length(replace(substr(text, 1, start_pos), chr(10), '')) + 1 as integer) as line_no from o join bv using (document_id) join ends using (scope)),
+m as (select *, cast(row_number() over (partition by document_id, term_id, phrase, line_no order by start_pos) as integer) as occurrence from n)
+select term_id, name as document_id, scope, line_no, occurrence, phrase as form from m where not exists (select 1 from bp p where p.document_id = m.document_id and m.start_pos < p.end_pos and m.end_pos > p.start_pos)""",
+        "nth_marks": f"with {_DOCS}, l as (select document_id, regexp_extract_all(text, {quoted(LINES)}) as ls from docs), p as (select document_id, string_split(ls[3], '.') as g, length(ls[1]) + length(ls[2]) as base from l) select document_id, case when len(g) > 2 then cast(base + length(g[1]) + length(g[2]) + 1 as integer) end as start_pos, case when len(g) > 2 then cast(base + length(g[1]) + length(g[2]) + 2 as integer) end as end_pos from p",
+        "corpus_included": "select distinct document_id, path, coalesce(role, 'prose') as role, sha256(text) as hash from manuscripts where coalesce(include, true)",
+        "corpus_excluded": f"select distinct document_id, path, coalesce(role, 'prose') as role, coalesce(reason, {quoted(EXCLUDED)}) as reason from manuscripts where not coalesce(include, true)",
+        "protected_receipts": f"with {_deltas_sql()}, n as (select document_id as pair_id, (select count(*) from fb_prot p where p.document_id = d.document_id) as k, (select count(*) from loss l where l.pair_id = d.document_id) as missing from docs d) select pair_id, cast(k as integer) as before_protected_span_count, missing, case when missing = 0 then '통과' else '보류' end as status from n",
+        "candidate_choices": f"""with {_DOCS}, b_docs as (select * from docs), a_docs as (select document_id || '=edit' as document_id, {_replaced("text")} as text from docs union all select document_id || '=bare', regexp_replace({_replaced("text")}, '[0-9]', '', 'g') from docs),
+{findings(docs="b_docs", name="fb", **_TABLE)}, {findings(docs="a_docs", name="fa", **_TABLE)}, c as (select document_id as pair_id, unnest(['edit', 'bare']) as candidate from docs),
+cb as (select document_id, rule_id, count(*) as n from fb group by all), ca as (select document_id, rule_id, count(*) as n from fa group by all),
+lost as (select pair_id, candidate, count(*) as k from (select pair_id, candidate, value, sum(e) as e, sum(a) as a from (select c.pair_id, c.candidate, value, 1 as e, 0 as a from c join fb_prot on document_id = c.pair_id union all select c.pair_id, c.candidate, value, 0, 1 from c join fa_prot on document_id = c.pair_id || '=' || c.candidate) group by all) where a < e group by all),
+s as (select pair_id, candidate, coalesce((select n from ca where document_id = c.pair_id || '=' || c.candidate and rule_id = 'KR-C03'), 0) - coalesce((select n from cb where document_id = c.pair_id and rule_id = 'KR-C03'), 0) as d3,
+  (select count(*) from ca where document_id = c.pair_id || '=' || c.candidate and rule_id <> 'KR-C03' and n > coalesce((select n from cb where cb.document_id = c.pair_id and cb.rule_id = ca.rule_id), 0)) as grown, coalesce((select k from lost l where l.pair_id = c.pair_id and l.candidate = c.candidate), 0) as gone from c),
+g as (select pair_id, coalesce(string_agg(candidate, ',' order by candidate) filter (where d3 < 0 and grown = 0 and gone = 0), '') as eligible from s group by pair_id)
+select pair_id, eligible, case when eligible <> '' then {quoted(REVIEW_NEXT)} else {quoted(MEND_FIRST)} end as next_step from g""",
+        "strength_failures": f"""with {_DOCS}, {_SIDES}, p as (select b.document_id as pair_id, b.text as baseline, a.text as candidate, length(b.text) as n from b_docs b join a_docs a using (document_id)),
+s as (select pair_id, n, (['exact', 'functional', 'ask', 'other'])[n % 4 + 1] as policy, baseline <> '' as baseline_found, case n % 4 when 0 then baseline <> '' and contains(candidate, substr(baseline, 1, 40)) when 1 then substr(candidate, 5, 10) <> '' end as candidate_found, case n % 3 when 0 then 'preserved' when 1 then 'kept' else 'unreviewed' end as review from p)
+select pair_id, 's' as id, policy, baseline_found, candidate_found, review, policy in ('functional', 'ask') as human, concat_ws('; ', case when n % 5 = 0 then 'position, function, surface_cost, and risk_if_smoothed are required' end, case when not baseline_found then 'baseline_text not found' end, case when policy = 'exact' and not candidate_found then 'exact strength missing from candidate' end, case when policy = 'functional' and not candidate_found then 'candidate_text not found' end,
+  case when policy = 'functional' and review = 'kept' then 'invalid review value' end, case when policy = 'functional' and (review <> 'preserved' or n % 7 <= 1) then 'human preserved decision and reviewer_note required' end, case when policy = 'ask' then 'author decision required' end, case when policy = 'other' then 'policy must be exact, functional, or ask' end) as failures from s""",
         "ledger_clusters": f"with {f}, s as (select rule_id, document_id, paragraph, sentence_in_paragraph, count(*) as n from f group by all) select rule_id, count(*) as sentences_with_findings, count(*) filter (where n >= 2) as sentences_with_2plus, max(n) as max_per_sentence from s group by rule_id",
         "ledger_anchors": f"with {f}, u as (select document_id, rule_id, start_pos, end_pos, min(line_no) as line_no from f where rule_id is not null group by all) select document_id || ':' || rule_id || ':' || start_pos || ':' || end_pos || ':' || row_number() over (order by document_id, start_pos, rule_id, end_pos) as anchor_id, line_no from u",
         "coverage_states": f"with {_last_sql()} select state, expected, count(*) as anchors, cast(sum(n) as bigint) as ledger_rows from st group by state, expected",
@@ -406,5 +523,5 @@ select b.document_id as pair_id, b.ordered as baseline_ordered, a.ordered as can
 
 
 def queries() -> dict:
-    named = (anchor_offsets, anchor_context, masked_texts, literal_counts, protected_quotes_dates, protected_values, paragraph_blocks, section_paths, rhythm, scan_findings, scan_counts, scan_allowances, scan_korean, receipts, ledger_counts, ledger_rollup, ledger_distribution, ledger_repeats, ledger_clusters, ledger_anchors, coverage_states, coverage_status, protected_loss, gate_deltas, gate_status, markdown_signatures, markdown_changes, edit_sizes, scope_kinds, iteration_rows, iteration_chains, term_counts, term_uses, anchor_order, sequence_layouts)
+    named = (anchor_offsets, anchor_context, masked_texts, literal_counts, protected_quotes_dates, protected_values, paragraph_blocks, section_paths, rhythm, scan_findings, scan_counts, scan_allowances, scan_korean, receipts, ledger_counts, ledger_rollup, ledger_distribution, ledger_repeats, ledger_repeat_documents, ledger_clusters, ledger_anchors, coverage_states, coverage_status, protected_loss, gate_deltas, gate_status, markdown_signatures, markdown_changes, edit_sizes, scope_kinds, iteration_rows, iteration_chains, term_counts, term_residues, term_uses, nth_marks, corpus_included, corpus_excluded, protected_receipts, candidate_choices, strength_failures, anchor_order, sequence_layouts)
     return {q.__name__: q for q in named}

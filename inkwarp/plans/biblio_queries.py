@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwarp.operators.biblio import TOPICS, by_year, completed_pages, first_by_key, languages, run_sizes, summary, topic_signals, unique_in_harvest
-from inkwarp.sources.harvest import remaining_pages
+from inkwarp.operators.biblio import TOPICS, by_year, completed_pages, first_by_key, languages, repeated_pages, run_sizes, summary, topic_signals, unique_in_harvest
+from inkwarp.sources.harvest import harvest_plan, planned_requests, remaining_pages
 from inkwarp.sources.tables import table
 
 MAX_PAGES = 4
@@ -26,9 +26,9 @@ def biblio_unique(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def biblio_harvest_unique(spark: SparkSession, folder: str) -> DataFrame:
-    """How many records each run has, and how many distinct ones."""
+    """Distinct records of the whole harvest: by article id, or else by all their content."""
     rows = _records(spark, folder).drop("rec_no", "batch_no", "harvested_at")
-    one = unique_in_harvest(rows.select("article_id", "run_id", "doi", "url"))
+    one = unique_in_harvest(rows)
     return one.agg(F.count(F.lit(1)).alias("records"), F.count("article_id").alias("with_id"))
 
 
@@ -66,8 +66,22 @@ def harvest_resume(spark: SparkSession, folder: str) -> DataFrame:
     return remaining_pages(log.select("query_group", "field", "term").distinct(), MAX_PAGES, log)
 
 
+def repeated_log_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of the log that tell the same numbers as an earlier page of their query."""
+    numbers = F.array(F.col("total").cast("string"), F.col("records").cast("string"), F.col("new_records").cast("string"))
+    log = table(spark, folder, "query_log").where("page is not null").select("query_group", "field", "term", "page", numbers.alias("ids")).distinct()
+    return repeated_pages(log).select("query_group", "field", "term", "page", F.array_join("ids", ",", "").alias("numbers"))
+
+
+def harvest_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests of a dry run by group: the groups and terms of the log, in two fields each."""
+    log = table(spark, folder, "query_log").where("query_group is not null and term is not null")
+    groups = log.groupBy("query_group").agg(F.sort_array(F.collect_set("term")).alias("terms")).orderBy("query_group").collect()  # the declared terms of a harvest
+    return planned_requests(harvest_plan(spark, [{"id": r.query_group, "terms": r.terms} for r in groups], ["title", "keyword"]))
+
+
 def queries() -> dict:
-    named = (biblio_unique, biblio_harvest_unique, biblio_years, biblio_title_languages, biblio_abstract_languages, biblio_summary, biblio_topics, biblio_runs, harvest_done, harvest_resume)
+    named = (biblio_unique, biblio_harvest_unique, biblio_years, biblio_title_languages, biblio_abstract_languages, biblio_summary, biblio_topics, biblio_runs, harvest_done, harvest_resume, repeated_log_pages, harvest_requests)
     return {q.__name__: q for q in named}
 
 
@@ -81,7 +95,9 @@ def oracle_sql() -> dict[str, str]:
     done = "done as (select distinct query_group, field, term, coalesce(page, 0) as page from query_log where status in ('ok', 'repeated-page-stopped'))"
     return {
         "biblio_unique": f"with {first} select rec_no, article_id, source_id, run_id from u",
-        "biblio_harvest_unique": "with d as (select distinct nullif(article_id, '') as a, case when nullif(article_id, '') is null then struct_pack(article_id, run_id, doi, url) end as s from records) select count(*) as records, count(a) as with_id from d",
+        "biblio_harvest_unique": "with c as (select * exclude (rec_no, batch_no, harvested_at) from records), d as (select distinct nullif(article_id, '') as a, case when nullif(article_id, '') is null then cast(c as varchar) end as s from c) select count(*) as records, count(a) as with_id from d",
+        "repeated_log_pages": "with d as (select distinct query_group, field, term, page, concat_ws(',', coalesce(cast(total as varchar), ''), coalesce(cast(records as varchar), ''), coalesce(cast(new_records as varchar), '')) as numbers from query_log where page is not null) select * from d qualify row_number() over (partition by query_group, field, term, numbers order by page) > 1",
+        "harvest_requests": "select query_group, 2 * count(distinct term) as requests from query_log where query_group is not null and term is not null group by 1",
         "biblio_years": f"with {first} select journal.year as year, count(*) as records from u where journal.year is not null and journal.year <> '' group by 1",
         "biblio_title_languages": langs("titles"),
         "biblio_abstract_languages": langs("abstracts"),

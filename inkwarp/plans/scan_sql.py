@@ -202,3 +202,48 @@ def signature(x: str) -> dict[str, str]:
         "emoji": f"array_to_string(regexp_extract_all({x}, '[\\x{{1F300}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}]'), '|')",
         "fences": f"array_to_string(list_transform({fence}, lambda f: regexp_extract(regexp_replace(f, '^[ \\t]+', ''), {mark}, 1) || ':' || {strip(f"regexp_replace(regexp_replace(f, '^[ {chr(92)}t]+', ''), {mark}, '')")}), '|')",
     }
+
+
+#: The line ends of the scope reading.
+_END = "\\n\\r\\x0b\\x0c\\x{1c}-\\x{1e}\\x{85}\\x{2028}\\x{2029}"
+LINES = f"[^{_END}]*(?:\\r\\n|[{_END}])|[^{_END}]+"
+
+
+def line_kinds(docs: str = "docs", name: str = "lk") -> str:
+    """CTEs (of a recursive WITH) up to ``name``: document_id, i, line (with its end) and kind of every line."""
+    n = name
+    bare = "regexp_replace(line, '[\\r\\n]+$', '')"
+    left = f"regexp_replace(line, '^{SPACE}+', '')"
+    separator = re2("\\s*\\|?\\s*:?-{3,}:?\\s*(?:\\|\\s*:?-{3,}:?\\s*)+\\|?\\s*")
+    return f"""{n}_a as (select document_id, i, regexp_extract_all(text, {quoted(LINES)})[i] as line from {docs}, unnest(range(1, len(regexp_extract_all(text, {quoted(LINES)})) + 1)) as u(i)),
+{n}_b as (select document_id, i, line, regexp_full_match(line, '{SPACE}*') as blank, regexp_matches(line, '^(?:    |\\t)') as indented, regexp_extract({left}, '^(`{{3,}}|~{{3,}})', 1) as opens, case when regexp_full_match({bare}, {quoted(re2(chr(92) + 's*(`{3,}|~{3,})' + chr(92) + 's*'))}) then regexp_replace({bare}, '{SPACE}+', '', 'g') else '' end as shuts,
+  regexp_matches({left}, '^\\[\\^[^\\]]+\\]:') as is_note, regexp_matches({left}, '^#{{1,6}}[ \\t]+') as is_title, regexp_full_match({bare}, {quoted(re2(chr(92) + 's*(?:=+|-+)' + chr(92) + 's*'))}) as under, regexp_full_match({bare}, {quoted(separator)}) as sep, regexp_matches({bare}, '(?:^|[^\\\\])\\|') and not regexp_full_match(line, '{SPACE}*') as bar from {n}_a),
+{n}_c as (select document_id, 0::bigint as i, ''::varchar as fence, false as note, ''::varchar as base from {docs}
+  union all select b.document_id, b.i, case when c.fence <> '' then case when starts_with(b.shuts, c.fence) then '' else c.fence end else b.opens end, case when c.fence = '' and b.opens = '' and b.is_note then true else c.note and (b.blank or b.indented) end,
+    case when c.fence <> '' or b.opens <> '' then 'code' when b.is_note then 'footnote' when b.is_title then 'heading' when c.note and (b.blank or b.indented) then 'footnote' else 'body' end
+  from {n}_c c join {n}_b b on b.document_id = c.document_id and b.i = c.i + 1),
+{n}_d as (select b.*, c.base, coalesce(lead(c.base) over w, '') as next_base, coalesce(lead(b.under) over w, false) as next_under, coalesce(lead(b.sep) over w, false) as next_sep from {n}_b b join {n}_c c using (document_id, i) window w as (partition by document_id order by i)),
+{n}_e as (select document_id, 0::bigint as i, false as paired, false as run, ''::varchar as kind from {docs}
+  union all select d.document_id, d.i, not (d.base = 'body' and e.paired) and d.base = 'body' and not d.blank and d.next_base = 'body' and d.next_under, d.base <> 'code' and (d.sep or e.run and d.bar),
+    case when d.base = 'body' and (e.paired or not d.blank and d.next_base = 'body' and d.next_under) then 'heading' when d.base = 'body' and (d.sep or e.run and d.bar or d.bar and d.next_base not in ('', 'code') and d.next_sep) then 'table' else d.base end
+  from {n}_e e join {n}_d d on d.document_id = e.document_id and d.i = e.i + 1),
+{n} as (select a.document_id, a.i, a.line, e.kind from {n}_a a join {n}_e e using (document_id, i))"""
+
+
+def scope_texts(docs: str, scopes: str, name: str) -> str:
+    """CTE ``name``: the view of every document in each of its scopes, as (document_id [document and scope], doc, scope, raw, text); ``scopes`` has doc and scope."""
+    n = name
+    comment = quoted("(?s)<!--.*?(?:-->|\\z)")
+    blanked = lambda x: f"regexp_replace({x}, '[^\\n]', ' ', 'g')"
+    before = "coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0)"
+    return f"""{line_kinds(docs, n + "_k")},
+{n}_v as (select document_id as doc, scope, string_agg(case when (scope in ('glossary', 'index') and kind <> 'code') or kind = scope then line else {blanked("line")} end, '' order by i) as v from {n}_k join {scopes} s on s.doc = document_id group by all),
+{n}_g as (select doc, scope, v, text as raw, string_split_regex(text, {comment}) as g, regexp_extract_all(text, {comment}) as h from {n}_v join {docs} on document_id = doc),
+{n} as (select doc || chr(1) || scope as document_id, doc, scope, raw, array_to_string(list_transform(range(1, len(g) + 1), lambda i: substr(v, cast({before} - length(g[i]) + 1 as integer), length(g[i])) || coalesce({blanked(f"substr(v, cast({before} + 1 as integer), length(h[i]))")}, '')), '') as text from {n}_g)"""
+
+
+def occurrences(views: str, phrases: str, name: str) -> str:
+    """CTE ``name``: every occurrence of each phrase (CTE of term_id, phrase) in ``views``: document_id, term_id, phrase, start_pos, end_pos."""
+    n = name
+    return f"""{n}_c as (select document_id, term_id, phrase, string_split(text, phrase) as g from {views}, {phrases} where contains(text, phrase)),
+{n} as (select document_id, term_id, phrase, cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + (i - 1) * length(phrase) as integer) as start_pos, cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + i * length(phrase) as integer) as end_pos from {n}_c, unnest(range(1, len(g))) as u(i))"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEDGER = (
@@ -28,14 +28,33 @@ def one_text(spark: SparkSession, text: str, document_id: str = "single-input")
     return spark.createDataFrame([(document_id, text)], "document_id string, text string")
 
 
-def _lost(condition: Column, message: str) -> Column:
-    return F.when(condition, F.raise_error(F.lit(message)))
-
-
 def _file_uri(path: str) -> str:
     return path if "://" in path else "file://" + os.path.abspath(path)
 
 
+def _with_texts(rows: DataFrame, root: str, columns: dict[str, str]) -> DataFrame:
+    """``rows`` with the text of each path column (path: name of the text); all files below ``root`` are listed once, none by the driver's loop.
+
+    Raises ValueError if a file is missing.
+    """
+    files = rows.sparkSession.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(F.regexp_replace("_metadata.file_path", "^file:/+", "file:///").alias("__uri"), F.col("value").alias("__text"))
+    for path, name in columns.items():
+        rows = rows.withColumn("__uri", F.concat(F.lit(root.rstrip("/") + "/"), path)).join(files, "__uri", "left").withColumnRenamed("__text", name).drop("__uri")
+    lost = rows.where(" or ".join(f"{name} is null" for name in columns.values())).select(*columns).first()
+    if lost:
+        raise ValueError(f"manifest document not found: {', '.join(lost)}")
+    return rows
+
+
+def listed_documents(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(included, excluded) rows of a corpus list: document_id, path, role, include, reason and whatever else they have.
+
+    A null role is prose, a null flag includes, and a row left out without a reason gets the usual one.
+    """
+    told = rows.withColumn("role", F.coalesce("role", F.lit("prose"))).withColumn("include", F.coalesce("include", F.lit(True)))
+    return told.where("include"), told.where("not include").withColumn("reason", F.coalesce("reason", F.lit(EXCLUDED)))
+
+
 def manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(included, excluded) documents of a corpus manifest: document_id, path, role and text or reason.
 
@@ -43,23 +62,14 @@ def manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """
     root = os.path.dirname(_file_uri(path))
     listed = spark.read.schema(MANIFEST).json(path, multiLine=True).select(F.inline("documents"))
-    rows = listed.select(F.trim(F.coalesce("id", F.lit(""))).alias("document_id"), F.trim(F.coalesce("path", F.lit(""))).alias("path"), F.coalesce("role", F.lit("prose")).alias("role"), F.coalesce("include", F.lit(True)).alias("include"), "reason")
+    rows = listed.select(F.trim(F.coalesce("id", F.lit(""))).alias("document_id"), F.trim(F.coalesce("path", F.lit(""))).alias("path"), "role", "include", "reason")
     faults = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("document_id") == "") | (F.col("path") == "")).alias("blank"), F.count_distinct("document_id").alias("ids")).first()
     if not faults.n:
         raise ValueError("a manifest needs documents")
     if faults.blank or faults.ids < faults.n:
         raise ValueError("manifest documents need an id of their own and a path")
-    wanted = rows.where("include").withColumn("uri", F.concat(F.lit(root + "/"), "path"))
-    uris = [r.uri for r in wanted.select("uri").distinct().collect()]  # the file list, which a read plans on the driver anyway
-    if uris:
-        try:
-            files = texts(spark, uris).select(F.regexp_replace("path", "^file:/+", "file:///").alias("uri"), "text")
-            included = wanted.join(files, "uri").select("document_id", "path", "role", "text")
-        except Exception as e:
-            raise ValueError(f"manifest document not found: {e}") from None
-    else:
-        included = wanted.select("document_id", "path", "role", F.lit(None).cast("string").alias("text"))
-    return included, rows.where("not include").select("document_id", "path", "role", F.coalesce("reason", F.lit(EXCLUDED)).alias("reason"))
+    included, excluded = listed_documents(rows)
+    return _with_texts(included.select("document_id", "path", "role"), root, {"path": "text"}), excluded.select("document_id", "path", "role", "reason")
 
 
 def pair_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -68,11 +78,8 @@ def pair_manifest(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(PAIRS).json(path, multiLine=True)
     if raw.where("schema_version = '0.1'").isEmpty():
         raise ValueError("manifest schema_version must be 0.1")
-    rows = raw.select(F.inline("documents")).where("include is distinct from false").select(F.col("id").alias("document_id"), "scopes", *[F.concat(F.lit(root + "/"), F.col(c)).alias(c) for c in ("before", "after")])
-    uris = sorted({u for r in rows.select("before", "after").collect() for u in r})
-    files = texts(spark, uris).select(F.regexp_replace("path", "^file:/+", "file:///").alias("uri"), "text")
-    out = rows.join(files.select(F.col("uri").alias("before"), F.col("text").alias("b")), "before").join(files.select(F.col("uri").alias("after"), F.col("text").alias("a")), "after")
-    return out.select("document_id", "scopes", F.col("b").alias("before"), F.col("a").alias("after"))
+    rows = raw.select(F.inline("documents")).where("include is distinct from false").select(F.col("id").alias("document_id"), "scopes", F.col("before").alias("b"), F.col("after").alias("a"))
+    return _with_texts(rows, root, {"b": "before", "a": "after"}).select("document_id", "scopes", "before", "after")
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwarp.operators.rules import KOREAN, Rule, gate_rules, validate_allowances, validate_rules
-from inkwarp.operators.scan import all_counts, cross_document_repeats, document_receipts, paragraph_rhythm, rule_counts, rule_distribution, scan, sentence_clusters
+from inkwarp.operators.scan import all_counts, cross_document_repeats, distribution_maps, document_receipts, paragraph_rhythm, repeat_documents, rule_counts, rule_distribution, scan, sentence_clusters
 
 EDITED = {"provenance": "ai_edited"}
 
@@ -85,9 +85,12 @@ def test_clusters_repeats_and_distribution(spark):
     c = sentence_clusters(found).where("rule_id = 'KH-S07'").first()
     assert (c.sentences_with_findings, c.sentences_with_2plus, c.max_per_sentence) == (1, 1, 3)
     got = {r.rule_id: r for r in cross_document_repeats(found).collect()}
-    assert set(got) == {"KH-S34", "KH-S36"} and got["KH-S34"].document_ids == ["d2", "d3"] and len(got["KH-S36"].examples) == 2
-    d = {r.rule_id: r for r in rule_distribution(found).collect()}
-    assert d["KH-S07"].occurrences == 3 and d["KH-S07"].documents == {"d1": 3} and sum(d["KH-S07"].evidence.values()) == 3
+    assert set(got) == {"KH-S34", "KH-S36"} and got["KH-S34"].documents == 2 and len(got["KH-S36"].examples) == 2
+    assert {(r.document_id, r.occurrences) for r in repeat_documents(found).where("rule_id = 'KH-S34'").collect()} == {("d2", 1), ("d3", 1)}
+    flat = rule_distribution(found).where("rule_id = 'KH-S07'").collect()
+    assert [(r.value, r.occurrences) for r in flat if r.part == "document"] == [("d1", 3)] and sum(r.occurrences for r in flat if r.part == "evidence") == 3
+    d = {r.rule_id: r for r in distribution_maps(found, 1).collect()}
+    assert d["KH-S07"].occurrences == 3 and d["KH-S07"].documents == {"d1": 3} and len(d["KH-S07"].evidence) == 1
     assert all_counts(found).where("level = 3").first().all_count == found.count()
 
 
