@@ -11,16 +11,19 @@ from pyspark.sql import functions as F
 
 from inkwarp.functions.spans import MARKER, lost_values
 from inkwarp.operators.edits import measure_edits
-from inkwarp.operators.gate import style_gate
+from inkwarp.operators.gate import compare_candidates, style_gate
 from inkwarp.operators.iterations import iteration_audit
 from inkwarp.operators.ledger import MODES, build_ledger, coverage, reconcile
 from inkwarp.operators.markdown import HOLD, changed_keys
 from inkwarp.operators.rules import KOREAN, PROVENANCES, gate_rules, scope_warning, validate_allowances, validate_rules
 from inkwarp.operators.scan import LIMIT, cross_document_repeats, distribution_maps, document_receipts, ordered, paragraph_rhythm, rule_counts, scan, sentence_clusters
+from inkwarp.operators.biblio import by_year, first_by_key, languages, summary, topic_signals
+from inkwarp.operators.cases import read_cases, run_cases, strengths_of
 from inkwarp.operators.terms import audit_uses, term_rollup, term_scopes, term_status, validate_senses, validate_terms
 from inkwarp.session import local_session
 from inkwarp.sources.documents import allow_profile, manifest, one_text, pair_manifest, protect_list, read_ledger, write_ledger
 from inkwarp.sources.docx import format_findings, read_docx
+from inkwarp.sources.harvest import read_runs
 
 
 def _rows(df: DataFrame) -> list:
@@ -116,6 +119,29 @@ def _markdown(spark, a) -> dict:
     return {"kind": "markdown-structure", "status": HOLD if changed else "통과", "changed": changed}
 
 
+def _comparison(spark, a) -> dict:
+    names = [c.partition("=") for c in a.candidate]
+    if any(not n or not p for n, _, p in names):
+        raise ValueError("candidates are NAME=PATH")
+    each, whole = compare_candidates(_pair(spark, a.before, *[(n, p) for n, _, p in names]), a.target_rule, extra=_extra(spark, a), translation_source=a.translation_source, provenance=a.provenance)
+    return {"kind": "candidate-comparison", **_rows(whole)[0], "candidates": _rows(each)}
+
+
+def _strengths(spark, a) -> dict:
+    case = {"name": "pair", "before": _read(a.before), "after": _read(a.after), "ledger": json.loads(_read(a.ledger))}
+    return {"kind": "strength-verification", **_rows(strengths_of(spark, [case]))[0]}
+
+
+def _cases(spark, a) -> dict:
+    rows = [r for folder in a.folder for r in _rows(run_cases(spark, read_cases(folder)))]
+    return {"kind": "cases", "status": HOLD if any(r["status"] == "failed" for r in rows) else "통과", "cases": rows}
+
+
+def _bibliography(spark, a) -> dict:
+    records = first_by_key(read_runs(spark, a.records), ["run_id"])
+    return {"kind": "bibliography", **_rows(summary(records))[0], "years": _rows(by_year(records)), "topics": _rows(topic_signals(records)), "title_languages": _rows(languages(records, "titles")), "abstract_languages": _rows(languages(records, "abstracts"))}
+
+
 def _docx(spark, a) -> dict:
     return {"kind": "docx-format-candidate-scan", "findings": _rows(format_findings(read_docx(spark, a.input)))}
 
@@ -159,6 +185,13 @@ def parser() -> argparse.ArgumentParser:
     add("terms", _terms, "manifest", "map")
     add("senses", _senses, "manifest", "map")
     add("markdown", _markdown, "before", "after")
+    k = add("comparison", _comparison, "before", optional=("protect-file",))
+    origin(k)
+    k.add_argument("--candidate", action="append", required=True)
+    k.add_argument("--target-rule", action="append", default=[])
+    add("strengths", _strengths, "before", "after", "ledger")
+    add("cases", _cases).add_argument("--folder", action="append", required=True)
+    add("bibliography", _bibliography, "records")
     add("docx", _docx, "input")
     add("rules", _rules)
     return top

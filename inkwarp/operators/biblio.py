@@ -93,3 +93,12 @@ def topic_signals(records: DataFrame, topics: dict[str, tuple[str, ...]] = TOPIC
 def run_sizes(records: DataFrame) -> DataFrame:
     """Records of each run before any deduplication."""
     return records.groupBy("run_id").agg(F.count(F.lit(1)).alias("records_before_cross_run_deduplication"))
+
+
+def run_receipts(records: DataFrame, log: DataFrame) -> DataFrame:
+    """By run_id: distinct records (see :func:`unique_in_harvest`), pages done and pages failed, which are rows of the log; no secret is kept."""
+    mark = F.coalesce(F.nullif("article_id", F.lit("")), F.sha2(F.to_json(F.struct(*sorted(c for c in records.columns if c != "run_id"))), 256))
+    unique = records.groupBy("run_id").agg(F.count_distinct(mark).alias("records_unique"))
+    pages = log.groupBy("run_id").agg(F.count_if(F.col("status").isin(*ENDED)).alias("queries_completed"), F.count_if(F.col("status") == "failed").alias("failures"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return unique.join(pages, "run_id", "full_outer").select("run_id", zero("records_unique"), zero("queries_completed"), zero("failures"), F.lit("not persisted").alias("credential"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwarp.operators.biblio import TOPICS, by_year, completed_pages, first_by_key, languages, repeated_pages, run_sizes, summary, topic_signals, unique_in_harvest
+from inkwarp.operators.biblio import TOPICS, by_year, completed_pages, first_by_key, languages, repeated_pages, run_receipts, run_sizes, summary, topic_signals, unique_in_harvest
 from inkwarp.sources.harvest import harvest_plan, planned_requests, remaining_pages
 from inkwarp.sources.tables import table
 
@@ -66,6 +66,11 @@ def harvest_resume(spark: SparkSession, folder: str) -> DataFrame:
     return remaining_pages(log.select("query_group", "field", "term").distinct(), MAX_PAGES, log)
 
 
+def biblio_run_receipts(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct records and pages of every run."""
+    return run_receipts(_records(spark, folder).drop("rec_no", "batch_no", "harvested_at"), table(spark, folder, "query_log"))
+
+
 def repeated_log_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pages of the log that tell the same numbers as an earlier page of their query."""
     numbers = F.array(F.col("total").cast("string"), F.col("records").cast("string"), F.col("new_records").cast("string"))
@@ -81,7 +86,7 @@ def harvest_requests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (biblio_unique, biblio_harvest_unique, biblio_years, biblio_title_languages, biblio_abstract_languages, biblio_summary, biblio_topics, biblio_runs, harvest_done, harvest_resume, repeated_log_pages, harvest_requests)
+    named = (biblio_unique, biblio_harvest_unique, biblio_years, biblio_title_languages, biblio_abstract_languages, biblio_summary, biblio_topics, biblio_runs, harvest_done, harvest_resume, biblio_run_receipts, repeated_log_pages, harvest_requests)
     return {q.__name__: q for q in named}
 
 
@@ -96,6 +101,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "biblio_unique": f"with {first} select rec_no, article_id, source_id, run_id from u",
         "biblio_harvest_unique": "with c as (select * exclude (rec_no, batch_no, harvested_at) from records), d as (select distinct nullif(article_id, '') as a, case when nullif(article_id, '') is null then cast(c as varchar) end as s from c) select count(*) as records, count(a) as with_id from d",
+        "biblio_run_receipts": "with c as (select * exclude (rec_no, batch_no, harvested_at) from records), r as (select run_id, count(distinct coalesce(nullif(article_id, ''), cast(c as varchar))) as records_unique from c group by 1), p as (select run_id, count(*) filter (where status in ('ok', 'repeated-page-stopped')) as queries_completed, count(*) filter (where status = 'failed') as failures from query_log group by 1) select coalesce(r.run_id, p.run_id) as run_id, coalesce(records_unique, 0) as records_unique, coalesce(queries_completed, 0) as queries_completed, coalesce(failures, 0) as failures, 'not persisted' as credential from r full join p on r.run_id = p.run_id",
         "repeated_log_pages": "with d as (select distinct query_group, field, term, page, concat_ws(',', coalesce(cast(total as varchar), ''), coalesce(cast(records as varchar), ''), coalesce(cast(new_records as varchar), '')) as numbers from query_log where page is not null) select * from d qualify row_number() over (partition by query_group, field, term, numbers order by page) > 1",
         "harvest_requests": "select query_group, 2 * count(distinct term) as requests from query_log where query_group is not null and term is not null group by 1",
         "biblio_years": f"with {first} select journal.year as year, count(*) as records from u where journal.year is not null and journal.year <> '' group by 1",

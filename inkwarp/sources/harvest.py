@@ -6,6 +6,9 @@ The pages of a query depend on each other (a repeated or empty page ends it), so
 from __future__ import annotations
 
 import hashlib
+import json
+import os
+import re
 import time
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -160,6 +163,45 @@ def read_runs(spark: SparkSession, pattern: str, schema: str | None = None) -> D
 
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     """Stored PDF files: path, article id (from the name), whether they are PDF, size and SHA-256."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", True).load(path)
     ident = F.regexp_extract(F.element_at(F.split("path", "/"), -1), "^(ART\\d+)\\.pdf$", 1)
     return files.select("path", F.nullif(ident, F.lit("")).alias("article_id"), (F.substring("content", 1, 5) == F.lit(b"%PDF-")).alias("is_pdf"), F.length("content").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def pdf_place(root: str, article_id: str, archive: str | None = None, file_id: str | None = None, prefix: str = "KX") -> str:
+    """Where a PDF file goes, without its ending: below the archive's name, or below 'portal' for one known by a file id.
+
+    ValueError unless just one of the two is given and all have their form.
+    """
+    if (archive is None) == (file_id is None):
+        raise ValueError("give an archive or a file id")
+    if archive is not None and not re.fullmatch(r"[a-z0-9-]+", archive):
+        raise ValueError("an archive has small letters, digits and hyphens only")
+    if file_id is not None and not re.fullmatch(rf"{prefix}_FI\d+", file_id):
+        raise ValueError(f"a file id is {prefix}_FI and digits")
+    if not re.fullmatch(r"ART\d+", article_id):
+        raise ValueError("an article id is ART and digits")
+    return f"{root.rstrip('/')}/{archive or 'portal'}/{article_id}"
+
+
+def store_pdf(payload: bytes, place: str, **about: str) -> dict:
+    """Keep a PDF file and its description beside it; RuntimeError if it is none, or if either is there already."""
+    if not payload.startswith(b"%PDF-"):
+        raise RuntimeError("the response is no PDF file")
+    if os.path.exists(f"{place}.pdf") or os.path.exists(f"{place}.json"):
+        raise RuntimeError("a stored file is not written over")
+    os.makedirs(os.path.dirname(place), exist_ok=True)
+    described = {**about, "article_id": os.path.basename(place), "sha256": hashlib.sha256(payload).hexdigest(), "bytes": len(payload)}
+    with open(f"{place}.pdf", "xb") as f:
+        f.write(payload)
+    with open(f"{place}.json", "x", encoding="utf-8") as f:
+        json.dump(described, f, ensure_ascii=False, indent=2)
+    return described
+
+
+def verified_pdfs(spark: SparkSession, path: str) -> DataFrame:
+    """Stored PDF files with their descriptions: path, article_id, is_pdf, bytes, sha256, and whether the description says the same."""
+    said = spark.read.schema("article_id string, sha256 string, bytes long").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path, multiLine=True)
+    told = said.select(F.regexp_replace(F.regexp_replace("_metadata.file_path", "^file:/+", "file:/"), "\\.json$", ".pdf").alias("path"), F.struct("article_id", "bytes", "sha256").alias("said"))
+    files = pdf_files(spark, path)
+    return files.join(told, "path", "left").withColumn("described", F.coalesce(F.col("said") == F.struct("article_id", F.col("bytes").cast("long"), "sha256"), F.lit(False))).drop("said")

@@ -23,5 +23,12 @@ def test_commands(spark, tmp_path, capsys):
     run("ledger", "--input", str(a), "--ledger", str(tmp_path / "l"))
     assert run("coverage", "--input", str(a), "--ledger", str(tmp_path / "l"), "--mode", "residual", code=2)["anchors_unresolved"] == 1
     assert len(run("rules")["rules"]) == 26
+    assert run("comparison", "--before", str(a), "--candidate", f"a={a}", "--candidate", f"b={b}", "--target-rule", "KH-S03")["eligible_candidates"] == ["b"]
+    assert main(["comparison", "--before", str(a), "--candidate", f"a={a}"], spark) == 1
+    (tmp_path / "s.json").write_text(json.dumps({"strengths": [{"id": "s", "policy": "exact", "baseline_text": "첫째", "position": "p", "function": "f", "surface_cost": "c", "risk_if_smoothed": "r"}]}), encoding="utf-8")
+    assert run("strengths", "--before", str(a), "--after", str(b), "--ledger", str(tmp_path / "s.json"), code=2)["failures"] == 1
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "x.json").write_text(json.dumps({"kind": "scan", "before": "../a.md", "minimum_counts": {"KH-S03": 2}}), encoding="utf-8")
+    assert run("cases", "--folder", str(tmp_path / "c"), code=2)["cases"][0]["status"] == "failed"
     assert main(["scan"], spark) == 1 and main(["scan", "--input", str(tmp_path / "none")], spark) == 1
     assert main(["rules"], spark) == 0 and "KH-S01" in capsys.readouterr().out

@@ -7,7 +7,7 @@ from inkwarp.operators.biblio import by_year, completed_pages, first_by_key, lan
 from inkwarp.operators.ledger import build_ledger
 from inkwarp.operators.scan import scan
 from inkwarp.sources.documents import allow_profile, manifest, one_text, pair_manifest, protect_list, read_ledger, receipt, texts, write_ledger
-from inkwarp.sources.harvest import fetch_pages, harvest_plan, parse_page, pdf_files, planned_requests, read_runs, redact, remaining_pages, write_raw, write_records
+from inkwarp.sources.harvest import fetch_pages, harvest_plan, parse_page, pdf_files, pdf_place, planned_requests, read_runs, redact, remaining_pages, store_pdf, verified_pdfs, write_raw, write_records
 
 
 def _page(ids, total="3", extra=""):
@@ -116,3 +116,17 @@ def test_pdf_files(spark, tmp_path):
     (tmp_path / "other.pdf").write_bytes(b"<html>")
     got = {r.article_id: (r.is_pdf, r.bytes) for r in pdf_files(spark, str(tmp_path)).collect()}
     assert got == {"ART1": (True, 10), None: (False, 6)}
+
+
+def test_pdf_with_description(spark, tmp_path):
+    place = pdf_place(str(tmp_path), "ART12", archive="some-archive")
+    assert store_pdf(b"%PDF-1.4 text", place, source="archive")["bytes"] == 13
+    with pytest.raises(RuntimeError):
+        store_pdf(b"%PDF-1.4 text", place)
+    with pytest.raises(RuntimeError):
+        store_pdf(b"<html>", pdf_place(str(tmp_path), "ART13", file_id="KX_FI7"))
+    for bad in ({}, {"archive": "a", "file_id": "KX_FI1"}, {"archive": "A b"}, {"file_id": "FI1"}):
+        with pytest.raises(ValueError):
+            pdf_place(str(tmp_path), "ART1", **bad)
+    (tmp_path / "some-archive" / "ART9.pdf").write_bytes(b"%PDF-1.4")
+    assert {r.article_id: (r.is_pdf, r.described) for r in verified_pdfs(spark, str(tmp_path)).collect()} == {"ART12": (True, True), "ART9": (True, False)}
