@@ -21,15 +21,18 @@ a star of links and a single unit in the index. Links are kept; a class is a con
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 import unicodedata
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -214,7 +217,7 @@ class HistoryIndex:
         self._members: DataFrame | None = None
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         if self._exists("batches"):
-            kept = spark.read.parquet(f"{self.folder}/batches").agg(F.max("batch"), F.max("buckets")).first()
+            kept = spark.read.schema("batch int, buckets int").json(f"{self.folder}/batches").agg(F.max("batch"), F.max("buckets")).first()
             self.batches, self.buckets = kept[0] + 1, kept[1]
             self._sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
             rarity = spark.read.parquet(f"{self.folder}/rarity").toPandas()  # at most 2**SKETCH_BITS rows
@@ -254,26 +257,42 @@ class HistoryIndex:
             hit = np.flatnonzero(self._sketch)
             self.spark.createDataFrame(pd.DataFrame({"b": hit.astype(np.int32), "n": self._sketch[hit]}), "b int, n int").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/rarity")
         fresh = cut(fresh)
-        self._append("units", fresh)
-        self._append("postings", postings(fresh, self._sketch, self.threshold, self.buckets, self.hot).withColumn("batch", F.lit(b)))
+        posted = postings(fresh, self._sketch, self.threshold, self.buckets, self.hot).withColumn("batch", F.lit(b))
+        self._together(lambda: self._append("units", fresh), lambda: self._append("postings", posted))
         links = star.unionByName(self._near(b)).distinct()
-        links.coalesce(self.buckets).write.mode("overwrite").parquet(f"{self.folder}/links/batch={b}")
-        self._append("keys", first.where("old is null").select("key", F.col("head").alias("rec")))
-        self.spark.createDataFrame([(b, self.buckets)], "batch int, buckets int").coalesce(1).write.mode("append").parquet(f"{self.folder}/batches")
+        # the keys come after the units: a batch that broke off is not taken for one that history has
+        self._together(lambda: links.write.mode("overwrite").parquet(f"{self.folder}/links/batch={b}"), lambda: self._append("keys", first.where("old is null").select("key", F.col("head").alias("rec"))))
+        self._mark(b)
         self.batches += 1
         self._members = named.select("rec").distinct()
 
+    def _together(self, *jobs) -> None:
+        """Small jobs of one batch side by side."""
+        with ThreadPoolExecutor(len(jobs)) as pool:
+            for done in [pool.submit(inheritable_thread_target(self.spark)(job)) for job in jobs]:
+                done.result()
+
+    def _mark(self, b: int) -> None:
+        """The number of the batch and of the buckets, in one small file."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/batches/{b:09d}.json")
+        out = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(json.dumps({"batch": b, "buckets": self.buckets}), "utf-8"))
+        out.close()
+
     def _near(self, b: int) -> DataFrame:
         """Verified links (a, b) of the units of a batch to those of earlier batches, and among themselves."""
         index = self._table("postings")
         mine = index.where(F.col("batch") == b)
         spread = mine.where("keys > 1").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("keys") - 1)))
         spread = spread.withColumn("token", F.col("token") - F.pmod("unit", "keys") + F.col("s")).drop("s")
-        once, more = mine.where("keys = 1"), index.where("keys > 1")
-        rows = mine.count()
+        once = mine.where("keys = 1")
+        rows, keys = mine.agg(F.count(F.lit(1)), F.max("keys")).first()
         if rows <= HASHED * self.buckets:
             once = once.hint("shuffle_hash")
-        found = _candidates(once, index.where("keys = 1"), self.threshold, b).unionByName(_candidates(spread, more, self.threshold, b)).distinct()
+        found = _candidates(once, index.where("keys = 1"), self.threshold, b)
+        if (keys or 1) > 1:
+            found = found.unionByName(_candidates(spread, index.where("keys > 1"), self.threshold, b))
+        found = found.distinct()
         units = self._table("units")
 
         def side(end: str, rec: str) -> DataFrame:
