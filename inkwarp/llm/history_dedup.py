@@ -232,22 +232,34 @@ class HistoryIndex:
     def _table(self, name: str) -> DataFrame:
         return self.spark.table(f"{self._name}_{name}")
 
-    def _append(self, name: str, df: DataFrame) -> None:
-        """One file a bucket; the shuffle is that of the new rows."""
-        df.select(*self._table(name).columns).repartition(self.buckets, _TABLES[name][0]).write.insertInto(f"{self._name}_{name}")
+    def _append(self, name: str, df: DataFrame, **added: F.Column) -> None:
+        """One file a bucket; the shuffle is that of the new rows, without the columns that are ``added`` behind it."""
+        placed = df.repartition(self.buckets, _TABLES[name][0]).withColumns(added)
+        placed.select(*self._table(name).columns).write.insertInto(f"{self._name}_{name}")
         self.spark.catalog.refreshTable(f"{self._name}_{name}")  # a stream's batch is written by a session of its own
 
+    def _stage(self, name: str, df: DataFrame) -> DataFrame:
+        """A table of the batch at hand, compressed and in columns, where a checkpoint would keep whole rows as they are."""
+        path = f"{self.folder}/staged/{self.batches}/{name}"
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _delete(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def add(self, units: DataFrame, keys: DataFrame) -> None:
         """Accept a batch: its units (see :func:`article_units`) and the keys (rec LONG, key STRING) of its ids.
 
         Rows of ``keys`` with a null are left out; an empty batch is accepted as well.
         """
         b = self.batches
-        raw = cut(units)
+        self._delete(f"{self.folder}/staged/{b - 1}")
+        raw = self._stage("units", units)
         named = raw.select("rec", F.concat(F.lit("="), "copy").alias("key")).unionByName(keys.select("rec", "key").where("rec is not null and key is not null"))
         heads = named.groupBy("key").agg(F.min("rec").alias("head"), F.max("rec").alias("top"))
         old = self._table("keys").groupBy("key").agg(F.min("rec").alias("old"))
-        first = cut(heads.join(old, "key", "left"))
+        first = self._stage("keys", heads.join(old, "key", "left"))
         repeated = first.where("top > head or old is not null").select("key", F.coalesce("old", "head").alias("b"))
         star = named.join(repeated, "key").where("rec <> b").select(F.col("rec").alias("a"), "b")
         new = first.where("old is null and key like '=%'").select(F.substring("key", 2, 40).alias("copy"), F.col("head").alias("rec"))
@@ -256,9 +268,12 @@ class HistoryIndex:
             self._sketch = token_sketch(raw)
             hit = np.flatnonzero(self._sketch)
             self.spark.createDataFrame(pd.DataFrame({"b": hit.astype(np.int32), "n": self._sketch[hit]}), "b int, n int").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/rarity")
-        fresh = cut(fresh)
-        posted = postings(fresh, self._sketch, self.threshold, self.buckets, self.hot).withColumn("batch", F.lit(b))
-        self._together(lambda: self._append("units", fresh), lambda: self._append("postings", posted))
+        fresh = self._stage("fresh", fresh)
+        posted = postings(fresh, self._sketch, self.threshold, self.buckets, self.hot)
+        # shuffled in four numbers a row
+        packed = posted.select("token", "unit", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("place")).alias("sp"), (F.col("keys") * 2 + F.col("held").cast("int")).alias("kh"))
+        parts = {"size": F.shiftright("sp", 32).cast("int"), "place": F.col("sp").bitwiseAND(F.lit((1 << 32) - 1)).cast("int"), "held": F.col("kh") % 2 == 1, "keys": F.shiftright("kh", 1), "batch": F.lit(b)}
+        self._together(lambda: self._append("units", fresh.drop("copy", "digits")), lambda: self._append("postings", packed, **parts))
         links = star.unionByName(self._near(b)).distinct()
         # the keys come after the units: a batch that broke off is not taken for one that history has
         self._together(lambda: links.write.mode("overwrite").parquet(f"{self.folder}/links/batch={b}"), lambda: self._append("keys", first.where("old is null").select("key", F.col("head").alias("rec"))))
@@ -346,8 +361,7 @@ class HistoryIndex:
         """Remove the index with its folder."""
         for name in _TABLES:
             self.spark.sql(f"drop table if exists {self._name}_{name}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(self.folder)
 
 
 def dedup_batches(spark: SparkSession, batches: list[tuple[DataFrame, DataFrame]], **options) -> DataFrame:
