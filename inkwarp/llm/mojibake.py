@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -172,6 +172,10 @@ def cost(s: str, left: str = " ", right: str = " ") -> float:
     return total
 
 
+#: The cost of words and sentences, which come again.
+_known_cost = lru_cache(maxsize=100_000)(cost)
+
+
 def _writer(encoding: str) -> tuple[dict[str, bytes], int]:
     """Byte of each character of a one-byte encoding; bytes it leaves undefined stand for control codes."""
     table = {}
@@ -203,15 +207,25 @@ def _write(c: str, encoding: str) -> bytes | None:
 
 
 @lru_cache(maxsize=None)
-def _runs(encoding: str) -> re.Pattern:
-    """Runs that may be garbled: ASCII aside, only characters of the encoding."""
+def _run_of(encoding: str) -> tuple[re.Pattern, dict[int, int]]:
+    """Of a one-byte encoding: runs of characters it has, and the byte of each."""
     table = _one_byte(encoding)
-    high = "".join(sorted(c for c in table if ord(c) > 0x7F))
-    return re.compile("[" + re.escape(high) + "]" + "[\x20-\x7e" + re.escape(high) + "]*")
+    return re.compile("[" + re.escape("".join(sorted(table))) + "]+"), {ord(c): raw[0] for c, raw in table.items()}
+
+
+def _bytes_of(run: str, encoding: str) -> bytes:
+    """A run that a one-byte encoding can write, as bytes."""
+    return run.translate(_run_of(encoding)[1]).encode("latin-1")
 
 
-def _segments(text: str, encoding: str) -> Iterator[tuple[int, int, bytes, list[int]]]:
-    """Maximal runs the encoding can write: start, end, bytes, and the character of each byte."""
+def _segments(text: str, encoding: str) -> Iterator[tuple[int, int, bytes, Sequence[int]]]:
+    """Maximal runs the encoding can write, unless plain ASCII: start, end, bytes, and the character of each byte."""
+    if encoding not in _WIDE:
+        for m in _run_of(encoding)[0].finditer(text):
+            raw = _bytes_of(m.group(), encoding)
+            if not raw.isascii():
+                yield m.start(), m.end(), raw, range(m.start(), m.end())
+        return
     n, i = len(text), 0
     while i < n:
         raw, where, high, start = bytearray(), [], False, i
@@ -267,10 +281,10 @@ def _try_legacy(text: str, written: str, read: str) -> tuple[str, float] | None:
             if sum(map(len, _HIGH.findall(old))) < least:
                 continue
             try:
-                new = b"".join(_write(c, read) for c in old).decode(written)
+                new = (b"".join(_write(c, read) for c in old) if read in _WIDE else raw[s.start() : s.end()]).decode(written)
             except UnicodeDecodeError:
                 continue
-            before, after = cost(old), cost(new)
+            before, after = _known_cost(old), cost(new)
             if before - after >= 0.3 and after < (0.8 if read in _CYRILLIC and written in _CYRILLIC else 0.5) * before:
                 out += [text[at : a + s.start()], new]
                 at, total = a + s.end(), total + before - after
@@ -282,7 +296,7 @@ def suspicious(text: str) -> bool:
 
     Words end at ASCII white space only: U+00A0 and U+0085 may be the second half of a garbled character.
     """
-    return any(cost(w) >= LEAST_WORD for w in _SPACE.split(text) if not w.isascii())
+    return any(_known_cost(w) >= LEAST_WORD for w in _SPACE.split(text) if not w.isascii())
 
 
 def _may_be_utf8(text: str, encoding: str) -> bool:
@@ -305,10 +319,9 @@ def _whole(text: str) -> Iterator[tuple[float, int, str]]:
     """The text with one whole layer off: all of it can be written in a reader's encoding, and the bytes are UTF-8 to the last."""
     limit = cost(text) - LEAST_DROP
     for i, read in enumerate(UTF8_READ_AS):
-        raw = [_write(c, read) for c in text] if read not in _WIDE else [None]
-        if None not in raw:
+        if read not in _WIDE and _run_of(read)[0].fullmatch(text):
             try:
-                new = b"".join(raw).decode("utf-8")
+                new = _bytes_of(text, read).decode("utf-8")
             except UnicodeDecodeError:
                 continue
             if (left := cost(new)) <= limit:
@@ -335,18 +348,20 @@ def repair(text: str | None) -> tuple[str, int]:
     if not text or text.isascii():
         return text or "", 0
     kinds = {_kind(c) for c in set(text)}
-    best = (cost(text) - LEAST_DROP, 0, text, 0)
+    ends = []
     for i, read in enumerate(UTF8_READ_AS):
         if _fits(read, kinds) and _may_be_utf8(text, read) and (got := _try_utf8(text, read)):
             reads = ("cp1252", "latin-1") if read in ("cp1252", "latin-1") else () if read in _WIDE else (read,)
             new, layers = _inwards(got[0], reads)
             if "cp1252" in reads:
                 new = new.replace("Ã  ", "à ")  # its second byte, a no-break space, was made a plain one
-            best = min(best, (cost(new), i, new, layers + 1))
+            ends.append((cost(new), i, new, layers + 1))
     for i, (written, read) in enumerate(LEGACY if suspicious(text) else (), len(UTF8_READ_AS)):
         if _fits(read, kinds) and (got := _try_legacy(text, written, read)):
             new, layers = _inwards(got[0], ())
-            best = min(best, (cost(new), i, new, layers + 1))
+            ends.append((cost(new), i, new, layers + 1))
+    if not ends or (best := min(ends))[0] >= cost(text) - LEAST_DROP:
+        return text, 0
     return best[2], best[3]
 
 
