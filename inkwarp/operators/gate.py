@@ -1,4 +1,4 @@
-"""Before and after: rule counts, deltas and what they say of target and kept rules. Before is scanned once a pair, however many candidates."""
+"""Before and after: rule counts, deltas and what they say of target and kept rules. Before is prepared once a pair, however many candidates."""
 
 from __future__ import annotations
 
@@ -7,17 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwarp.functions.spans import lost_values
+from inkwarp.functions.spans import MARKER
 from inkwarp.operators.edits import measure_edits
 from inkwarp.operators.markdown import HOLD, PASS
-from inkwarp.operators.rules import KOREAN, Allowance, Rule
-from inkwarp.operators.scan import rule_counts, scan
+from inkwarp.operators.rules import KOREAN, Allowance, Rule, gate_rules
+from inkwarp.operators.scan import allowed_hit, hits, prepare
 
 
-def _sides(pairs: DataFrame) -> DataFrame:
-    before = pairs.groupBy("pair_id").agg(F.min("before").alias("text")).select(F.struct("pair_id", F.lit(None).cast("string").alias("candidate"), F.lit("before").alias("side")).alias("key"), "text")
-    after = pairs.select(F.struct("pair_id", "candidate", F.lit("after").alias("side")).alias("key"), F.col("after").alias("text"))
-    return before.unionByName(after)
+def _changes(pairs: DataFrame, rules: Sequence[Rule], allow: Sequence[Allowance], extra: list[str] | None = None, translation_source: bool = False, provenance: str = "unknown", marker: str = MARKER) -> DataFrame:
+    """By pair, candidate, what ('rule' or 'value') and name: findings that are not allowed, or protected spans of a value, before and after.
+
+    Every text is prepared once, and its findings and protected values leave it as rows of two words; the candidates of a pair are a handful.
+    """
+    before = pairs.groupBy("pair_id").agg(F.min("before").alias("text")).select("pair_id", F.lit(None).cast("string").alias("candidate"), "text")
+    sides = before.unionByName(pairs.select("pair_id", "candidate", F.col("after").alias("text"))).where("text is not null")
+    rows = prepare(sides, "text", extra, marker)
+    mark = lambda what, name: F.struct(F.lit(what).alias("what"), name.alias("name"))
+    active = F.filter(hits(gate_rules(rules, translation_source, provenance)[0]), lambda h: ~allowed_hit(h, allow))
+    marks = F.concat(F.transform(active, lambda h: mark("rule", h["rule_id"])), F.transform("protected", lambda s: mark("value", s["value"])))
+    counted = rows.select("pair_id", "candidate", F.inline(marks)).groupBy("pair_id", "candidate", "what", "name").agg(F.count(F.lit(1)).alias("n"))
+    both = counted.groupBy("pair_id", "what", "name").agg(F.sum(F.when(F.col("candidate").isNull(), F.col("n"))).alias("b"), F.map_from_entries(F.collect_list(F.when(F.col("candidate").isNotNull(), F.struct("candidate", "n")))).alias("a"))
+    each = both.join(pairs.groupBy("pair_id").agg(F.collect_set("candidate").alias("c")), "pair_id").select("pair_id", F.explode("c").alias("candidate"), "what", "name", "b", "a")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return each.select("pair_id", "candidate", "what", "name", zero(F.col("b")).alias("before_count"), zero(F.try_element_at("a", F.col("candidate"))).alias("after_count")).where("before_count > 0 or after_count > 0")
 
 
 def rule_deltas(pairs: DataFrame, rules: Sequence[Rule] = KOREAN, allow: Sequence[Allowance] = (), **options) -> DataFrame:
@@ -25,12 +37,8 @@ def rule_deltas(pairs: DataFrame, rules: Sequence[Rule] = KOREAN, allow: Sequenc
 
     ``pairs``: pair_id, candidate, before, after; one text before for each pair. Null texts have no findings.
     """
-    counts = rule_counts(scan(_sides(pairs), rules, key="key", allow=allow, **options), ("document_id", "rule_id")).select(F.col("document_id.pair_id").alias("pair_id"), F.col("document_id.candidate").alias("candidate"), F.col("document_id.side").alias("side"), "rule_id", F.col("active_count").alias("n"))
-    before = counts.where("side = 'before' and n > 0").select("pair_id", "rule_id", F.col("n").alias("b"))
-    before = pairs.select("pair_id", "candidate").distinct().join(before, "pair_id")
-    after = counts.where("side = 'after' and n > 0").select("pair_id", "candidate", "rule_id", F.col("n").alias("a"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return before.join(after, ["pair_id", "candidate", "rule_id"], "full_outer").select("pair_id", "candidate", "rule_id", zero("b").alias("before_count"), zero("a").alias("after_count"), (zero("a") - zero("b")).alias("delta"))
+    found = _changes(pairs, rules, allow, **options).where("what = 'rule'")
+    return found.select("pair_id", "candidate", F.col("name").alias("rule_id"), "before_count", "after_count", (F.col("after_count") - F.col("before_count")).alias("delta"))
 
 
 def style_gate(pairs: DataFrame, targets: Sequence[str], preserved: Sequence[str] = (), rules: Sequence[Rule] = KOREAN, allow: Sequence[Allowance] = (), extra: list[str] | None = None, **options) -> DataFrame:
@@ -40,10 +48,13 @@ def style_gate(pairs: DataFrame, targets: Sequence[str], preserved: Sequence[str
     rule is a target that occurs before.
     """
     targets, preserved = list(dict.fromkeys(targets)), sorted(set(preserved))
-    deltas = rule_deltas(pairs, rules, allow, extra=extra, **options)
-    whole = deltas.groupBy("pair_id", "candidate").agg(F.map_from_entries(F.collect_list(F.struct("rule_id", F.struct("before_count", "delta")))).alias("d"))
-    lost = lost_values(pairs.select("pair_id", "candidate", "before", "after"), ["pair_id", "candidate"], extra=extra).groupBy("pair_id", "candidate").agg(F.array_sort(F.collect_list(F.struct("value", "expected", "actual"))).alias("lost_values"))
-    base = pairs.select("pair_id", "candidate").distinct().join(whole, ["pair_id", "candidate"], "left").join(lost, ["pair_id", "candidate"], "left")
+    changes = _changes(pairs, rules, allow, extra, **options)
+    delta = (F.col("after_count") - F.col("before_count")).alias("delta")
+    whole = changes.groupBy("pair_id", "candidate").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("what") == "rule", F.struct(F.col("name").alias("rule_id"), F.struct("before_count", delta))))).alias("d"),
+        F.array_sort(F.collect_list(F.when((F.col("what") == "value") & (F.col("after_count") < F.col("before_count")), F.struct(F.col("name").alias("value"), F.col("before_count").alias("expected"), F.col("after_count").alias("actual"))))).alias("lost_values"),
+    )
+    base = pairs.select("pair_id", "candidate").distinct().join(whole, ["pair_id", "candidate"], "left")
     strings = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
     n = lambda r, f: F.coalesce(F.try_element_at("d", r)[f], F.lit(0))
     t, keep = strings(targets), strings(preserved)

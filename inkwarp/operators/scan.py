@@ -172,6 +172,15 @@ def scan(
     return done.select(*FINDING)
 
 
+def allowed_hit(h: Column, allow: Sequence[Allowance], structure: str = "structure") -> Column:
+    """Whether an allowance takes a hit of :func:`hits`, before it is a row."""
+    fits = {"all": lambda p: F.lit(True), "heading": lambda p: p["paragraph_kind"] == "heading", "body": lambda p: p["paragraph_kind"] == "body", "first_sentence": lambda p: (p["paragraph_kind"] == "body") & p["is_paragraph_first"]}
+    taken = F.lit(False)
+    for a in allow:
+        taken = taken | ((h["rule_id"] == a.rule_id) & fits[a.scope](location(F.col(structure), h["start"])))
+    return taken
+
+
 def rule_counts(findings: DataFrame, by: Sequence[str] = ("rule_id",)) -> DataFrame:
     """Findings by rule: not allowed, allowed, all."""
     return findings.groupBy(*by).agg(F.count_if(~F.col("allowed")).alias("active_count"), F.count_if("allowed").alias("allowed_count"), F.count(F.lit(1)).alias("all_count"))
@@ -245,12 +254,11 @@ def paragraph_rhythm(documents: DataFrame, key: str = "document_id", text: str =
     )
 
 
-def document_receipts(documents: DataFrame, findings: DataFrame, key: str = "document_id", text: str = "text", extra: list[str] | None = None, marker: str = MARKER) -> DataFrame:
-    """By document: characters, findings (all, active, allowed), protected spans, masked comments and code, unbalanced markers, paragraphs."""
+def _receipt(text: str, marker: str) -> list[Column]:
+    """What a receipt says of a prepared text."""
     t = F.col(text)
     starts, ends = (F.regexp_count(t, F.lit(f"(?iU)<!--\\s*{marker}:protect-{x}\\s*-->")) for x in ("start", "end"))
-    rows = prepare(documents.where(t.isNotNull()).select(F.col(key).alias("document_id"), t.alias(text)), text, extra, marker).select(
-        "document_id",
+    return [
         F.length(text).alias("characters"),
         F.size("protected").alias("protected_spans_excluded"),
         F.regexp_count(text, F.lit(COMMENT)).alias("html_comments"),
@@ -258,12 +266,27 @@ def document_receipts(documents: DataFrame, findings: DataFrame, key: str = "doc
         (starts != ends).alias("unbalanced_markers"),
         F.size("structure").alias("paragraphs"),
         F.size(F.filter("structure", lambda p: p["kind"] == "body")).alias("body_paragraphs"),
-    )
+    ]
+
+
+def document_receipts(documents: DataFrame, findings: DataFrame, key: str = "document_id", text: str = "text", extra: list[str] | None = None, marker: str = MARKER) -> DataFrame:
+    """By document: characters, findings (all, active, allowed), protected spans, masked comments and code, unbalanced markers, paragraphs."""
+    t = F.col(text)
+    rows = prepare(documents.where(t.isNotNull()).select(F.col(key).alias("document_id"), t.alias(text)), text, extra, marker).select("document_id", *_receipt(text, marker))
     counts = findings.groupBy("document_id").agg(F.count(F.lit(1)).alias("finding_count"), F.count_if(~F.col("allowed")).alias("candidate_finding_count"), F.count_if("allowed").alias("allowed_finding_count"))
     zero = {c: 0 for c in ("finding_count", "candidate_finding_count", "allowed_finding_count")}
     return rows.join(counts, "document_id", "left").fillna(zero)
 
 
+def scan_receipts(documents: DataFrame, rules: Sequence[Rule] = KOREAN, key: str = "document_id", text: str = "text", translation_source: bool = False, provenance: str = "unknown", extra: list[str] | None = None, allow: Sequence[Allowance] = (), marker: str = MARKER) -> DataFrame:
+    """:func:`document_receipts` of a scan that is not wanted otherwise: every text is prepared once, and nothing is shuffled."""
+    scanned, _ = gate_rules(rules, translation_source, provenance)
+    rows = prepare(documents.where(F.col(text).isNotNull()).select(F.col(key).alias("document_id"), F.col(text).alias("text")), "text", extra, marker)
+    rows = settle(rows, found=F.transform(hits(scanned), lambda h: allowed_hit(h, allow)))
+    count = lambda c: F.size(c).cast("long")
+    return rows.select("document_id", *_receipt("text", marker), count("found").alias("finding_count"), count(F.filter("found", lambda a: ~a)).alias("candidate_finding_count"), count(F.filter("found", lambda a: a)).alias("allowed_finding_count"))
+
+
 def all_counts(findings: DataFrame) -> DataFrame:
     """Rule counts by document and rule with totals, as a rollup: a null document is the corpus, a null rule a document's total."""
     return findings.rollup("document_id", "rule_id").agg(F.count_if(~F.col("allowed")).alias("active_count"), F.count(F.lit(1)).alias("all_count"), F.grouping_id().alias("level"))

@@ -15,7 +15,7 @@ from inkwarp.operators.iterations import iteration_audit, iteration_states
 from inkwarp.operators.ledger import build_ledger, coverage, reconcile
 from inkwarp.operators.markdown import changed_keys, scope_lines, signature
 from inkwarp.operators.rules import KOREAN, STRUCTURAL_KINDS, Allowance, Rule, gate_rules, validate_rules
-from inkwarp.operators.scan import all_counts, cross_document_repeats, document_receipts, paragraph_rhythm, repeat_documents, rule_counts, rule_distribution, scan, sentence_clusters
+from inkwarp.operators.scan import all_counts, cross_document_repeats, paragraph_rhythm, repeat_documents, rule_counts, rule_distribution, scan, scan_receipts, sentence_clusters
 from inkwarp.operators.strength import sequence_records, strength_records
 from inkwarp.operators.terms import discovered_uses, term_rollup, term_scopes, validate_terms
 from inkwarp.plans.scan_sql import DOCS, LINES, SPACE, findings, line_kinds, occurrences, quoted, scope_texts, starts
@@ -158,8 +158,7 @@ def scan_korean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def receipts(spark: SparkSession, folder: str) -> DataFrame:
-    d = documents(spark, folder)
-    return document_receipts(d, scan(d, KOREAN))
+    return scan_receipts(documents(spark, folder), KOREAN)
 
 
 def ledger_counts(spark: SparkSession, folder: str) -> DataFrame:

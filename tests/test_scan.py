@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwarp.operators.rules import KOREAN, Rule, gate_rules, validate_allowances, validate_rules
-from inkwarp.operators.scan import all_counts, cross_document_repeats, distribution_maps, document_receipts, paragraph_rhythm, repeat_documents, rule_counts, rule_distribution, scan, sentence_clusters
+from inkwarp.operators.scan import all_counts, cross_document_repeats, distribution_maps, document_receipts, paragraph_rhythm, repeat_documents, rule_counts, rule_distribution, scan, scan_receipts, sentence_clusters
 
 EDITED = {"provenance": "ai_edited"}
 
@@ -111,3 +111,10 @@ def test_receipts(spark):
 def test_long_text_and_ties(spark):
     got = scan(docs(spark, "첫째 " * 3000, "첫째", "첫째")).groupBy("document_id").agg(F.count("*").alias("n")).collect()
     assert {r.document_id: r.n for r in got} == {"d1": 3000, "d2": 1, "d3": 1}
+
+
+def test_receipts_of_a_scan_equal_those_of_findings(spark):
+    d = docs(spark, "# 첫째\n\n둘째 3명. 또한 <!-- x --> 끝.", "```\n첫째\n```\n\n“둘째”", "", None)
+    allow = validate_allowances({"genre": "g", "allow": [{"rule_id": "KH-S03", "scope": "heading", "reason": "r"}, {"rule_id": "KH-S04", "scope": "first_sentence", "reason": "r"}]}, {r.id for r in KOREAN})
+    key = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+    assert key(scan_receipts(d, allow=allow)) == key(document_receipts(d, scan(d, allow=allow)))
