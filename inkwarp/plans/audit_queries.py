@@ -157,6 +157,32 @@ def scan_korean(spark: SparkSession, folder: str) -> DataFrame:
     return rule_counts(scan(documents(spark, folder), KOREAN, translation_source=True, provenance="ai_edited"))
 
 
+#: Paragraphs that hold every anchor of the built-in pack, and near misses of some.
+PLANTED = """
+
+결론적으로 첫째는 중요하고 핵심적이다. 또한, 이것을 통해 알 수 있다고 하며, 할 필요가 있다. 매우 중요한 일이 아니라 문제를 넘어 새 길로 간다. 아니라고 한 적은 없다. 한편으로는 다만 그렇다.
+이는 번역에 의해 되었다. 사용자 경험(user experience)을 위해서 할 수 있다. 이에 대해 말한다. 만들어진 것이다. 역할과 기능이 긴밀하게 연결된다. 그러하다는 것이다. 이 글에서는 강을 살펴본다. 말다만 한다.
+
+이 장은 차를 다룬다. 이제 숲으로 돌아가자. 답은 분명하다. 이유는 세 가지이다. 한 문장으로 말하면 길다.
+
+밥을 먹습니다. 물이 있습니다. 산이 높습니다. 길을 간다. “첫째”라고 적었다.
+
+**물**을 본다.
+
+**불**을 본다.
+
+**흙**을 본다.
+
+길을 걷고, 물을 마시며, 산을 본다. 먹는다고, 잔다고, 논다고 한다.
+"""
+
+
+def scan_planted(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings of every anchor of the built-in pack in the manuscripts, each with the planted paragraphs behind it."""
+    planted = documents(spark, folder).withColumn("text", F.concat("text", F.lit(PLANTED)))
+    return scan(planted, KOREAN, **ORIGIN).withColumnsRenamed({"start": "start_pos", "end": "end_pos", "line": "line_no", "column": "column_no"})
+
+
 def receipts(spark: SparkSession, folder: str) -> DataFrame:
     return scan_receipts(documents(spark, folder), KOREAN)
 
@@ -508,6 +534,7 @@ select *, case when not changed_after_no_change and oscillations = 0 and structu
         "scan_counts": f"with {_DOCS}, {findings(**_TABLE)} select rule_id, count(*) filter (where not allowed) as active_count, count(*) filter (where allowed) as allowed_count, count(*) as all_count from found group by rule_id",
         "scan_allowances": f"with {_DOCS}, {findings(allow=ALLOWED, **_TABLE)} select rule_id, allow_scope, allow_reason, count(*) filter (where not allowed) as active_count, count(*) filter (where allowed) as allowed_count, count(*) as all_count from found group by all",
         "scan_korean": f"with {_DOCS}, {findings(KOREAN)} select rule_id, count(*) filter (where not allowed) as active_count, count(*) filter (where allowed) as allowed_count, count(*) as all_count from found group by rule_id",
+        "scan_planted": f"with {_DOCS}, planted as (select document_id, text || {quoted(PLANTED)} as text from docs), {findings(KOREAN, docs='planted')} select * from found",
         "receipts": receipts_sql(gate_rules(KOREAN)[0]),
         "gate_deltas": f"with {_deltas_sql()} select pair_id, 'edit' as candidate, rule_id, before_count, after_count, delta from deltas",
         "gate_status": _gate_sql(),
@@ -522,5 +549,5 @@ select b.document_id as pair_id, b.ordered as baseline_ordered, a.ordered as can
 
 
 def queries() -> dict:
-    named = (anchor_offsets, anchor_context, masked_texts, literal_counts, protected_quotes_dates, protected_values, paragraph_blocks, section_paths, rhythm, scan_findings, scan_counts, scan_allowances, scan_korean, receipts, ledger_counts, ledger_rollup, ledger_distribution, ledger_repeats, ledger_repeat_documents, ledger_clusters, ledger_anchors, coverage_states, coverage_status, protected_loss, gate_deltas, gate_status, markdown_signatures, markdown_changes, edit_sizes, scope_kinds, iteration_rows, iteration_chains, term_counts, term_residues, term_uses, nth_marks, corpus_included, corpus_excluded, protected_receipts, candidate_choices, strength_failures, anchor_order, sequence_layouts)
+    named = (anchor_offsets, anchor_context, masked_texts, literal_counts, protected_quotes_dates, protected_values, paragraph_blocks, section_paths, rhythm, scan_findings, scan_counts, scan_allowances, scan_korean, scan_planted, receipts, ledger_counts, ledger_rollup, ledger_distribution, ledger_repeats, ledger_repeat_documents, ledger_clusters, ledger_anchors, coverage_states, coverage_status, protected_loss, gate_deltas, gate_status, markdown_signatures, markdown_changes, edit_sizes, scope_kinds, iteration_rows, iteration_chains, term_counts, term_residues, term_uses, nth_marks, corpus_included, corpus_excluded, protected_receipts, candidate_choices, strength_failures, anchor_order, sequence_layouts)
     return {q.__name__: q for q in named}
