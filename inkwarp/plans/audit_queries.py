@@ -17,7 +17,7 @@ from inkwarp.operators.markdown import changed_keys, scope_lines, signature
 from inkwarp.operators.rules import KOREAN, STRUCTURAL_KINDS, Allowance, Rule, gate_rules, validate_rules
 from inkwarp.operators.scan import all_counts, cross_document_repeats, paragraph_rhythm, repeat_documents, rule_counts, rule_distribution, scan, scan_receipts, sentence_clusters
 from inkwarp.operators.strength import sequence_records, strength_records
-from inkwarp.operators.terms import discovered_uses, term_rollup, term_scopes, validate_terms
+from inkwarp.operators.terms import audit_uses, discovered_uses, term_rollup, term_scopes, term_status, validate_senses, validate_terms
 from inkwarp.plans.scan_sql import DOCS, LINES, SPACE, findings, line_kinds, occurrences, quoted, scope_texts, starts
 from inkwarp.plans.scan_sql import protected as protected_sql
 from inkwarp.plans.scan_sql import receipts as receipts_sql
@@ -300,6 +300,22 @@ def term_counts(spark: SparkSession, folder: str) -> DataFrame:
     return term_rollup(term_scopes(p, validate_terms(TERMS)))
 
 
+def term_statuses(spark: SparkSession, folder: str) -> DataFrame:
+    """Status of the migration where no document has the scope index and an exception points to no document."""
+    p = _scoped(pairs(spark, folder).withColumnRenamed("pair_id", "document_id")).where(~F.array_contains("scopes", "index"))
+    lost = {"text": "토양", "reason": "name", "document_id": "nowhere", "scope": "body", "line": 1, "occurrence": 1}
+    terms = validate_terms(TERMS | {"terms": [TERMS["terms"][0], TERMS["terms"][1] | {"exceptions": [lost]}]})
+    return term_status(p, terms, term_rollup(term_scopes(p, terms))).withColumn("missing_scopes", F.array_join("missing_scopes", ","))
+
+
+def sense_statuses(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and status of a selective audit that declares one use, in a document that is not there."""
+    p = _scoped(documents(spark, folder).select("document_id", F.col("text").alias("before"), _edited(F.col("text")).alias("after")))
+    use = {"document_id": "nowhere", "scope": "body", "line": 1, "occurrence": 1, "sense": "s", "decision": "preserve", "after_line": 1, "after_occurrence": 1, "rationale": "r"}
+    terms = validate_senses({"schema_version": "0.1", "terms": [t | {"senses": [{"id": "s", "definition": "d"}], "occurrences": [use | {"form": t["forms"][0]}]} for t in FORMS]})
+    return audit_uses(p, terms)[1]
+
+
 def term_residues(spark: SparkSession, folder: str) -> DataFrame:
     """Old words that are left, and the sentences with the new ones, with their places."""
     p = _scoped(pairs(spark, folder).withColumnRenamed("pair_id", "document_id"))
@@ -464,6 +480,14 @@ counted as (select term_id, document_id, scope, (select count(*) from bx where b
 gapped as (select *, greatest(0, new_count_before + old_count_before - new_count_after) as replacement_gap from counted)"""
 
 
+def _uses_sql() -> str:
+    return f"""with recursive {_DOCS}, ends(ending, scope) as (values {", ".join(f"({quoted(e)}, {quoted(x)})" for e, xs in SCOPES_OF.items() for x in xs)}), sc as (select document_id as doc, scope from docs, ends), forms(term_id, phrase) as (values {", ".join(f"({quoted(t['id'])}, {quoted(x)})" for t in FORMS for x in t["forms"])}),
+{scope_texts("docs", "sc", "bv")}, {protected_sql("bv", "bp")}, {occurrences("bv", "forms", "o")},
+n as (select o.*, doc || ending as name, scope, cast(length(substr(text, 1, start_pos)) - length(replace(substr(text, 1, start_pos), chr(10), '')) + 1 as integer) as line_no from o join bv using (document_id) join ends using (scope)),
+m as (select *, cast(row_number() over (partition by document_id, term_id, phrase, line_no order by start_pos) as integer) as occurrence from n)
+select term_id, name as document_id, scope, line_no, occurrence, phrase as form from m where not exists (select 1 from bp p where p.document_id = m.document_id and m.start_pos < p.end_pos and m.end_pos > p.start_pos)"""
+
+
 def _place_sql(text: str, start: str, end: str, radius: int) -> str:
     return f"trim(regexp_replace(substr({text}, greatest({start} - {radius}, 0) + 1, {end} + {radius} - greatest({start} - {radius}, 0)), '{SPACE}+', ' ', 'g'))"
 
@@ -494,11 +518,10 @@ select document_id, cast(row_number() over (partition by document_id order by st
         "term_residues": f"""with recursive {_terms_sql()}, named as (select *, (select any_value(document_id) from cell c where c.v = x.document_id) as name, (select any_value(scope) from cell c where c.v = x.document_id) as sc_name, (select raw from av where av.document_id = x.document_id) as raw_text from ax x)
 select term_id, name as document_id, sc_name as scope, case when held then 'protected' else 'residue' end as kind, phrase as value, start_pos, cast(length(substr(raw_text, 1, start_pos)) - length(replace(substr(raw_text, 1, start_pos), chr(10), '')) + 1 as integer) as line_no, {_place_sql("raw_text", "start_pos", "end_pos", 60)} as context from named join reads r using (term_id) where r.scope = sc_name
 union all select s.term_id, c.document_id, c.scope, 'sentence', null, start_pos, cast(length(substr(raw, 1, start_pos)) - length(replace(substr(raw, 1, start_pos), chr(10), '')) + 1 as integer), value from said s join cell c on c.v = s.document_id and c.term_id = s.term_id""",
-        "term_uses": f"""with recursive {_DOCS}, ends(ending, scope) as (values {", ".join(f"({quoted(e)}, {quoted(x)})" for e, xs in SCOPES_OF.items() for x in xs)}), sc as (select document_id as doc, scope from docs, ends), forms(term_id, phrase) as (values {", ".join(f"({quoted(t['id'])}, {quoted(x)})" for t in FORMS for x in t["forms"])}),
-{scope_texts("docs", "sc", "bv")}, {protected_sql("bv", "bp")}, {occurrences("bv", "forms", "o")},
-n as (select o.*, doc || ending as name, scope, cast(length(substr(text, 1, start_pos)) - length(replace(substr(text, 1, start_pos), chr(10), '')) + 1 as integer) as line_no from o join bv using (document_id) join ends using (scope)),
-m as (select *, cast(row_number() over (partition by document_id, term_id, phrase, line_no order by start_pos) as integer) as occurrence from n)
-select term_id, name as document_id, scope, line_no, occurrence, phrase as form from m where not exists (select 1 from bp p where p.document_id = m.document_id and m.start_pos < p.end_pos and m.end_pos > p.start_pos)""",
+        "term_statuses": f"""with recursive {_terms_sql()}, x as (select term_id, cast(sum(old_count_before) as bigint) as old_count_before, cast(sum(residue_count) as bigint) as residue_count, cast(sum(new_count_before) as bigint) as new_count_before, cast(sum(new_count_after) as bigint) as new_count_after, cast(sum(replacement_gap) as bigint) as replacement_gap, cast(sum(echo_count) as bigint) as echo_count from gapped where scope <> 'index' group by 1)
+select term_id, case when term_id = 'soil' then 'index' else '' end as missing_scopes, cast(case when term_id = 'soil' then 1 else 0 end as integer) as stale_exceptions, old_count_before, residue_count, new_count_before, new_count_after, replacement_gap, echo_count, cast(0 as bigint) as unmatched_exceptions, case when term_id = 'soil' or residue_count > 0 or replacement_gap > 0 then '보류' else '기계 확인 완료' end as status from x""",
+        "sense_statuses": f"select term_id, cast(0 as bigint) as ask_count, cast(1 as bigint) as problems, count(*) as discovered_count, count(*) as undeclared, cast(1 as bigint) as stale, '보류' as status from ({_uses_sql()}) group by term_id",
+        "term_uses": _uses_sql(),
         "nth_marks": f"with {_DOCS}, l as (select document_id, regexp_extract_all(text, {quoted(LINES)}) as ls from docs), p as (select document_id, string_split(ls[3], '.') as g, length(ls[1]) + length(ls[2]) as base from l) select document_id, case when len(g) > 2 then cast(base + length(g[1]) + length(g[2]) + 1 as integer) end as start_pos, case when len(g) > 2 then cast(base + length(g[1]) + length(g[2]) + 2 as integer) end as end_pos from p",
         "corpus_included": "select distinct document_id, path, coalesce(role, 'prose') as role, sha256(text) as hash from manuscripts where coalesce(include, true)",
         "corpus_excluded": f"select distinct document_id, path, coalesce(role, 'prose') as role, coalesce(reason, {quoted(EXCLUDED)}) as reason from manuscripts where not coalesce(include, true)",
@@ -549,5 +572,5 @@ select b.document_id as pair_id, b.ordered as baseline_ordered, a.ordered as can
 
 
 def queries() -> dict:
-    named = (anchor_offsets, anchor_context, masked_texts, literal_counts, protected_quotes_dates, protected_values, paragraph_blocks, section_paths, rhythm, scan_findings, scan_counts, scan_allowances, scan_korean, scan_planted, receipts, ledger_counts, ledger_rollup, ledger_distribution, ledger_repeats, ledger_repeat_documents, ledger_clusters, ledger_anchors, coverage_states, coverage_status, protected_loss, gate_deltas, gate_status, markdown_signatures, markdown_changes, edit_sizes, scope_kinds, iteration_rows, iteration_chains, term_counts, term_residues, term_uses, nth_marks, corpus_included, corpus_excluded, protected_receipts, candidate_choices, strength_failures, anchor_order, sequence_layouts)
+    named = (anchor_offsets, anchor_context, masked_texts, literal_counts, protected_quotes_dates, protected_values, paragraph_blocks, section_paths, rhythm, scan_findings, scan_counts, scan_allowances, scan_korean, scan_planted, receipts, ledger_counts, ledger_rollup, ledger_distribution, ledger_repeats, ledger_repeat_documents, ledger_clusters, ledger_anchors, coverage_states, coverage_status, protected_loss, gate_deltas, gate_status, markdown_signatures, markdown_changes, edit_sizes, scope_kinds, iteration_rows, iteration_chains, term_counts, term_statuses, sense_statuses, term_residues, term_uses, nth_marks, corpus_included, corpus_excluded, protected_receipts, candidate_choices, strength_failures, anchor_order, sequence_layouts)
     return {q.__name__: q for q in named}
