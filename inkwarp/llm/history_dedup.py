@@ -205,7 +205,7 @@ class HistoryIndex:
     Tables: keys (of ids and whole units, each with its first record), units, postings, links and classes. The first three are
     bucketed, so history is never shuffled. ``add`` finds the links of a batch to history and within itself and accepts it;
     ``firsts`` tells the batch's records that came before, with the first one; ``classes`` tells this of all records. An index
-    is opened again by its folder. A batch whose ``add`` broke off can be added again: rows written twice change no result.
+    is opened again by its folder, with the ``buckets`` it was made with (by default two for each core). A batch whose ``add`` broke off can be added again: rows written twice change no result.
     """
 
     def __init__(self, spark: SparkSession, folder: str, threshold: float = THRESHOLD, title_edits: int = TITLE_EDITS, buckets: int | None = None, hot: int = HOT) -> None:
@@ -215,7 +215,7 @@ class HistoryIndex:
         self._sketch: np.ndarray | None = None
         self.batches = 0
         self._members: DataFrame | None = None
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or max(8, 2 * spark.sparkContext.defaultParallelism)
         if self._exists("batches"):
             kept = spark.read.schema("batch int, buckets int").json(f"{self.folder}/batches").agg(F.max("batch"), F.max("buckets")).first()
             self.batches, self.buckets = kept[0] + 1, kept[1]
@@ -258,6 +258,8 @@ class HistoryIndex:
         raw = self._stage("units", units)
         named = raw.select("rec", F.concat(F.lit("="), "copy").alias("key")).unionByName(keys.select("rec", "key").where("rec is not null and key is not null"))
         heads = named.groupBy("key").agg(F.min("rec").alias("head"), F.max("rec").alias("top"))
+        if int(self.spark.conf.get("spark.sql.shuffle.partitions")) != self.buckets:
+            heads = heads.repartition(self.buckets, "key")  # else the join would shuffle the history's side
         old = self._table("keys").groupBy("key").agg(F.min("rec").alias("old"))
         first = self._stage("keys", heads.join(old, "key", "left"))
         repeated = first.where("top > head or old is not null").select("key", F.coalesce("old", "head").alias("b"))
